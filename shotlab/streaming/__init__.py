@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference has no streaming source, watermark, window or stateful
+operator: every step is a batch job over a finite labelled table. Nothing is
+built here on purpose (see README, "Not built"); the batch operators already
+run per replicate and can be applied inside ``foreachBatch`` by a caller.
+"""
