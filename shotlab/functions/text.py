@@ -54,11 +54,13 @@ def _accent_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 
 def strip_accents(col) -> Column:
     src, dst, multi = _accent_tables()
-    out = _c(col)
+    s = _c(col)
+    out = s
     for ch, img in multi:
-        if img:
-            out = F.regexp_replace(out, F.lit(_re_escape(ch)), F.lit(img))
-    return F.translate(out, src, dst)
+        out = F.regexp_replace(out, F.lit(_re_escape(ch)), F.lit(img))
+    # one scan decides whether the (rare) one-to-many replacements run at all
+    any_multi = "[" + "".join(ch for ch, _ in multi) + "]"
+    return F.translate(F.when(s.rlike(any_multi), out).otherwise(s), src, dst)
 
 
 def _re_escape(ch: str) -> str:
@@ -111,11 +113,13 @@ def word_ngrams_col(tokens, n: int) -> Column:
 
 
 def char_ngrams_col(text, n: int) -> Column:
-    """Character n-grams of exactly ``n`` code points, across word borders."""
-    s = _c(text)
-    grams = F.transform(F.sequence(F.lit(1), F.length(s) - F.lit(n - 1)),
-                        lambda i: F.substring(s, i, n))
-    return F.when(F.length(s) >= n, grams).otherwise(F.array().cast("array<string>"))
+    """Character n-grams of exactly ``n`` code points, across word borders.
+
+    One regex pass: a zero-width lookahead at every position captures the next
+    n characters, so the cost is linear in the text (``substring`` by code
+    point would rescan the string at every position).
+    """
+    return F.regexp_extract_all(_c(text), F.lit("(?s)(?=(.{%d}))" % n), 1)
 
 
 def rejoin(tokens) -> Column:

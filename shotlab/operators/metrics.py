@@ -40,8 +40,9 @@ def confusion(preds: DataFrame, by=("rep",), gold: str = "gold_idx", pred: str =
 def grid_best(grid: DataFrame, by=("rep",), metric: str = "f1") -> DataFrame:
     """Best grid point per replicate (selected on the test metric, as the reference does)."""
     cfg = F.struct("c", "solver", "ngc_max", "ngw_max")
-    return grid.groupBy(*by).agg(F.max(metric).alias("best_f1"),
-                                 F.max_by(cfg, F.struct(F.col(metric), -F.col("c"))).alias("best"))
+    # Ties (to 9 decimals) go to the smallest (c, solver, ngc_max, ngw_max).
+    order = F.struct(-F.round(metric, 9), F.col("c"), F.col("solver"), F.col("ngc_max"), F.col("ngw_max"))
+    return grid.groupBy(*by).agg(F.max(metric).alias("best_f1"), F.min_by(cfg, order).alias("best"))
 
 
 def replicate_summary(f1: DataFrame, ranks: DataFrame | None = None, f1_col: str = "macro_f1") -> DataFrame:

@@ -196,3 +196,352 @@ def _sql_macro_f1():
 def q_macro_f1(spark, sf_dir):
     _, _, f1 = X.overlap_eval(_prep(spark, sf_dir))
     return f1.select("rep", F.round("macro_f1", 6).alias("macro_f1"))
+
+
+# ---------------------------------------------------------------- patterns
+P_RAND = CHECK.with_(task="SetFit/CR", pattern="label")
+
+
+def _sql_label_remap_rand():
+    p = P_RAND
+    return (f"WITH lab AS ({S.lab_sql(p.task)}),\nreps AS ({S.reps_sql(p)}),\n{S.lmap_ctes(p)}\n"
+            f"SELECT rep, task, label_idx, label_word, label_org FROM lmap")
+
+
+@register("label_remap_rand", _sql_label_remap_rand)
+def q_label_remap_rand(spark, sf_dir):
+    """Random vocabulary tokens as label words (CR-shaped task, "label" pattern)."""
+    pr = _prep(spark, sf_dir, P_RAND)
+    return pr.lmap.select("rep", "task", "label_idx", "label_word", "label_org")
+
+
+P_WORDS = CHECK.with_(pattern="memo_label_ant", repeats=6)
+
+
+def _sql_label_remap_words():
+    return (f"{S.base_ctes(P_WORDS)}\nSELECT m.rep, m.label_idx, m.label_word, m.label_org, "
+            f"CAST(count(v.doc_id) AS BIGINT) AS n_rows FROM lmap m LEFT JOIN vs v ON v.rep = m.rep "
+            f"AND v.label_idx = m.label_idx GROUP BY m.rep, m.label_idx, m.label_word, m.label_org")
+
+
+@register("label_remap_words", _sql_label_remap_words)
+def q_label_remap_words(spark, sf_dir):
+    """One random antonym per class and replicate, with the sampled rows per class."""
+    pr = _prep(spark, sf_dir, P_WORDS)
+    n = pr.sample.groupBy("rep", "label_idx").agg(F.count("*").alias("n_rows"))
+    return (pr.lmap.join(n, ["rep", "label_idx"], "left")
+            .select("rep", "label_idx", "label_word", "label_org",
+                    F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows")))
+
+
+def _sql_vocab_permutation():
+    return (f"WITH reps AS ({S.reps_sql(CHECK)}),\n{S.perm_ctes(CHECK)}\n"
+            f"SELECT rep, token, new_token FROM perm")
+
+
+@register("vocab_permutation", _sql_vocab_permutation)
+def q_vocab_permutation(spark, sf_dir):
+    from shotlab.operators.vocab import corpus_vocab, permutation
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return permutation(corpus_vocab(docs), CHECK.repeats, CHECK.seed)
+
+
+P_TOKEN = CHECK.with_(pattern="token")
+
+
+def _sql_token_permute():
+    p = P_TOKEN
+    from shotlab.sources.registry import task
+    t = task(p.task)
+    pat = S.WORD_PATTERN
+    return (f"{S.base_ctes(p)},\n{S.texts_ctes(p)},\n{S.demos_cte(p)},\n{S.prompts_ctes(p)},\n{S.perm_ctes(p)},\n"
+            f"ptok AS (SELECT rep, test_id, regexp_extract_all(prompt, '{pat}') AS toks FROM prompts),\n"
+            f"pu AS (SELECT rep, test_id, unnest(toks) AS token, unnest(generate_series(1, len(toks))) AS i FROM ptok),\n"
+            f"prot AS (SELECT DISTINCT rep, label_word AS token FROM lmap UNION SELECT r.rep, t.token FROM reps r "
+            f"CROSS JOIN (SELECT unnest(regexp_extract_all({S.q(t.prompt_x + ' ' + t.prompt_y)}, '{pat}')) AS token) t),\n"
+            f"pm AS (SELECT p.* FROM perm p WHERE NOT EXISTS (SELECT 1 FROM prot WHERE prot.rep = p.rep AND prot.token = p.token))\n"
+            f"SELECT pu.rep, pu.test_id, string_agg(coalesce(pm.new_token, pu.token), ' ' ORDER BY pu.i) AS permuted "
+            f"FROM pu LEFT JOIN pm ON pm.rep = pu.rep AND pm.token = pu.token GROUP BY pu.rep, pu.test_id")
+
+
+@register("token_permute", _sql_token_permute)
+def q_token_permute(spark, sf_dir):
+    """Prompt tokens mapped through the replicate's vocabulary permutation; label and template words kept."""
+    from shotlab.operators.sampling import with_reps
+    from shotlab.operators.vocab import corpus_vocab, permutation, permute_tokens
+    from shotlab.functions.text import tokenize
+    pr = _prep(spark, sf_dir, P_TOKEN)
+    toks = X.prompt_tokens(X.prompts(pr))
+    perm = permutation(corpus_vocab(pr.docs), P_TOKEN.repeats, P_TOKEN.seed)
+    tmpl = spark.createDataFrame([(pr.task.prompt_x + " " + pr.task.prompt_y,)], "t STRING") \
+        .select(F.explode(tokenize(F.col("t"))).alias("token"))
+    prot = pr.lmap.select("rep", F.col("label_word").alias("token")).unionByName(
+        with_reps(tmpl, P_TOKEN.repeats).select(F.col("rep").cast("int"), "token"))
+    out = permute_tokens(toks, "tokens", perm, prot)
+    return out.select("rep", "test_id", F.array_join("permuted", " ").alias("permuted"))
+
+
+# ---------------------------------------------------------------- text functions / features
+def _sql_text_normalize():
+    return f"SELECT doc_id, {S.norm_sql('text')} AS norm_text FROM documents"
+
+
+@register("text_normalize", _sql_text_normalize)
+def q_text_normalize(spark, sf_dir):
+    from shotlab.functions.text import normalize_text
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", normalize_text("text").alias("norm_text"))
+
+
+def _sql_tokenize():
+    pat = S.WORD_PATTERN
+    toks = f"regexp_extract_all({S.norm_sql('text')}, '{pat}')"
+    kept = f"list_filter({toks}, lambda x: NOT list_contains({S.stop_list_sql()}, x))"
+    return (f"SELECT doc_id, CAST(len({toks}) AS INTEGER) AS n_tokens, array_to_string({kept}, ' ') AS tokens "
+            f"FROM documents")
+
+
+@register("tokenize", _sql_tokenize)
+def q_tokenize(spark, sf_dir):
+    from shotlab.functions.text import drop_stop_words, normalize_text, tokenize
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    t = d.select("doc_id", tokenize(normalize_text("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("int").alias("n_tokens"),
+                    F.array_join(drop_stop_words("t"), " ").alias("tokens"))
+
+
+def _sql_tokens_rejoin():
+    return (f"SELECT doc_id, array_to_string(regexp_extract_all(text, '{S.WORD_PATTERN}'), ' ') AS rejoined, "
+            f"CAST(len(string_split(text, ' ')) AS INTEGER) AS n_space_split FROM documents")
+
+
+@register("tokens_rejoin", _sql_tokens_rejoin)
+def q_tokens_rejoin(spark, sf_dir):
+    from shotlab.functions.text import rejoin, split_words, tokenize
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", rejoin(tokenize("text")).alias("rejoined"),
+                    F.size(split_words("text")).cast("int").alias("n_space_split"))
+
+
+def _corpus_grams_sql(ngc, ngw):
+    return (f"WITH {S.doc_grams_cte('documents', 'doc_id', ngc, ngw)}\n"
+            f"SELECT block, n, term, CAST(sum(cnt) AS BIGINT) AS cf, CAST(count(*) AS BIGINT) AS df "
+            f"FROM grams GROUP BY block, n, term")
+
+
+@register("word_ngrams", lambda: _corpus_grams_sql(0, 2))
+def q_word_ngrams(spark, sf_dir):
+    """Word 1..2-grams (normalised, stop words removed) of every document: corpus and document counts."""
+    from shotlab.operators.features import corpus_grams
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return corpus_grams(d, 0, 2).select("block", F.col("n").cast("int"), "term", "cf", "df")
+
+
+@register("char_ngrams", lambda: _corpus_grams_sql(4, 0))
+def q_char_ngrams(spark, sf_dir):
+    """Character 1..4-grams (whitespace runs collapsed) of every document: corpus and document counts."""
+    from shotlab.operators.features import corpus_grams
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return corpus_grams(d, 4, 0).select("block", F.col("n").cast("int"), "term", "cf", "df")
+
+
+def _baseline_inputs(spark, sf_dir, p=CHECK):
+    pr = _prep(spark, sf_dir, p)
+    fit, test = X.baseline_sets(pr)
+    return pr, fit, test
+
+
+def _sql_coverage_sample():
+    return f"{S.base_ctes(CHECK)},\n{S.baseline_ctes(CHECK)}\nSELECT rep, doc_id, y, attempt FROM fit"
+
+
+@register("coverage_sample", _sql_coverage_sample)
+def q_coverage_sample(spark, sf_dir):
+    """Baseline train set: first k pool rows, redrawn until they cover the test classes."""
+    _, fit, _ = _baseline_inputs(spark, sf_dir)
+    return fit.select("rep", "doc_id", "y", F.col("attempt").cast("int"))
+
+
+def _fit_vocab_df(spark, sf_dir, char_cap, word_cap):
+    from shotlab.operators.features import doc_grams, fit_vocab
+    pr, fit, test = _baseline_inputs(spark, sf_dir)
+    ids = fit.select("doc_id").unionByName(test.select("doc_id")).distinct()
+    grams = doc_grams(pr.docs.join(ids, "doc_id", "left_semi"), 4, 2)
+    ft = fit.select("rep", "doc_id").join(grams, "doc_id")
+    tt = test.select("rep", "doc_id").join(grams, "doc_id")
+    return ft, tt, fit_vocab(ft, 4, 2, char_cap, word_cap)
+
+
+def _sql_vocab_topk():
+    return (f"{S.base_ctes(CHECK)},\n{S.baseline_ctes(CHECK)},\n{S.vocab_fit_ctes(CHECK, 4, 2, 200, 100)}\n"
+            f"SELECT rep, block, n_max, term, CAST(cf AS BIGINT) AS cf FROM voc")
+
+
+@register("vocab_topk", _sql_vocab_topk)
+def q_vocab_topk(spark, sf_dir):
+    """Per replicate, block and n-gram range: the 200 char / 100 word terms with the highest count."""
+    _, _, voc = _fit_vocab_df(spark, sf_dir, 200, 100)
+    return voc.select("rep", "block", F.col("n_max").cast("int"), "term", F.col("cf").cast("long"))
+
+
+def _features_q(spark, sf_dir, tfidf):
+    from shotlab.operators.features import CHAR_CAP, WORD_CAP, features
+    ft, tt, voc = _fit_vocab_df(spark, sf_dir, CHAR_CAP, WORD_CAP)
+    f = features(ft.unionByName(tt), voc, 3, 2, tfidf, CHECK.k)
+    return f.select("rep", "doc_id", "block", "term", F.round("value", 6).alias("value"))
+
+
+def _sql_features(tfidf):
+    from shotlab.operators.features import CHAR_CAP, WORD_CAP
+    return (f"{S.base_ctes(CHECK)},\n{S.baseline_ctes(CHECK)},\n"
+            f"{S.vocab_fit_ctes(CHECK, 4, 2, CHAR_CAP, WORD_CAP)}\n{S.features_sql(CHECK, 3, 2, tfidf)}")
+
+
+@register("bow_features", lambda: _sql_features(False))
+def q_bow_features(spark, sf_dir):
+    """Count features (char 1..3 ‖ word 1..2) of fit and test documents, vocabulary fitted on the fit set."""
+    return _features_q(spark, sf_dir, False)
+
+
+@register("tfidf_features", lambda: _sql_features(True))
+def q_tfidf_features(spark, sf_dir):
+    """Sublinear TF x smooth IDF, L2-normalised per block."""
+    return _features_q(spark, sf_dir, True)
+
+
+def _sql_vocab_coverage():
+    def units(src, tag):
+        return (f"{tag}w AS (SELECT DISTINCT unnest(string_split(d.text, ' ')) AS u FROM {src} s "
+                f"JOIN documents d ON d.doc_id = s.doc_id),\n"
+                f"{tag}c AS (SELECT DISTINCT unnest(string_split(u, '')) AS u FROM {tag}w WHERE u <> ''),\n"
+                f"{tag} AS (SELECT 'word' AS unit, u FROM {tag}w UNION ALL SELECT 'char' AS unit, u FROM {tag}c WHERE u <> '')")
+    return (f"{S.base_ctes(CHECK)},\n{S.baseline_ctes(CHECK)},\n{units('fit', 'tr')},\n{units('btest', 'te')}\n"
+            f"SELECT unit, CAST(count(tr_u) AS BIGINT) AS n_train, CAST(count(te_u) AS BIGINT) AS n_test, "
+            f"CAST(count(CASE WHEN tr_u IS NOT NULL AND te_u IS NOT NULL THEN 1 END) AS BIGINT) AS n_common, "
+            f"round(CASE WHEN count(te_u) > 0 THEN count(CASE WHEN tr_u IS NOT NULL AND te_u IS NOT NULL THEN 1 END) "
+            f"/ count(te_u) ELSE 0.0 END, 6) AS share FROM (SELECT coalesce(a.unit, b.unit) AS unit, a.u AS tr_u, "
+            f"b.u AS te_u FROM tr a FULL OUTER JOIN te b ON a.unit = b.unit AND a.u = b.u) GROUP BY unit")
+
+
+@register("vocab_coverage", _sql_vocab_coverage)
+def q_vocab_coverage(spark, sf_dir):
+    """Word / character overlap of baseline train and test texts, pooled over replicates."""
+    from shotlab.operators.features import vocab_coverage
+    pr, fit, test = _baseline_inputs(spark, sf_dir)
+    out = vocab_coverage(fit.join(pr.docs, "doc_id"), test.join(pr.docs, "doc_id"))
+    return out.select("unit", "n_train", "n_test", "n_common", F.round("share", 6).alias("share"))
+
+
+# ---------------------------------------------------------------- ranking / metrics views
+def _scored_sql(p=CHECK):
+    return f"{S.base_ctes(p)},\n{S.texts_ctes(p)},\n{S.demos_cte(p)},\n{S.scores_ctes(p)}"
+
+
+@register("softmax", lambda: (f"{_scored_sql()}\nSELECT rep, test_id, label_idx, round(z / sum(z) OVER "
+                              f"(PARTITION BY rep, test_id), 6) AS prob FROM (SELECT *, exp(score - max(score) OVER "
+                              f"(PARTITION BY rep, test_id)) AS z FROM scores)"))
+def q_softmax(spark, sf_dir):
+    from shotlab.operators.ranking import softmax
+    scores, _, _ = X.overlap_eval(_prep(spark, sf_dir))
+    return softmax(scores).select("rep", "test_id", "label_idx", F.round("prob", 6).alias("prob"))
+
+
+@register("predict", lambda: f"{_scored_sql()}\nSELECT rep, test_id, pred_idx FROM pr")
+def q_predict(spark, sf_dir):
+    from shotlab.operators.ranking import predict
+    scores, _, _ = X.overlap_eval(_prep(spark, sf_dir))
+    return predict(scores)
+
+
+@register("accuracy", lambda: (f"{_scored_sql()}\nSELECT rep, round(avg(CAST(gold_idx = pred_idx AS DOUBLE)), 6) "
+                               f"AS accuracy FROM pr GROUP BY rep"))
+def q_accuracy(spark, sf_dir):
+    from shotlab.operators.metrics import accuracy
+    _, preds, _ = X.overlap_eval(_prep(spark, sf_dir))
+    return accuracy(preds).select("rep", F.round("accuracy", 6).alias("accuracy"))
+
+
+@register("confusion", lambda: (f"{_scored_sql()}\nSELECT rep, gold_idx, pred_idx, CAST(count(*) AS BIGINT) AS n "
+                                f"FROM pr GROUP BY rep, gold_idx, pred_idx"))
+def q_confusion(spark, sf_dir):
+    from shotlab.operators.metrics import confusion
+    _, preds, _ = X.overlap_eval(_prep(spark, sf_dir))
+    return confusion(preds)
+
+
+@register("replicate_summary", lambda: (
+    f"{_scored_sql()},\n{S.f1_cte()}\nSELECT round(coalesce(avg(macro_f1), 0.0), 6) AS mean_f1, "
+    f"CAST(count(*) AS BIGINT) AS n_reps, round((SELECT avg(gold_rank) FROM pr), 6) AS mean_rank, "
+    f"(SELECT CAST(count(*) AS BIGINT) FROM pr) AS n_prompts FROM f1"))
+def q_replicate_summary(spark, sf_dir):
+    from shotlab.operators.metrics import replicate_summary
+    _, preds, f1 = X.overlap_eval(_prep(spark, sf_dir))
+    s = replicate_summary(f1, preds)
+    return s.select(F.round("mean_f1", 6).alias("mean_f1"), F.col("n_reps").cast("long"),
+                    F.round("mean_rank", 6).alias("mean_rank"), F.col("n_prompts").cast("long"))
+
+
+# ---------------------------------------------------------------- grid / baselines
+P_GUESS = CHECK.with_(task="dbpedia_14")
+
+
+def _sql_random_grid(p=P_GUESS):
+    hn = S.sql_hnum(p.seed, "guess", "t.rep", "g.grid_id", "t.doc_id")
+    return (f"{S.base_ctes(p)},\n{S.baseline_ctes(p)},\ngrid AS ({S.grid_values()}),\n"
+            f"tcls AS (SELECT rep, list_sort(list_distinct(list(y))) AS cls FROM btest GROUP BY rep),\n"
+            f"rg AS (SELECT t.rep, g.c, g.solver, g.ngc_max, g.ngw_max, t.y AS gold_idx, "
+            f"c.cls[1 + ({hn} % len(c.cls))] AS pred_idx FROM btest t JOIN tcls c ON c.rep = t.rep CROSS JOIN grid g),\n"
+            f"{S.f1_cte('rg', 'rep, c, solver, ngc_max, ngw_max', 'gf')}")
+
+
+@register("random_baseline", lambda: (f"{_sql_random_grid()}\nSELECT rep, c, solver, ngc_max, ngw_max, "
+                                      f"round(macro_f1, 6) AS f1 FROM gf"))
+def q_random_baseline(spark, sf_dir):
+    """Uniform guesses among each replicate's test classes, a new guess per grid point (14-class task)."""
+    from shotlab.operators.linear import grid_space, random_predictions
+    pr, _, test = _baseline_inputs(spark, sf_dir, P_GUESS)
+    preds = random_predictions(test, grid_space(spark), P_GUESS.seed)
+    f1 = macro_f1(preds, by=("rep", "c", "solver", "ngc_max", "ngw_max"), out="f1")
+    return f1.select("rep", "c", "solver", "ngc_max", "ngw_max", F.round("f1", 6).alias("f1"))
+
+
+@register("grid_best", lambda: (
+    f"{_sql_random_grid()}\nSELECT rep, round(max(macro_f1), 6) AS best_f1, "
+    f"first(c ORDER BY round(macro_f1, 9) DESC, c, solver, ngc_max, ngw_max) AS best_c, "
+    f"first(solver ORDER BY round(macro_f1, 9) DESC, c, solver, ngc_max, ngw_max) AS best_solver, "
+    f"first(ngc_max ORDER BY round(macro_f1, 9) DESC, c, solver, ngc_max, ngw_max) AS best_ngc_max, "
+    f"first(ngw_max ORDER BY round(macro_f1, 9) DESC, c, solver, ngc_max, ngw_max) AS best_ngw_max "
+    f"FROM gf GROUP BY rep"))
+def q_grid_best(spark, sf_dir):
+    """Best grid point per replicate (on the random-guess grid, whose F1s SQL can reproduce)."""
+    from shotlab.operators.linear import grid_space, random_predictions
+    from shotlab.operators.metrics import grid_best
+    pr, _, test = _baseline_inputs(spark, sf_dir, P_GUESS)
+    preds = random_predictions(test, grid_space(spark), P_GUESS.seed)
+    f1 = macro_f1(preds, by=("rep", "c", "solver", "ngc_max", "ngw_max"), out="f1")
+    b = grid_best(f1)
+    return b.select("rep", F.round("best_f1", 6).alias("best_f1"), F.col("best.c").alias("best_c"),
+                    F.col("best.solver").alias("best_solver"), F.col("best.ngc_max").alias("best_ngc_max"),
+                    F.col("best.ngw_max").alias("best_ngw_max"))
+
+
+@register("grid_space", lambda: (f"{S.base_ctes(CHECK)},\ngrid AS ({S.grid_values()})\n"
+                                 f"SELECT r.rep, g.c, g.solver, g.ngc_max, g.ngw_max FROM "
+                                 f"(SELECT DISTINCT rep FROM vs) r CROSS JOIN grid g"))
+def q_grid_space(spark, sf_dir):
+    """The 240-point grid attached to every sampled replicate."""
+    from shotlab.operators.linear import grid_space
+    pr = _prep(spark, sf_dir)
+    g = grid_space(spark)
+    n = g.count()
+    reps = pr.sample.select("rep").distinct()
+    return (reps.withColumn("grid_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+            .join(F.broadcast(g), "grid_id").select("rep", "c", "solver", "ngc_max", "ngw_max"))
+
+
+@register("linear_grid")
+def q_linear_grid(spark, sf_dir):
+    """Logistic-regression grid (fits: rows-only check): 240 F1 rows per replicate."""
+    pr = _prep(spark, sf_dir)
+    grid, _, _ = X.linear_baseline(spark, pr)
+    return grid.select("rep", "c", "solver", "ngc_max", "ngw_max", F.round("f1", 6).alias("f1"))

@@ -104,3 +104,32 @@ def prompting_report(prep: Prepared) -> DataFrame:
 
 def prompt_tokens(prompts_df: DataFrame) -> DataFrame:
     return prompts_df.select("rep", "test_id", tokenize(F.col("prompt")).alias("tokens"))
+
+
+# ---------------------------------------------------------------- linear baseline
+def baseline_sets(prep: Prepared, max_attempts: int = 32):
+    """Fit set (coverage-resampled k train rows) and test set, labels as merged class ids."""
+    from shotlab.operators.sampling import coverage_sample
+    p = prep.params
+    m = merged_index(prep.lmap)
+    s = prep.sample.join(F.broadcast(m), ["rep", "label_word"])
+    pool = s.filter(F.col("split") == "train").select("rep", "pos", "doc_id",
+                                                       F.col("merged_idx").alias("label_idx"))
+    test = s.filter(F.col("split") == "test").select("rep", "doc_id", F.col("merged_idx").alias("y"))
+    need = test.groupBy("rep").agg(F.countDistinct("y").alias("n_classes"))
+    cov = coverage_sample(pool, p.k, need, p.seed, max_attempts)
+    fit = cov.select("rep", "doc_id", F.col("label_idx").alias("y"), "attempt")
+    return fit, test
+
+
+def linear_baseline(spark: SparkSession, prep: Prepared, tfidf: bool | None = None):
+    """Grid F1 per replicate (240 rows each), best per replicate, and the mean of the bests."""
+    from shotlab.operators.linear import grid_space, linear_grid
+    from shotlab.operators.metrics import grid_best, mean0
+    p = prep.params
+    fit, test = baseline_sets(prep)
+    grid = linear_grid(fit.select("rep", "doc_id", "y"), test, prep.docs, grid_space(spark), p.k,
+                       p.tfidf if tfidf is None else tfidf, p.seed)
+    best = grid_best(grid)
+    summary = best.agg(mean0("best_f1").alias("linear_f1"), F.count("*").alias("n_reps"))
+    return grid, best, summary

@@ -174,3 +174,89 @@ def stop_list_sql() -> str:
 
 
 WS_RUN = WHITESPACE_RUN
+
+
+def gram_sql(text: str, ngc_max: int, ngw_max: int) -> str:
+    """List of {'block','n','term'} structs (DuckDB) mirroring ``features.gram_array``."""
+    norm = norm_sql(text)
+    chars = f"regexp_replace({norm}, '{WS_RUN}', ' ', 'g')"
+    toks = (f"list_filter(regexp_extract_all({norm}, '{WORD_PATTERN}'), "
+            f"lambda x: NOT list_contains({stop_list_sql()}, x))")
+    parts = []
+    for n in range(1, ngc_max + 1):
+        parts.append(f"CASE WHEN length(cs) >= {n} THEN list_transform(generate_series(1, length(cs) - {n - 1}), "
+                     f"lambda i: {{'block': 'char', 'n': {n}, 'term': substring(cs, i, {n})}}) ELSE [] END")
+    for n in range(1, ngw_max + 1):
+        parts.append(f"CASE WHEN len(tk) >= {n} THEN list_transform(generate_series(1, len(tk) - {n - 1}), "
+                     f"lambda i: {{'block': 'word', 'n': {n}, 'term': array_to_string(tk[i:i + {n - 1}], ' ')}}) ELSE [] END")
+    return chars, toks, "flatten([" + ", ".join(parts) + "])"
+
+
+def doc_grams_cte(src: str, key: str, ngc_max: int, ngw_max: int, name: str = "grams") -> str:
+    """``name``(key..., block, n, term, cnt) over the rows of ``src`` (which has ``text``)."""
+    chars, toks, arr = gram_sql("text", ngc_max, ngw_max)
+    return (f"{name}_x AS (SELECT {key}, {chars} AS cs, {toks} AS tk FROM {src}),\n"
+            f"{name}_u AS (SELECT {key}, unnest({arr}) AS g FROM {name}_x),\n"
+            f"{name} AS (SELECT {key}, g.block AS block, CAST(g.n AS INTEGER) AS n, g.term AS term, "
+            f"count(*) AS cnt FROM {name}_u GROUP BY ALL)")
+
+
+def baseline_ctes(p: Params, max_attempts: int = 32) -> str:
+    """bs, bpool, btest, need, att, cd, cls, ch, fit (needs base_ctes)."""
+    h = sql_hkey(p.seed, "coverage", "p.rep", "a.attempt", "p.pos")
+    return (f"bs AS (SELECT v.*, mi.merged_idx FROM vs v JOIN mi ON mi.rep = v.rep AND mi.label_word = v.label_word),\n"
+            f"bpool AS (SELECT rep, pos, doc_id, merged_idx AS label_idx FROM bs WHERE split = 'train'),\n"
+            f"btest AS (SELECT rep, doc_id, merged_idx AS y FROM bs WHERE split = 'test'),\n"
+            f"need AS (SELECT rep, count(DISTINCT y) AS n_classes FROM btest GROUP BY rep),\n"
+            f"att AS (SELECT CAST(range AS INTEGER) AS attempt FROM range(0, {max_attempts + 1})),\n"
+            f"cd AS (SELECT * FROM (SELECT p.rep, a.attempt, p.pos, p.doc_id, p.label_idx, row_number() OVER "
+            f"(PARTITION BY p.rep, a.attempt ORDER BY CASE WHEN a.attempt = 0 THEN lpad(CAST(p.pos AS VARCHAR), 8, '0') "
+            f"ELSE {h} END, p.pos) AS r FROM bpool p CROSS JOIN att a) WHERE r <= {p.k}),\n"
+            f"cls AS (SELECT rep, attempt, count(DISTINCT label_idx) AS n_cls FROM cd GROUP BY rep, attempt),\n"
+            f"ch AS (SELECT c.rep, min(c.attempt) AS attempt FROM cls c JOIN need n ON n.rep = c.rep "
+            f"WHERE c.n_cls >= n.n_classes OR {p.k} < n.n_classes GROUP BY c.rep),\n"
+            f"fit AS (SELECT d.rep, d.doc_id, d.label_idx AS y, d.attempt FROM cd d "
+            f"JOIN ch ON ch.rep = d.rep AND ch.attempt = d.attempt)")
+
+
+def vocab_fit_ctes(p: Params, ngc_max: int, ngw_max: int, char_cap: int, word_cap: int) -> str:
+    """fdocs, grams, ft, tt, per, pex, voc (needs baseline_ctes)."""
+    return (f"fdocs AS (SELECT d.doc_id, d.text FROM documents d WHERE d.doc_id IN "
+            f"(SELECT doc_id FROM fit UNION SELECT doc_id FROM btest)),\n"
+            f"{doc_grams_cte('fdocs', 'doc_id', ngc_max, ngw_max)},\n"
+            f"ft AS (SELECT f.rep, g.doc_id, g.block, g.n, g.term, g.cnt FROM fit f JOIN grams g ON g.doc_id = f.doc_id),\n"
+            f"tt AS (SELECT t.rep, g.doc_id, g.block, g.n, g.term, g.cnt FROM btest t JOIN grams g ON g.doc_id = t.doc_id),\n"
+            f"per AS (SELECT rep, block, n, term, sum(cnt) AS cf, count(*) AS df FROM ft GROUP BY rep, block, n, term),\n"
+            f"pex AS (SELECT per.*, CAST(unnest(generate_series(n, CASE WHEN block = 'char' THEN {ngc_max} "
+            f"ELSE {ngw_max} END)) AS INTEGER) AS n_max FROM per),\n"
+            f"voc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rep, block, n_max ORDER BY cf DESC, term) "
+            f"AS r FROM pex) WHERE r <= CASE WHEN block = 'char' THEN {char_cap} ELSE {word_cap} END)")
+
+
+def features_sql(p: Params, ngc: int, ngw: int, tfidf: bool) -> str:
+    """Feature rows of one configuration over fit and test documents (needs vocab_fit_ctes)."""
+    sel = (f"SELECT x.rep, x.doc_id, x.block, x.term, x.cnt, v.df FROM (SELECT * FROM ft UNION ALL SELECT * FROM tt) x "
+           f"JOIN voc v ON v.rep = x.rep AND v.block = x.block AND v.term = x.term "
+           f"AND v.n_max = CASE WHEN x.block = 'char' THEN {ngc} ELSE {ngw} END")
+    if not tfidf:
+        return f"SELECT rep, doc_id, block, term, round(CAST(cnt AS DOUBLE), 6) AS value FROM ({sel})"
+    w = f"(1 + ln(cnt)) * (ln((1.0 + {p.k}) / (1.0 + df)) + 1)"
+    return (f"SELECT rep, doc_id, block, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY rep, doc_id, block)), 6) "
+            f"AS value FROM (SELECT *, {w} AS w FROM ({sel}))")
+
+
+def perm_ctes(p: Params) -> str:
+    h = sql_hkey(p.seed, "permute", "r.rep", "v.token")
+    return (f"pvocab AS ({vocab_sql()}),\n"
+            f"vq AS (SELECT r.rep, v.token, row_number() OVER (PARTITION BY r.rep ORDER BY v.token) AS q "
+            f"FROM pvocab v CROSS JOIN reps r),\n"
+            f"vk AS (SELECT r.rep, v.token AS new_token, row_number() OVER (PARTITION BY r.rep ORDER BY {h}, v.token) AS q "
+            f"FROM pvocab v CROSS JOIN reps r),\n"
+            f"perm AS (SELECT vq.rep, vq.token, vk.new_token FROM vq JOIN vk ON vk.rep = vq.rep AND vk.q = vq.q)")
+
+
+def grid_values() -> str:
+    from shotlab.operators.linear import CS, NGC, NGW, SOLVERS
+    rows = [(c, s, a, b) for c in CS for s in SOLVERS for a in NGC for b in NGW]
+    vals = ", ".join(f"({i}, {c!r}, {q(s)}, {a}, {b})" for i, (c, s, a, b) in enumerate(rows))
+    return f"SELECT * FROM (VALUES {vals}) v(grid_id, c, solver, ngc_max, ngw_max)"
