@@ -87,7 +87,7 @@ def fit_vocab(fit_grams: DataFrame, ngc_max: int, ngw_max: int,
 def membership(vocab: DataFrame) -> DataFrame:
     """``(rep, block, term, mask, df)``: bit n_max set if the term is in that range's vocabulary."""
     return (vocab.groupBy("rep", "block", "term")
-            .agg(F.sum(F.shiftleft(F.lit(1), F.col("n_max"))).alias("mask"), F.first("df").alias("df")))
+            .agg(F.sum(F.expr("shiftleft(1, n_max)")).alias("mask"), F.first("df").alias("df")))
 
 
 def weights(doc_terms: DataFrame, mem: DataFrame, tfidf: bool, n_fit: int) -> DataFrame:
@@ -109,8 +109,8 @@ def features(doc_terms: DataFrame, vocab: DataFrame, ngc: int, ngw: int, tfidf:
     """
     mem = membership(vocab)
     wt = weights(doc_terms, mem, tfidf, n_fit)
-    nm = F.when(F.col("block") == "char", F.lit(ngc)).otherwise(F.lit(ngw))
-    wt = wt.filter((F.col("mask").bitwiseAND(F.shiftleft(F.lit(1), nm))) != 0)
+    bit = F.when(F.col("block") == "char", F.lit(1 << ngc)).otherwise(F.lit(1 << ngw))
+    wt = wt.filter(F.col("mask").bitwiseAND(bit) != 0)
     if tfidf:
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("rep", "doc_id", "block")))
         wt = wt.withColumn("w", F.col("w") / norm)

@@ -20,11 +20,11 @@ def macro_f1(preds: DataFrame, by=("rep",), gold: str = "gold_idx", pred: str =
     """
     by = list(by)
     e = preds.select(*by, F.explode(F.array(
-        F.struct(F.col(gold).alias("c"), F.lit(1).alias("g"), F.lit(0).alias("p"),
-                 (F.col(gold) == F.col(pred)).cast("int").alias("tp")),
-        F.struct(F.col(pred).alias("c"), F.lit(0).alias("g"), F.lit(1).alias("p"), F.lit(0).alias("tp")),
-    )).alias("e")).select(*by, "e.*")
-    per = e.groupBy(*by, "c").agg(F.sum("g").alias("n_gold"), F.sum("p").alias("n_pred"), F.sum("tp").alias("tp"))
+        F.struct(F.col(gold).alias("_cls"), F.lit(1).alias("_g"), F.lit(0).alias("_p"),
+                 (F.col(gold) == F.col(pred)).cast("int").alias("_tp")),
+        F.struct(F.col(pred).alias("_cls"), F.lit(0).alias("_g"), F.lit(1).alias("_p"), F.lit(0).alias("_tp")),
+    )).alias("_e")).select(*by, "_e.*")
+    per = e.groupBy(*by, "_cls").agg(F.sum("_g").alias("n_gold"), F.sum("_p").alias("n_pred"), F.sum("_tp").alias("tp"))
     f1 = F.when(F.col("tp") == 0, F.lit(0.0)).otherwise(2.0 * F.col("tp") / (F.col("n_gold") + F.col("n_pred")))
     return per.groupBy(*by).agg(F.avg(f1).alias(out))
 

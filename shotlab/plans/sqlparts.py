@@ -162,9 +162,9 @@ def scores_ctes(p: Params) -> str:
 
 
 def f1_cte(src: str = "pr", by: str = "rep", name: str = "f1") -> str:
-    return (f"{name}_e AS (SELECT {by}, gold_idx AS c, 1 AS g, 0 AS p, CAST(gold_idx = pred_idx AS INTEGER) AS tp FROM {src} "
-            f"UNION ALL SELECT {by}, pred_idx AS c, 0 AS g, 1 AS p, 0 AS tp FROM {src}),\n"
-            f"{name}_c AS (SELECT {by}, c, sum(g) AS ng, sum(p) AS np, sum(tp) AS tp FROM {name}_e GROUP BY {by}, c),\n"
+    return (f"{name}_e AS (SELECT {by}, gold_idx AS cls_, 1 AS g_, 0 AS p_, CAST(gold_idx = pred_idx AS INTEGER) AS tp_ "
+            f"FROM {src} UNION ALL SELECT {by}, pred_idx AS cls_, 0 AS g_, 1 AS p_, 0 AS tp_ FROM {src}),\n"
+            f"{name}_c AS (SELECT {by}, cls_, sum(g_) AS ng, sum(p_) AS np, sum(tp_) AS tp FROM {name}_e GROUP BY {by}, cls_),\n"
             f"{name} AS (SELECT {by}, avg(CASE WHEN tp = 0 THEN 0.0 ELSE 2.0 * tp / (ng + np) END) AS macro_f1 "
             f"FROM {name}_c GROUP BY {by})")
 
@@ -258,5 +258,5 @@ def perm_ctes(p: Params) -> str:
 def grid_values() -> str:
     from shotlab.operators.linear import CS, NGC, NGW, SOLVERS
     rows = [(c, s, a, b) for c in CS for s in SOLVERS for a in NGC for b in NGW]
-    vals = ", ".join(f"({i}, {c!r}, {q(s)}, {a}, {b})" for i, (c, s, a, b) in enumerate(rows))
+    vals = ", ".join(f"({i}, CAST({c!r} AS DOUBLE), {q(s)}, {a}, {b})" for i, (c, s, a, b) in enumerate(rows))
     return f"SELECT * FROM (VALUES {vals}) v(grid_id, c, solver, ngc_max, ngw_max)"
