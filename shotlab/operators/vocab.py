@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,10 @@ def dense_index(df: DataFrame, by: list[str], order: list, out: str = "idx") ->
     """
     s = df.orderBy(*by, *order).withColumn("_mid", F.monotonically_increasing_id())
     s = s.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_rec", F.col("_mid").bitwiseAND((1 << 33) - 1))
+    # Both branches below must see one execution of the sort (AQE could coalesce two
+    # executions differently). A lost cached block is recomputed from that same
+    # execution's shuffle, so ids stay consistent under executor loss.
+    s = s.persist(StorageLevel.MEMORY_AND_DISK)
     parts = s.groupBy("_pid", *by).agg(F.min("_rec").alias("_first"), F.count("*").alias("_cnt"))
     w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_start", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))

@@ -545,3 +545,26 @@ def q_linear_grid(spark, sf_dir):
     pr = _prep(spark, sf_dir)
     grid, _, _ = X.linear_baseline(spark, pr)
     return grid.select("rep", "c", "solver", "ngc_max", "ngw_max", F.round("f1", 6).alias("f1"))
+
+
+@register("linear_fit")
+def q_linear_fit(spark, sf_dir):
+    """K1: one pyspark.ml logistic regression on the whole train split of the 4-class task (rows-only)."""
+    from shotlab.operators.linear import linear_fit
+    lab = task_rows(spark, sf_dir, "ag_news")
+    return linear_fit(lab.filter("split = 'train'"), lab.filter("split = 'test'"), c=1.0, ngc=2, ngw=1)
+
+
+@register("score_hook")
+def q_score_hook(spark, sf_dir):
+    """Model hook (mapInPandas) with a toy batch scorer; predictions and gold ranks (rows-only)."""
+    from shotlab.operators.scoring import overlap_fn, score_with
+    pr = _prep(spark, sf_dir)
+    scores = score_with(X.prompts(pr), pr.lmap, overlap_fn())
+    return predict_and_rank(scores, X.gold(pr))
+
+
+@register("experiment_report")
+def q_experiment_report(spark, sf_dir):
+    """Pattern matrix: stand-in F1 and rank, linear and random baselines (rows-only)."""
+    return X.experiment_report(spark, sf_dir, CHECK, ["none", "label", "memo_label_kw"])

@@ -133,3 +133,32 @@ def linear_baseline(spark: SparkSession, prep: Prepared, tfidf: bool | None = No
     best = grid_best(grid)
     summary = best.agg(mean0("best_f1").alias("linear_f1"), F.count("*").alias("n_reps"))
     return grid, best, summary
+
+
+def experiment_report(spark: SparkSession, sf_dir: str, base: Params, patterns) -> DataFrame:
+    """One row per task pattern: stand-in scorer F1 and rank, linear and random baselines.
+
+    The baselines run only for none / token / label, as in the reference. The
+    patterns are a short fixed list; their plans are unioned into one result.
+    """
+    from shotlab.operators.linear import grid_space, random_predictions
+    from shotlab.operators.metrics import grid_best, mean0
+    out = None
+    for pat in patterns:
+        p = base.with_(pattern=pat)
+        prep = prepare(spark, sf_dir, p)
+        row = prompting_report(prep).select(F.lit(pat).alias("pattern"), "mean_f1", "mean_rank", "n_prompts")
+        if pat in ("none", "token", "label"):
+            _, _, lin = linear_baseline(spark, prep)
+            _, test = baseline_sets(prep)
+            rnd = random_predictions(test, grid_space(spark), p.seed)
+            rf1 = grid_best(macro_f1(rnd, by=("rep", "c", "solver", "ngc_max", "ngw_max"), out="f1"))
+            rmean = rf1.agg(mean0("best_f1").alias("random_f1"))
+            extra = lin.select(F.lit(pat).alias("pattern"), "linear_f1").join(
+                rmean.select(F.lit(pat).alias("pattern"), "random_f1"), "pattern")
+        else:
+            extra = spark.createDataFrame([(pat,)], "pattern STRING").select(
+                "pattern", F.lit(None).cast("double").alias("linear_f1"), F.lit(None).cast("double").alias("random_f1"))
+        row = row.join(extra, "pattern")
+        out = row if out is None else out.unionByName(row)
+    return out
