@@ -78,9 +78,13 @@ def tokenize(col) -> Column:
 
 
 def drop_stop_words(tokens, words=ENGLISH) -> Column:
-    """Remove stop words, keeping order and repeats."""
-    stop = F.array(*[F.lit(w) for w in words])
-    return F.filter(_c(tokens), lambda t: ~F.array_contains(stop, t))
+    """Remove stop words, keeping order and repeats.
+
+    ``isin`` over many literals is planned as a hash-set lookup (``InSet``),
+    not a scan of the list per token.
+    """
+    words = list(words)
+    return F.filter(_c(tokens), lambda t: ~t.isin(words))
 
 
 def token_set(text) -> Column:

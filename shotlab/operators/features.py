@@ -46,13 +46,24 @@ def doc_grams(docs: DataFrame, ngc_max: int = 4, ngw_max: int = 2, stop_words=EN
               key=("doc_id",)) -> DataFrame:
     """``(*key, block, n, term, cnt)``: exact-n gram counts per document.
 
-    The analysed text is materialised first (and kept out of the lambdas),
-    then one explode per document and a hash aggregation with map-side
-    partial counts.
+    The analysed text is materialised first (kept out of the lambdas). Grams
+    are exploded as a plain string array — char grams first, then word grams —
+    so the block is known from the element position; n is recomputed from the
+    term (its length for char grams, its word count for word grams) only after
+    the aggregation, on far fewer rows.
     """
     a = analysed(docs, stop_words, key)
-    g = a.select(*key, F.explode(gram_array(F.col("_chars"), F.col("_toks"), ngc_max, ngw_max)).alias("g"))
-    return (g.groupBy(*key, "g.block", "g.n", "g.term").agg(F.count("*").alias("cnt")))
+    chars = F.concat(*[char_ngrams_col(F.col("_chars"), n) for n in range(1, ngc_max + 1)]) \
+        if ngc_max else F.array().cast("array<string>")
+    words = F.concat(*[word_ngrams_col(F.col("_toks"), n) for n in range(1, ngw_max + 1)]) \
+        if ngw_max else F.array().cast("array<string>")
+    g = (a.select(*key, chars.alias("_c"), words.alias("_w"))
+         .select(*key, F.size("_c").alias("_nc"), F.posexplode(F.concat("_c", "_w")).alias("_i", "term"))
+         .select(*key, (F.col("_i") >= F.col("_nc")).alias("_word"), "term"))
+    c = g.groupBy(*key, "_word", "term").agg(F.count("*").alias("cnt"))
+    n = F.when(F.col("_word"), F.size(F.split("term", " "))).otherwise(F.length("term")).cast("int")
+    return c.select(*key, F.when(F.col("_word"), F.lit("word")).otherwise(F.lit("char")).alias("block"),
+                    n.alias("n"), "term", "cnt")
 
 
 def corpus_grams(docs: DataFrame, ngc_max: int, ngw_max: int, stop_words=ENGLISH) -> DataFrame:

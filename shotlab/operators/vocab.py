@@ -63,7 +63,7 @@ def permutation(vocab: DataFrame, repeats: int, seed: int) -> DataFrame:
 
 
 def permute_tokens(df: DataFrame, tokens_col: str, token_map: DataFrame, protected: DataFrame,
-                   out: str = "permuted") -> DataFrame:
+                   out: str = "permuted", key=("rep", "test_id")) -> DataFrame:
     """Replace every unprotected token by its image under the replicate's permutation.
 
     ``df`` has ``(rep, test_id, tokens_col ARRAY<STRING>)``; ``protected`` is
@@ -71,10 +71,11 @@ def permute_tokens(df: DataFrame, tokens_col: str, token_map: DataFrame, protect
     their position, left-joined to the map (shuffle join: the map grows with
     the vocabulary), and re-collected in position order per prompt.
     """
-    ex = df.select("rep", "test_id", F.posexplode(tokens_col).alias("i", "token"))
+    key = list(key)
+    ex = df.select(*key, F.posexplode(tokens_col).alias("i", "token"))
     prot = protected.select("rep", "token").distinct().withColumn("_p", F.lit(True))
     m = token_map.join(prot, ["rep", "token"], "left_anti")
     j = ex.join(m, ["rep", "token"], "left")
-    j = j.select("rep", "test_id", "i", F.coalesce("new_token", "token").alias("t"))
-    return (j.groupBy("rep", "test_id")
+    j = j.select(*key, "i", F.coalesce("new_token", "token").alias("t"))
+    return (j.groupBy(*key)
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda s: s["t"]).alias(out)))

@@ -257,7 +257,8 @@ def _sql_token_permute():
     return (f"{S.base_ctes(p)},\n{S.texts_ctes(p)},\n{S.demos_cte(p)},\n{S.prompts_ctes(p)},\n{S.perm_ctes(p)},\n"
             f"ptok AS (SELECT rep, test_id, regexp_extract_all(prompt, '{pat}') AS toks FROM prompts),\n"
             f"pu AS (SELECT rep, test_id, unnest(toks) AS token, unnest(generate_series(1, len(toks))) AS i FROM ptok),\n"
-            f"prot AS (SELECT DISTINCT rep, label_word AS token FROM lmap UNION SELECT r.rep, t.token FROM reps r "
+            f"prot AS (SELECT DISTINCT rep, unnest(regexp_extract_all(label_word, '{pat}')) AS token FROM lmap "
+            f"UNION SELECT r.rep, t.token FROM reps r "
             f"CROSS JOIN (SELECT unnest(regexp_extract_all({S.q(t.prompt_x + ' ' + t.prompt_y)}, '{pat}')) AS token) t),\n"
             f"pm AS (SELECT p.* FROM perm p WHERE NOT EXISTS (SELECT 1 FROM prot WHERE prot.rep = p.rep AND prot.token = p.token))\n"
             f"SELECT pu.rep, pu.test_id, string_agg(coalesce(pm.new_token, pu.token), ' ' ORDER BY pu.i) AS permuted "
@@ -267,17 +268,7 @@ def _sql_token_permute():
 @register("token_permute", _sql_token_permute)
 def q_token_permute(spark, sf_dir):
     """Prompt tokens mapped through the replicate's vocabulary permutation; label and template words kept."""
-    from shotlab.operators.sampling import with_reps
-    from shotlab.operators.vocab import corpus_vocab, permutation, permute_tokens
-    from shotlab.functions.text import tokenize
-    pr = _prep(spark, sf_dir, P_TOKEN)
-    toks = X.prompt_tokens(X.prompts(pr))
-    perm = permutation(corpus_vocab(pr.docs), P_TOKEN.repeats, P_TOKEN.seed)
-    tmpl = spark.createDataFrame([(pr.task.prompt_x + " " + pr.task.prompt_y,)], "t STRING") \
-        .select(F.explode(tokenize(F.col("t"))).alias("token"))
-    prot = pr.lmap.select("rep", F.col("label_word").alias("token")).unionByName(
-        with_reps(tmpl, P_TOKEN.repeats).select(F.col("rep").cast("int"), "token"))
-    out = permute_tokens(toks, "tokens", perm, prot)
+    out = X.permuted_prompts(spark, _prep(spark, sf_dir, P_TOKEN))
     return out.select("rep", "test_id", F.array_join("permuted", " ").alias("permuted"))
 
 

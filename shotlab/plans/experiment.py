@@ -162,3 +162,47 @@ def experiment_report(spark: SparkSession, sf_dir: str, base: Params, patterns)
         row = row.join(extra, "pattern")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+# ---------------------------------------------------------------- token pattern
+def protected_tokens(spark: SparkSession, prep: Prepared) -> DataFrame:
+    """``(rep, token)``: tokens of the label words and of the template are never remapped."""
+    from shotlab.operators.sampling import with_reps
+    tmpl = spark.createDataFrame([(prep.task.prompt_x + " " + prep.task.prompt_y,)], "t STRING") \
+        .select(F.explode(tokenize(F.col("t"))).alias("token"))
+    labels = prep.lmap.select("rep", F.explode(tokenize(F.col("label_word"))).alias("token"))
+    return labels.unionByName(with_reps(tmpl, prep.params.repeats).select(F.col("rep").cast("int"), "token"))
+
+
+def permuted_prompts(spark: SparkSession, prep: Prepared, token_map: DataFrame | None = None) -> DataFrame:
+    """Token pattern: ``(rep, test_id, permuted ARRAY<STRING>)`` — the prompt's word tokens
+    with every unprotected token replaced by its image under the replicate's permutation.
+
+    A prompt's tokens are the concatenation of its pieces' tokens (every
+    template starts and ends with a non-word character), so each sampled
+    document is permuted once per replicate and prompts are assembled from
+    the permuted pieces: O(R*(2T+T)) documents remapped instead of
+    O(R*T*(k+1)) texts.
+    """
+    from shotlab.operators.vocab import corpus_vocab, permutation, permute_tokens
+    p = prep.params
+    if token_map is None:
+        token_map = permutation(corpus_vocab(prep.docs), p.repeats, p.seed)
+    texts = sample_texts(prep, "train").unionByName(sample_texts(prep, "test"), allowMissingColumns=True)
+    toks = texts.select("rep", "doc_id", tokenize(F.col("text")).alias("tokens"))
+    perm = permute_tokens(toks, "tokens", token_map, protected_tokens(spark, prep), "ptoks", key=("rep", "doc_id"))
+    xt = tokenize(F.lit(prep.task.prompt_x))
+    yt = tokenize(F.lit(prep.task.prompt_y))
+    pool = prep.sample.filter(F.col("split") == "train").select("rep", F.col("pos").alias("train_pos"), "doc_id",
+                                                               "label_word")
+    pieces = (demonstrations(prep).join(pool, ["rep", "train_pos"]).join(perm, ["rep", "doc_id"])
+              .select("rep", "test_id", "ord",
+                      F.concat(xt, "ptoks", yt, tokenize(F.col("label_word"))).alias("piece")))
+    demo = (pieces.groupBy("rep", "test_id")
+            .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "piece"))),
+                                       lambda s: s["piece"])).alias("demo")))
+    q = (prep.sample.filter(F.col("split") == "test").select("rep", F.col("doc_id").alias("test_id"))
+         .join(perm.withColumnRenamed("doc_id", "test_id"), ["rep", "test_id"]))
+    return (q.join(demo, ["rep", "test_id"], "left")
+            .select("rep", "test_id", F.concat(F.coalesce("demo", F.array().cast("array<string>")),
+                                               xt, "ptoks", yt).alias("permuted")))
