@@ -60,7 +60,9 @@ def strip_accents(col) -> Column:
         out = F.regexp_replace(out, F.lit(_re_escape(ch)), F.lit(img))
     # one scan decides whether the (rare) one-to-many replacements run at all
     any_multi = "[" + "".join(ch for ch, _ in multi) + "]"
-    return F.translate(F.when(s.rlike(any_multi), out).otherwise(s), src, dst)
+    # pure-ASCII texts (most of them) skip the per-character translation
+    return F.when(s.rlike("[^\\x00-\\x7F]"),
+                  F.translate(F.when(s.rlike(any_multi), out).otherwise(s), src, dst)).otherwise(s)
 
 
 def _re_escape(ch: str) -> str:

@@ -50,9 +50,14 @@ def overlap_scores(test: DataFrame, demo_docs: DataFrame, lmap: DataFrame, docs:
     """
     keys = ["rep", "doc_id"] if "rep" in docs.columns else ["doc_id"]
     ids = (test.select(*keys).unionByName(demo_docs.select(*keys))).distinct()
-    toks = docs.join(ids, keys, "left_semi").select(*keys, token_set("text").alias("toks"))
-    qt = toks.withColumnRenamed("doc_id", "test_id").withColumnRenamed("toks", "q")
-    dt = toks.withColumnRenamed("toks", "d")
+    from shotlab.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(docs.sparkSession)
+    # token sets of the sampled documents (bounded by R*3T rows) are read twice below
+    toks = docs.join(ids, keys, "left_semi").select(*keys, token_set("text").alias("toks")).checkpoint(eager=True)
+    # Rows carry whole token arrays: join by shuffle, never broadcast (measured ~3x
+    # slower when AQE broadcasts them, and their size grows with document length).
+    qt = toks.withColumnRenamed("doc_id", "test_id").withColumnRenamed("toks", "q").hint("merge")
+    dt = toks.withColumnRenamed("toks", "d").hint("merge")
     pairs = demo_docs.join(qt, [k if k != "doc_id" else "test_id" for k in keys]).join(dt, keys)
     sums = (pairs.groupBy("rep", "test_id", "label_word")
             .agg(F.sum(jaccard("q", "d")).alias("s")))

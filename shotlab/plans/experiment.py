@@ -36,7 +36,7 @@ class Prepared:
 
 
 def prepare(spark: SparkSession, sf_dir: str, p: Params, vocab: DataFrame | None = None,
-            check_sizes: bool = True) -> Prepared:
+            check_sizes: bool = True, materialize: bool = True) -> Prepared:
     """Scan, label map, replicate samples, verbalised (one small count action for the split sizes)."""
     t = get_task(p.task)
     lab = task_rows(spark, sf_dir, p.task)
@@ -53,6 +53,12 @@ def prepare(spark: SparkSession, sf_dir: str, p: Params, vocab: DataFrame | None
     lmap = label_map(spark, t, p.pattern, p.repeats, p.seed, vocab=vocab)
     smp = sample_replicates(lab, p.test_num, p.repeats, p.seed, sizes=sizes or None)
     smp = verbalize(smp, lmap)
+    if materialize:
+        from shotlab.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
+        # R*3T rows read by every later operator: one reliable checkpoint (in
+        # spark.checkpoint.dir) instead of re-running the sampling windows per use.
+        smp = smp.checkpoint(eager=True)
     return Prepared(p, t, lab, docs, lmap, smp, sizes)
 
 
