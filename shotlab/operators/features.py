@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotlab.functions.stopwords import ENGLISH
+from shotlab.operators.partitioning import spread
 from shotlab.functions.text import (char_ngrams_col, collapse_spaces, drop_stop_words, normalize_text,
                                     smooth_idf, sublinear_tf, tokenize, word_ngrams_col)
 
@@ -52,7 +53,7 @@ def doc_grams(docs: DataFrame, ngc_max: int = 4, ngw_max: int = 2, stop_words=EN
     term (its length for char grams, its word count for word grams) only after
     the aggregation, on far fewer rows.
     """
-    a = analysed(docs, stop_words, key)
+    a = analysed(spread(docs), stop_words, key)
     chars = F.concat(*[char_ngrams_col(F.col("_chars"), n) for n in range(1, ngc_max + 1)]) \
         if ngc_max else F.array().cast("array<string>")
     words = F.concat(*[word_ngrams_col(F.col("_toks"), n) for n in range(1, ngw_max + 1)]) \
@@ -101,7 +102,7 @@ def membership(vocab: DataFrame) -> DataFrame:
             .agg(F.sum(F.expr("shiftleft(1, n_max)")).alias("mask"), F.first("df").alias("df")))
 
 
-def weights(doc_terms: DataFrame, mem: DataFrame, tfidf: bool, n_fit: int) -> DataFrame:
+def weights(doc_terms: DataFrame, mem: DataFrame, tfidf: bool, n_fit: int, keep=()) -> DataFrame:
     """``(rep, doc_id, block, term, mask, w)``: in-vocabulary terms of each document.
 
     Out-of-vocabulary terms drop out of the inner join. ``w`` is the count, or
@@ -109,7 +110,7 @@ def weights(doc_terms: DataFrame, mem: DataFrame, tfidf: bool, n_fit: int) -> Da
     """
     j = doc_terms.join(mem, ["rep", "block", "term"])
     w = (sublinear_tf("cnt") * smooth_idf(F.lit(float(n_fit)), F.col("df"))) if tfidf else F.col("cnt").cast("double")
-    return j.select("rep", "doc_id", "block", "term", "mask", w.alias("w"))
+    return j.select("rep", "doc_id", *keep, "block", "term", "mask", w.alias("w"))
 
 
 def features(doc_terms: DataFrame, vocab: DataFrame, ngc: int, ngw: int, tfidf: bool, n_fit: int) -> DataFrame:
@@ -137,7 +138,7 @@ def kernels(train_w: DataFrame, all_w: DataFrame, ngc_max: int, ngw_max: int, tf
     products are divided by both documents' per-range L2 norms. Pairs with no
     shared term are absent (dot product 0).
     """
-    a = train_w.select("rep", "block", "term", "mask", F.col("doc_id").alias("i"), F.col("w").alias("wi"))
+    a = train_w.select("rep", "block", "term", "mask", F.col("doc_id").alias("i"), F.col("w").alias("wi")).hint("merge")
     b = all_w.select("rep", "block", "term", F.col("doc_id").alias("j"), F.col("w").alias("wj"))
     prod = a.join(b, ["rep", "block", "term"]).withColumn("p", F.col("wi") * F.col("wj"))
     cols = []

@@ -17,9 +17,20 @@ def _logsumexp(F):
     return (m + np.log(np.exp(F - m).sum(axis=1, keepdims=True)))[:, 0]
 
 
-def fit_binary(K, t, C, tol=1e-9, max_iter=200):
+def _solve(M, rhs):
+    """Newton step. The tiny ridge removes the null directions (a common shift of
+    the intercepts; duplicate training rows) and leaves the step otherwise
+    unchanged; the gradient stays exact, so the optimum is the same."""
+    ridge = 1e-10 * max(1.0, float(np.abs(M).max()))
+    try:
+        return np.linalg.solve(M + ridge * np.eye(M.shape[0]), rhs)
+    except np.linalg.LinAlgError:
+        return np.linalg.lstsq(M, rhs, rcond=None)[0]
+
+
+def fit_binary(K, t, C, tol=1e-9, max_iter=200, init=None):
     n = K.shape[0]
-    a, b = np.zeros(n), 0.0
+    a, b = (np.zeros(n), 0.0) if init is None else (init[0].copy(), float(init[1]))
 
     def obj(a, b):
         f = K @ a + b
@@ -40,7 +51,7 @@ def fit_binary(K, t, C, tol=1e-9, max_iter=200):
         M[:n, n] = C * d
         M[n, :n] = d @ K
         M[n, n] = d.sum()
-        step = np.linalg.lstsq(M, -np.concatenate([g1, [g2]]), rcond=None)[0]
+        step = _solve(M, -np.concatenate([g1, [g2]]))
         da, db = step[:n], step[n]
         s_ = 1.0
         while s_ > 1e-12:
@@ -57,11 +68,11 @@ def fit_binary(K, t, C, tol=1e-9, max_iter=200):
     return a, b
 
 
-def fit_multinomial(K, y, L, C, tol=1e-9, max_iter=200):
+def fit_multinomial(K, y, L, C, tol=1e-9, max_iter=200, init=None):
     n = K.shape[0]
     Y = np.zeros((n, L))
     Y[np.arange(n), y] = 1.0
-    A, b = np.zeros((n, L)), np.zeros(L)
+    A, b = (np.zeros((n, L)), np.zeros(L)) if init is None else (init[0].copy(), init[1].copy())
 
     def obj(A, b):
         F = K @ A + b
@@ -79,15 +90,14 @@ def fit_multinomial(K, y, L, C, tol=1e-9, max_iter=200):
         if max(np.abs(g1).max(), np.abs(g2).max()) < tol:
             break
         H = P[:, :, None] * np.eye(L)[None] - P[:, :, None] * P[:, None, :]      # n x L x L
-        M = np.zeros((nL + L + 1, nL + L))
+        M = np.zeros((nL + L, nL + L))
         E = C * K[:, :, None, None] * H[:, None, :, :]                               # i, j, c, d
         M[:nL, :nL] = E.transpose(0, 2, 1, 3).reshape(nL, nL) + np.eye(nL)
         M[:nL, nL:] = C * H.reshape(nL, L)
         M[nL:nL + L, :nL] = np.einsum("icd,ij->cjd", H, K).reshape(L, nL)
         M[nL:nL + L, nL:] = H.sum(axis=0)
-        M[nL + L, nL:] = 1.0                                                          # sum of intercept steps = 0
-        rhs = -np.concatenate([g1.ravel(), g2, [0.0]])
-        step = np.linalg.lstsq(M, rhs, rcond=None)[0]
+        rhs = -np.concatenate([g1.ravel(), g2])
+        step = _solve(M, rhs)
         dA, db = step[:nL].reshape(n, L), step[nL:]
         s_ = 1.0
         while s_ > 1e-12:
@@ -104,17 +114,22 @@ def fit_multinomial(K, y, L, C, tol=1e-9, max_iter=200):
     return A, b
 
 
-def fit_predict(K_tr, y_tr, K_te, C):
-    """Fit on (K_tr, y_tr), predict rows of K_te (test x train). Returns class labels."""
+def fit_predict(K_tr, y_tr, K_te, C, init=None, return_state=False):
+    """Fit on (K_tr, y_tr), predict rows of K_te (test x train). Returns class labels
+    (and the solver state, to warm-start the next C)."""
     classes = np.unique(y_tr)
+    state = None
     if len(classes) == 1:                # a single class: nothing to separate
-        return np.full(K_te.shape[0], classes[0])
-    yi = np.searchsorted(classes, y_tr)
-    if len(classes) == 2:
-        a, b = fit_binary(K_tr, (yi == 1).astype(float), C)
-        return np.where(K_te @ a + b > 0, classes[1], classes[0])
-    A, b = fit_multinomial(K_tr, yi, len(classes), C)
-    return classes[np.argmax(K_te @ A + b, axis=1)]
+        pred = np.full(K_te.shape[0], classes[0])
+    elif len(classes) == 2:
+        yi = np.searchsorted(classes, y_tr)
+        a, b = fit_binary(K_tr, (yi == 1).astype(float), C, init=init)
+        pred, state = np.where(K_te @ a + b > 0, classes[1], classes[0]), (a, b)
+    else:
+        yi = np.searchsorted(classes, y_tr)
+        A, b = fit_multinomial(K_tr, yi, len(classes), C, init=init)
+        pred, state = classes[np.argmax(K_te @ A + b, axis=1)], (A, b)
+    return (pred, state) if return_state else pred
 
 
 def gradient_norm(K, y_idx, L, C, A, b):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotlab.functions.text import token_set
+from shotlab.operators.partitioning import sampled_docs
 
 SCORE_SCHEMA = "rep INT, test_id BIGINT, label_idx INT, score DOUBLE"
 
@@ -53,7 +54,8 @@ def overlap_scores(test: DataFrame, demo_docs: DataFrame, lmap: DataFrame, docs:
     from shotlab.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(docs.sparkSession)
     # token sets of the sampled documents (bounded by R*3T rows) are read twice below
-    toks = docs.join(ids, keys, "left_semi").select(*keys, token_set("text").alias("toks")).checkpoint(eager=True)
+    sel = sampled_docs(docs, ids) if keys == ["doc_id"] else docs.join(ids, keys, "left_semi")
+    toks = sel.select(*keys, token_set("text").alias("toks")).checkpoint(eager=True)
     # Rows carry whole token arrays: join by shuffle, never broadcast (measured ~3x
     # slower when AQE broadcasts them, and their size grows with document length).
     qt = toks.withColumnRenamed("doc_id", "test_id").withColumnRenamed("toks", "q").hint("merge")

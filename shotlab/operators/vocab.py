@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shotlab.functions.hashing import hkey
 from shotlab.functions.text import WORD_PATTERN, tokenize
+from shotlab.operators.partitioning import spread
 from shotlab.operators.sampling import with_reps
 
 
@@ -16,7 +17,7 @@ def corpus_vocab(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     A distributed ``distinct`` (partial aggregation before the shuffle).
     """
-    toks = docs.select(F.explode(tokenize(F.col(text_col))).alias("token")).distinct()
+    toks = spread(docs).select(F.explode(tokenize(F.col(text_col))).alias("token")).distinct()
     return toks.filter(single_token("token"))
 
 

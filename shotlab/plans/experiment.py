@@ -125,7 +125,8 @@ def baseline_sets(prep: Prepared, max_attempts: int = 32):
     need = test.groupBy("rep").agg(F.countDistinct("y").alias("n_classes"))
     cov = coverage_sample(pool, p.k, need, p.seed, max_attempts)
     fit = cov.select("rep", "doc_id", F.col("label_idx").alias("y"), "attempt")
-    return fit, test
+    # both sets are R*k and R*T rows and are read several times by the grid
+    return fit.checkpoint(eager=True), test.checkpoint(eager=True)
 
 
 def linear_baseline(spark: SparkSession, prep: Prepared, tfidf: bool | None = None):

@@ -12,6 +12,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "shotlab") -> SparkSession:
     """Local session for tests / bench. On a cluster use the provided session."""
     cpus = os.environ.get("BENCH_CPUS", "8")
+    for var in ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS", "MKL_NUM_THREADS"):
+        os.environ.setdefault(var, "1")     # local mode: Python workers inherit the driver's env
     master = master or f"local[{cpus}]"
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.ui.enabled", "false")
@@ -22,6 +24,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.ui.showConsoleProgress", "false")
+         # one BLAS thread per Python worker: the workers already fill the cores
+         .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
+         .config("spark.executorEnv.OMP_NUM_THREADS", "1")
+         .config("spark.executorEnv.MKL_NUM_THREADS", "1")
          .config("spark.driver.memory", os.environ.get("SHOTLAB_DRIVER_MEM", "16g")))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
