@@ -559,3 +559,11 @@ def q_score_hook(spark, sf_dir):
 def q_experiment_report(spark, sf_dir):
     """Pattern matrix: stand-in F1 and rank, linear and random baselines (rows-only)."""
     return X.experiment_report(spark, sf_dir, CHECK, ["none", "label", "memo_label_kw"])
+
+
+@register("linear_grid_tfidf")
+def q_linear_grid_tfidf(spark, sf_dir):
+    """The same grid on TF-IDF features (sublinear tf, smooth idf, L2 per block; rows-only)."""
+    pr = _prep(spark, sf_dir)
+    grid, _, _ = X.linear_baseline(spark, pr, tfidf=True)
+    return grid.select("rep", "c", "solver", "ngc_max", "ngw_max", F.round("f1", 6).alias("f1"))
