@@ -42,7 +42,8 @@ def dense_index(df: DataFrame, by: list[str], order: list, out: str = "idx") ->
     # execution's shuffle, so ids stay consistent under executor loss.
     s = s.persist(StorageLevel.MEMORY_AND_DISK)
     parts = s.groupBy("_pid", *by).agg(F.min("_rec").alias("_first"), F.count("*").alias("_cnt"))
-    w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_pid") \
+        .rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_start", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
     # The partition table has (#partitions x #groups) rows: bounded by the plan, not the data.
     s = s.join(F.broadcast(parts.select("_pid", *by, "_first", "_start")), ["_pid", *by])
@@ -56,11 +57,12 @@ def permutation(vocab: DataFrame, repeats: int, seed: int) -> DataFrame:
     Token at position q in token order maps to the token at position q in
     key order; both positions come from ``dense_index``.
     """
+    # Token order is the same in every replicate: index V rows once, not R*V.
+    by_tok = dense_index(vocab.select("token"), [], [F.col("token")], "q")
     v = with_reps(vocab.select("token"), repeats).withColumn("rep", F.col("rep").cast("int"))
-    by_tok = dense_index(v, ["rep"], [F.col("token")], "q")
     by_key = dense_index(v.withColumn("_h", hkey(seed, "permute", "rep", "token")), ["rep"],
                          [F.col("_h"), F.col("token")], "q").select("rep", "q", F.col("token").alias("new_token"))
-    return by_tok.join(by_key, ["rep", "q"]).select("rep", "token", "new_token")
+    return by_key.join(by_tok, "q").select("rep", "token", "new_token")
 
 
 def permute_tokens(df: DataFrame, tokens_col: str, token_map: DataFrame, protected: DataFrame,

@@ -150,25 +150,24 @@ def experiment_report(spark: SparkSession, sf_dir: str, base: Params, patterns)
     """
     from shotlab.operators.linear import grid_space, random_predictions
     from shotlab.operators.metrics import grid_best, mean0
-    out = None
+    parts = []
     for pat in patterns:
         p = base.with_(pattern=pat)
         prep = prepare(spark, sf_dir, p)
-        row = prompting_report(prep).select(F.lit(pat).alias("pattern"), "mean_f1", "mean_rank", "n_prompts")
+        parts.append(prompting_report(prep).select(F.lit(pat).alias("pattern"), "mean_f1", "mean_rank", "n_prompts"))
         if pat in ("none", "token", "label"):
             _, _, lin = linear_baseline(spark, prep)
             _, test = baseline_sets(prep)
             rnd = random_predictions(test, grid_space(spark), p.seed)
             rf1 = grid_best(macro_f1(rnd, by=("rep", "c", "solver", "ngc_max", "ngw_max"), out="f1"))
-            rmean = rf1.agg(mean0("best_f1").alias("random_f1"))
-            extra = lin.select(F.lit(pat).alias("pattern"), "linear_f1").join(
-                rmean.select(F.lit(pat).alias("pattern"), "random_f1"), "pattern")
-        else:
-            extra = spark.createDataFrame([(pat,)], "pattern STRING").select(
-                "pattern", F.lit(None).cast("double").alias("linear_f1"), F.lit(None).cast("double").alias("random_f1"))
-        row = row.join(extra, "pattern")
-        out = row if out is None else out.unionByName(row)
-    return out
+            parts.append(lin.select(F.lit(pat).alias("pattern"), "linear_f1"))
+            parts.append(rf1.agg(mean0("best_f1").alias("random_f1")).select(F.lit(pat).alias("pattern"), "random_f1"))
+    # 1-row summaries per pattern: union, then one small aggregation (no joins between them)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.groupBy("pattern").agg(*[F.max(c).alias(c) for c in
+                                        ("mean_f1", "mean_rank", "n_prompts", "linear_f1", "random_f1")])
 
 
 # ---------------------------------------------------------------- token pattern
