@@ -357,7 +357,7 @@ def _fit_vocab_df(spark, sf_dir, char_cap, word_cap):
     from shotlab.operators.features import doc_grams, fit_vocab
     pr, fit, test = _baseline_inputs(spark, sf_dir)
     ids = fit.select("doc_id").unionByName(test.select("doc_id")).distinct()
-    grams = doc_grams(pr.docs.join(ids, "doc_id", "left_semi"), 4, 2)
+    grams = doc_grams(X.doc_texts(pr).join(F.broadcast(ids), "doc_id", "left_semi"), 4, 2)
     ft = fit.select("rep", "doc_id").join(grams, "doc_id")
     tt = test.select("rep", "doc_id").join(grams, "doc_id")
     return ft, tt, fit_vocab(ft, 4, 2, char_cap, word_cap)
@@ -419,7 +419,7 @@ def q_vocab_coverage(spark, sf_dir):
     """Word / character overlap of baseline train and test texts, pooled over replicates."""
     from shotlab.operators.features import vocab_coverage
     pr, fit, test = _baseline_inputs(spark, sf_dir)
-    out = vocab_coverage(fit.join(pr.docs, "doc_id"), test.join(pr.docs, "doc_id"))
+    out = vocab_coverage(pr.docs.join(F.broadcast(fit), "doc_id"), pr.docs.join(F.broadcast(test), "doc_id"))
     return out.select("unit", "n_train", "n_test", "n_common", F.round("share", 6).alias("share"))
 
 

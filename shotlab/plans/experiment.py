@@ -33,6 +33,7 @@ class Prepared:
     lmap: DataFrame          # (rep, task, label_idx, label_word, label_org)
     sample: DataFrame        # (rep, split, pos, doc_id, label_idx, label_word)
     sizes: dict
+    _texts: DataFrame | None = None
 
 
 def prepare(spark: SparkSession, sf_dir: str, p: Params, vocab: DataFrame | None = None,
@@ -62,12 +63,34 @@ def prepare(spark: SparkSession, sf_dir: str, p: Params, vocab: DataFrame | None
     return Prepared(p, t, lab, docs, lmap, smp, sizes)
 
 
-def sample_texts(prep: Prepared, split: str) -> DataFrame:
-    """Sample rows of one split with their text (memo patterns: text := original label word)."""
-    s = prep.sample.filter(F.col("split") == split)
+def texts(prep: Prepared) -> DataFrame:
+    """Sample rows with their text (memo patterns: text := original label word).
+
+    The documents table is scanned once per experiment: the sample (<= R*3T
+    rows) is the broadcast build side and the documents stream past it, so
+    the text column is never shuffled; the matched rows are checkpointed and
+    every later consumer (prompts, scorer, baseline) reads them.
+    """
+    if prep._texts is None:
+        if "memo_label" in prep.params.pattern:
+            t = memo_text(prep.sample, prep.lmap)
+        else:
+            t = prep.docs.join(F.broadcast(prep.sample), "doc_id")
+        prep._texts = t.checkpoint(eager=True)
+    return prep._texts
+
+
+def doc_texts(prep: Prepared) -> DataFrame:
+    """``(doc_id, text)`` of the distinct sampled documents (original texts)."""
     if "memo_label" in prep.params.pattern:
-        return memo_text(s, prep.lmap)
-    return s.join(prep.docs, "doc_id")
+        t = prep.docs.join(F.broadcast(prep.sample.select("doc_id").distinct()), "doc_id")
+        return t.select("doc_id", "text")
+    return texts(prep).select("doc_id", "text").dropDuplicates(["doc_id"])
+
+
+def sample_texts(prep: Prepared, split: str) -> DataFrame:
+    """Sample rows of one split with their text."""
+    return texts(prep).filter(F.col("split") == split)
 
 
 def demonstrations(prep: Prepared) -> DataFrame:
@@ -94,9 +117,10 @@ def overlap_eval(prep: Prepared):
     test = prep.sample.filter(F.col("split") == "test")
     pool = prep.sample.filter(F.col("split") == "train")
     dd = demo_rows(demonstrations(prep), pool, ("doc_id", "label_word"))
-    docs = prep.docs
     if "memo_label" in prep.params.pattern:
-        docs = memo_text(prep.sample.select("rep", "doc_id", "label_word"), prep.lmap).select("rep", "doc_id", "text")
+        docs = texts(prep).select("rep", "doc_id", "text")
+    else:
+        docs = doc_texts(prep)
     scores = overlap_scores(test, dd, prep.lmap, docs)
     preds = predict_and_rank(scores, gold(prep))
     f1 = macro_f1(preds)
@@ -135,7 +159,7 @@ def linear_baseline(spark: SparkSession, prep: Prepared, tfidf: bool | None = No
     from shotlab.operators.metrics import grid_best, mean0
     p = prep.params
     fit, test = baseline_sets(prep)
-    grid = linear_grid(fit.select("rep", "doc_id", "y"), test, prep.docs, grid_space(spark), p.k,
+    grid = linear_grid(fit.select("rep", "doc_id", "y"), test, doc_texts(prep), grid_space(spark), p.k,
                        p.tfidf if tfidf is None else tfidf, p.seed)
     best = grid_best(grid)
     summary = best.agg(mean0("best_f1").alias("linear_f1"), F.count("*").alias("n_reps"))
