@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,29 +64,27 @@ def prepare(spark: SparkSession, sf_dir: str, p: Params, vocab: DataFrame | None
     return Prepared(p, t, lab, docs, lmap, smp, sizes)
 
 
-def texts(prep: Prepared) -> DataFrame:
-    """Sample rows with their text (memo patterns: text := original label word).
+def doc_texts(prep: Prepared) -> DataFrame:
+    """``(doc_id, text)`` of the distinct sampled documents (original texts).
 
-    The documents table is scanned once per experiment: the sample (<= R*3T
-    rows) is the broadcast build side and the documents stream past it, so
-    the text column is never shuffled; the matched rows are checkpointed and
-    every later consumer (prompts, scorer, baseline) reads them.
+    The documents table is scanned once per experiment: the distinct sampled
+    ids (<= R*3T) are the broadcast build side and the documents stream past
+    them, so the text column is never shuffled. The matched rows are
+    persisted for the later consumers (prompts, scorer, baseline); a lost
+    block is recomputed from this same scan.
     """
     if prep._texts is None:
-        if "memo_label" in prep.params.pattern:
-            t = memo_text(prep.sample, prep.lmap)
-        else:
-            t = prep.docs.join(F.broadcast(prep.sample), "doc_id")
-        prep._texts = t.checkpoint(eager=True)
+        ids = prep.sample.select("doc_id").distinct()
+        prep._texts = (prep.docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text")
+                       .persist(StorageLevel.MEMORY_AND_DISK))
     return prep._texts
 
 
-def doc_texts(prep: Prepared) -> DataFrame:
-    """``(doc_id, text)`` of the distinct sampled documents (original texts)."""
+def texts(prep: Prepared) -> DataFrame:
+    """Sample rows with their text (memo patterns: text := original label word)."""
     if "memo_label" in prep.params.pattern:
-        t = prep.docs.join(F.broadcast(prep.sample.select("doc_id").distinct()), "doc_id")
-        return t.select("doc_id", "text")
-    return texts(prep).select("doc_id", "text").dropDuplicates(["doc_id"])
+        return memo_text(prep.sample, prep.lmap)
+    return doc_texts(prep).join(F.broadcast(prep.sample), "doc_id")
 
 
 def sample_texts(prep: Prepared, split: str) -> DataFrame:
