@@ -551,7 +551,7 @@ def q_score_hook(spark, sf_dir):
     """Model hook (mapInPandas) with a toy batch scorer; predictions and gold ranks (rows-only)."""
     from shotlab.operators.scoring import overlap_fn, score_with
     pr = _prep(spark, sf_dir)
-    scores = score_with(X.prompts(pr), pr.lmap, overlap_fn())
+    scores = score_with(X.scoring_prompts(spark, pr), pr.lmap, overlap_fn())
     return predict_and_rank(scores, X.gold(pr))
 
 

@@ -235,3 +235,17 @@ def permuted_prompts(spark: SparkSession, prep: Prepared, token_map: DataFrame |
     return (q.join(demo, ["rep", "test_id"], "left")
             .select("rep", "test_id", F.concat(F.coalesce("demo", F.array().cast("array<string>")),
                                                xt, "ptoks", yt).alias("permuted")))
+
+
+def scoring_prompts(spark: SparkSession, prep: Prepared) -> DataFrame:
+    """What a model scores: ``(rep, test_id, gold_word, prompt)``.
+
+    For the token pattern the prompt is the permuted token sequence (joined by
+    one space), as the reference feeds permuted token ids to its model; for
+    every other pattern it is the assembled prompt string.
+    """
+    pr = prompts(prep)
+    if prep.params.pattern != "token":
+        return pr
+    perm = permuted_prompts(spark, prep).select("rep", "test_id", F.array_join("permuted", " ").alias("prompt"))
+    return pr.drop("prompt").join(perm, ["rep", "test_id"])
