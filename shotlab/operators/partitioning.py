@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+SMALL_PER_CORE = 64 << 20
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Repartition to the cluster's parallelism only when the input has fewer partitions.
+    """Repartition small inputs over the cluster's cores before per-character work.
 
-    A small file stored as one parquet row group scans as one busy task; the
-    per-character work after it (n-grams, tokenising) would then run on one
-    core. A large scan already has more splits than cores and passes through
-    unchanged (no shuffle of the text).
+    A small file is often one parquet row group, which scans as one busy task
+    however many (empty) splits the scan reports; the n-gram and tokenising
+    work after it would run on one core. Inputs whose estimated size is below
+    ~64 MB per core are round-robined to the default parallelism (a cheap
+    shuffle at that size); large scans have many row groups and pass through
+    unchanged, so the text of a big table is never shuffled here.
     """
     par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        small = size < SMALL_PER_CORE * par
+    except Exception:  # noqa: BLE001 - statistics unavailable: fall back to the split count
+        small = df.rdd.getNumPartitions() < par
+    if not small:
         return df
     return df.repartition(par, *cols) if cols else df.repartition(par)
 

@@ -8,6 +8,15 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+def _driver_mem() -> str:
+    """~60% of physical memory, at most 16g (local mode: the driver is the executor)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+        return f"{max(1, min(16, int(total * 0.6 / 2**30)))}g"
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "shotlab") -> SparkSession:
     """Local session for tests / bench. On a cluster use the provided session."""
@@ -28,7 +37,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
          .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
          .config("spark.executorEnv.OMP_NUM_THREADS", "1")
          .config("spark.executorEnv.MKL_NUM_THREADS", "1")
-         .config("spark.driver.memory", os.environ.get("SHOTLAB_DRIVER_MEM", "16g")))
+         .config("spark.driver.memory", os.environ.get("SHOTLAB_DRIVER_MEM", _driver_mem())))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
