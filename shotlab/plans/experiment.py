@@ -149,7 +149,12 @@ def baseline_sets(prep: Prepared, max_attempts: int = 32):
     cov = coverage_sample(pool, p.k, need, p.seed, max_attempts)
     fit = cov.select("rep", "doc_id", F.col("label_idx").alias("y"), "attempt")
     # both sets are R*k and R*T rows and are read several times by the grid
-    return fit.checkpoint(eager=True), test.checkpoint(eager=True)
+    fit, test = fit.checkpoint(eager=True), test.checkpoint(eager=True)
+    covered = fit.select("rep").distinct().count()
+    if covered < p.repeats:
+        raise ValueError(f"{p.repeats - covered} replicate(s) found no k={p.k} train sample covering their test "
+                         f"classes in {max_attempts} attempts (the reference would loop forever)")
+    return fit, test
 
 
 def linear_baseline(spark: SparkSession, prep: Prepared, tfidf: bool | None = None):

@@ -88,3 +88,22 @@ def test_replicate_sample_sizes(spark):
     pr = prepare(spark, SF, Params(k=4, test_num=8, repeats=2))
     got = {(r["rep"], r["split"]): r["n"] for r in pr.sample.groupBy("rep", "split").agg(F.count("*").alias("n")).collect()}
     assert got == {(0, "train"): 16, (0, "test"): 8, (1, "train"): 16, (1, "test"): 8}
+
+
+def test_coverage_sample_covers_test_classes(spark):
+    from shotlab.config import Params
+    from shotlab.plans.experiment import baseline_sets, prepare
+    p = Params(task="ag_news", k=6, test_num=12, repeats=4)
+    fit, test = baseline_sets(prepare(spark, SF, p))
+    got = {r["rep"]: r["n"] for r in fit.groupBy("rep").agg(F.countDistinct("y").alias("n")).collect()}
+    need = {r["rep"]: r["n"] for r in test.groupBy("rep").agg(F.countDistinct("y").alias("n")).collect()}
+    assert all(got[r] >= min(need[r], p.k) for r in need)
+    assert {r["rep"]: r["n"] for r in fit.groupBy("rep").count().withColumnRenamed("count", "n").collect()} == \
+        {r: p.k for r in range(p.repeats)}
+
+
+def test_memo_texts_are_original_labels(spark):
+    from shotlab.config import Params
+    from shotlab.plans.experiment import prepare, texts
+    pr = prepare(spark, SF, Params(k=4, test_num=8, repeats=2, pattern="memo_label_kw"))
+    assert {r["text"] for r in texts(pr).collect()} <= set(pr.task.labels)
