@@ -17,6 +17,8 @@ from shotlab.functions.hashing import hfrac, hkey, hnum
 
 # Above this many rows per replicate a hash-threshold prefilter runs first.
 PREFILTER_MIN_ROWS = 200_000
+# Prefilter keeps rows whose key fraction is below (k + A*sqrt(k) + B) / n.
+PREFILTER_MARGIN = (8.0, 32.0)
 
 
 def replicates(spark: SparkSession, repeats: int, seed: int) -> DataFrame:
@@ -51,7 +53,8 @@ def sample_k(base: DataFrame, k: int, repeats: int, seed: int, salt: str,
     src = reps
     cand = None
     if use and n:
-        thr = min(1.0, (k + 8.0 * math.sqrt(k) + 32.0) / n)
+        a, b = PREFILTER_MARGIN
+        thr = min(1.0, max(0.0, (k + a * math.sqrt(k) + b) / n))
         cand = reps.filter(hfrac(seed, salt, "rep", id_col) < F.lit(thr)).persist(StorageLevel.MEMORY_AND_DISK)
         counts = {r["rep"]: r["n"] for r in cand.groupBy("rep").agg(F.count("*").alias("n")).collect()}
         need = min(k, n)

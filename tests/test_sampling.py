@@ -107,3 +107,10 @@ def test_memo_texts_are_original_labels(spark):
     from shotlab.plans.experiment import prepare, texts
     pr = prepare(spark, SF, Params(k=4, test_num=8, repeats=2, pattern="memo_label_kw"))
     assert {r["text"] for r in texts(pr).collect()} <= set(pr.task.labels)
+
+
+def test_prefilter_fallback_stays_exact(spark, monkeypatch):
+    import shotlab.operators.sampling as S
+    exact = sorted(sample_k(_base(spark, 3000), 25, 3, 42, "t", prefilter=False).collect())
+    monkeypatch.setattr(S, "PREFILTER_MARGIN", (-4.0, -10.0))   # keeps fewer than k: must fall back
+    assert sorted(sample_k(_base(spark, 3000), 25, 3, 42, "t", prefilter=True).collect()) == exact
