@@ -79,12 +79,17 @@ def q_label_coarsen(spark, sf_dir):
 
 
 def _sql_replicate_sample():
-    return f"{S.base_ctes(CHECK)}\nSELECT rep, split, pos, doc_id, label_idx FROM smp"
+    seed = f"CAST({S.sql_hnum(CHECK.seed, 'rep', 'rep')} % 99999 + 1 AS INTEGER)"
+    return f"{S.base_ctes(CHECK)}\nSELECT rep, {seed} AS rep_seed, split, pos, doc_id, label_idx FROM smp"
 
 
 @register("replicate_sample", _sql_replicate_sample)
 def q_replicate_sample(spark, sf_dir):
-    return _prep(spark, sf_dir).sample.select("rep", "split", "pos", "doc_id", "label_idx")
+    """Per replicate (with its derived seed in [1, 99999]): 2T pool rows and T test rows."""
+    from shotlab.operators.sampling import replicates
+    s = _prep(spark, sf_dir).sample
+    return (s.join(F.broadcast(replicates(spark, CHECK.repeats, CHECK.seed)), "rep")
+            .select("rep", "rep_seed", "split", "pos", "doc_id", "label_idx"))
 
 
 def _sql_label_verbalize():
