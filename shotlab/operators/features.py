@@ -91,9 +91,16 @@ def fit_vocab(fit_grams: DataFrame, ngc_max: int, ngw_max: int,
                                                              F.count("*").alias("df"))
     per = expand_ranges(per, ngc_max, ngw_max)
     cap = F.when(F.col("block") == "char", F.lit(char_cap)).otherwise(F.lit(word_cap))
+    # Only groups with more distinct terms than the cap need ranking; the others
+    # keep every term without a per-group sort. (R x blocks x ranges rows: broadcast.)
+    sizes = per.groupBy("rep", "block", "n_max").agg(F.count("*").alias("_size"))
+    per = per.join(F.broadcast(sizes), ["rep", "block", "n_max"])
+    keep_all = per.filter(F.col("_size") <= cap)
+    ranked = per.filter(F.col("_size") > cap)
     w = Window.partitionBy("rep", "block", "n_max").orderBy(F.desc("cf"), F.col("term"))
-    return (per.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= cap)
-            .select("rep", "block", "n_max", "term", "cf", "df"))
+    ranked = ranked.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= cap)
+    cols = ["rep", "block", "n_max", "term", "cf", "df"]
+    return keep_all.select(*cols).unionByName(ranked.select(*cols))
 
 
 def membership(vocab: DataFrame) -> DataFrame:
