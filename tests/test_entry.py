@@ -34,3 +34,22 @@ def test_prompting_pipeline_properties(spark):
     assert all(1 <= r["gold_rank"] <= len(pr.task.labels) for r in pr_rows)
     assert all(r["gold_rank"] == 1 for r in pr_rows if r["gold_idx"] == r["pred_idx"])
     assert all(0 <= r["macro_f1"] <= 1 and not math.isnan(r["macro_f1"]) for r in f1.collect())
+
+
+def test_score_hook_with_constant_scorer(spark):
+    import pandas as pd
+    from shotlab.config import CHECK
+    from shotlab.operators.ranking import predict_and_rank
+    from shotlab.operators.scoring import score_with
+    from shotlab.plans import experiment as X
+
+    def const(batches):
+        for pdf in batches:
+            rows = [(r, t, i, 0.5) for r, t, labels in zip(pdf["rep"], pdf["test_id"], pdf["labels"])
+                    for i in range(len(labels))]
+            yield pd.DataFrame(rows, columns=["rep", "test_id", "label_idx", "score"])
+
+    pr = X.prepare(spark, SF, CHECK)
+    preds = predict_and_rank(score_with(X.scoring_prompts(spark, pr), pr.lmap, const), X.gold(pr)).collect()
+    assert len(preds) == CHECK.repeats * CHECK.test_num
+    assert all(r["pred_idx"] == 0 and r["gold_rank"] == 1 for r in preds)
