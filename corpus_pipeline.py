@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shotlab.llm import common, quality, secrets
+from shotlab.llm import common, packing, quality, secrets, simhash
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,12 +17,22 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each SimHash group."""
+    return simhash.keep_one(docs, shingle=4, radius=4)
+
+
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, found secrets replaced by a mark."""
     return secrets.redact(docs)
 
 
-STAGES = [("quality_rules", good), ("secret_scan", redacted)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequences: one row per piece of a document."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality_rules", good), ("simhash_dedup", one_of_each_group), ("secret_scan", redacted), ("best_fit_packing", packed)]
 #: SimHash fingerprints (XXH64) have no SQL; tests compare the rows with a brute-force version.
 ORACLE_SQL = None
 

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from shotlab.llm import common, oracles, quality, secrets, urls
+from shotlab.llm import common, oracles, packing, pfor, quality, secrets, simhash, urls
 
 QUERIES: dict[str, tuple] = {}
 
@@ -33,6 +33,21 @@ def op4(spark, sf_dir):
     return rows.select("doc.doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+@register("op7_simhash_dedup")
+def op7(spark, sf_dir):
+    return simhash.report(common.table(spark, sf_dir, "documents"))
+
+
+@register("op8_best_fit_packing")
+def op8(spark, sf_dir):
+    return packing.pack(common.table(spark, sf_dir, "documents"))
+
+
+@register("op9_token_files")
+def op9(spark, sf_dir):
+    return pfor.round_trip(common.table(spark, sf_dir, "documents"))
+
+
 @register("op10_secret_scan", oracles.SECRETS)
 def op10(spark, sf_dir):
     return secrets.report(common.table(spark, sf_dir, "documents"))
