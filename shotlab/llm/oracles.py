@@ -40,8 +40,8 @@ g AS (SELECT rid, i, ws[i:i + 4] AS gram FROM (SELECT rid, ws, unnest(range(1, l
 hit AS (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM g) WHERE n >= 2),
 rep AS (SELECT rid, sum(least(5, coalesce(nxt - i, 5))) AS n FROM hit GROUP BY rid),
 f AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls,
-        [x::DOUBLE FOR x IN [{', '.join(counts)}]] AS c0, [lower(x) FOR x IN ws] AS lw, CASE lang {words} END AS cw FROM w),
-h AS (SELECT *, list_append(c0, length(t) - list_sum(c0)) AS hc, CASE WHEN cw IS NOT NULL THEN [len(list_filter(lw, lambda y: y = x))::DOUBLE FOR x IN cw] END AS k0 FROM f),
+        [x::DOUBLE FOR x IN [{', '.join(counts)}]] AS c0, CASE lang {words} END AS cw FROM w),
+h AS (SELECT *, list_append(c0, length(t) - list_sum(c0)) AS hc, CASE WHEN cw IS NOT NULL THEN [len(list_filter(ws, lambda y: y = x))::DOUBLE FOR x IN cw] END AS k0 FROM f),
 h2 AS (SELECT *, CASE WHEN k0 IS NOT NULL THEN list_append(k0, len(ws) - list_sum(k0)) END AS hk FROM h),
 rc AS (SELECT lang, list(v ORDER BY i) AS rc FROM (SELECT lang, i, sum(hc[i]) AS v FROM h2, range(1, {len(CLASSES) + 2}) r(i) GROUP BY lang, i) GROUP BY lang),
 rk AS (SELECT lang, list(v ORDER BY i) AS rk FROM (SELECT lang, i, sum(hk[i]) AS v FROM h2, range(1, {len(COMMON['en']) + 2}) r(i) GROUP BY lang, i) GROUP BY lang),

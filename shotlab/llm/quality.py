@@ -7,8 +7,10 @@ documents of the language in the same run.  A rule only counts on texts that are
 enough for its histogram (``min_chars``, ``min_words``).
 
 All work is DataFrame expressions on one row at a time: arrays of word hashes inside the
-row, no explode and no shuffle of words.  The references are one aggregate with a row per
-known language and one for all others, so they are broadcast by a fixed bound.
+row, no explode and no shuffle of words.  Counts and histograms are made in one pass over
+the texts and written to the shared folder beside the columns the caller asked for.  The
+references are one aggregate of that table with a row per known language and one for all
+others, so they are broadcast by a fixed bound.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shotlab.llm.common import written
+
 SPACE = r"[\x20\x09-\x0D]+"
 GRAM = 5
 
@@ -49,35 +53,39 @@ def known_lang(lang: Column) -> Column:
     return F.when(lang.isin(*COMMON), lang).otherwise(F.lit(OTHER))
 
 
-def class_counts(text: Column) -> Column:
-    """array<double> of characters per class, the rest last."""
-    counts = [F.length(F.regexp_replace(text, f"[^{c}]+" if not c.startswith(r"\p") else c.replace(r"\p", r"\P") + "+", "")) for c in CLASSES.values()]
-    rest = F.length(text)
-    for c in counts:
-        rest = rest - c
-    return F.transform(F.array(*counts, rest), lambda x: x.cast("double"))
+def total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
+def class_counts(text: Column, rest: Column) -> Column:
+    """array<double> of characters per class, all others last.  ``rest``: the text without its
+    lower-case letters, which leaves little for the other classes to scan."""
+    counts = [F.length(text) - F.length(rest)]
+    for c in list(CLASSES.values())[1:]:
+        counts.append(F.length(F.regexp_replace(rest, c.replace(r"\p", r"\P") + "+" if c.startswith(r"\p") else f"[^{c}]+", "")))
+    return let(F.transform(F.array(*counts), lambda x: x.cast("double")), lambda a: F.concat(a, F.array(F.length(text) - total(a))))
 
-def common_counts(spaced: Column, lang: Column, n_words: Column) -> Column:
-    """array<double> of occurrences of the language's common words, all other words last;
-    null for languages without a list.  ``spaced``: lower-cased words between double spaces."""
-    counts = []
-    for i in range(len(COMMON["en"])):
-        needle = F.lit(None).cast("string")
-        for code, words in COMMON.items():
-            needle = F.when(lang == code, F.lit(f" {words[i]} ")).otherwise(needle)
-        counts.append((F.length(spaced) - F.length(F.replace(spaced, needle, F.lit("")))) / F.length(needle))
-    rest = n_words.cast("double")
-    for c in counts:
-        rest = rest - c
-    return F.when(lang.isin(*COMMON), F.array(*counts, rest))
+
+def common_counts(words: Column, lang: Column) -> Column:
+    """array<double> of occurrences of the language's common words as written in lower case,
+    all other words last; null for languages without a list."""
+    def needle(i):
+        out = F.lit(None).cast("string")
+        for code, listed in COMMON.items():
+            out = F.when(lang == code, F.lit(listed[i])).otherwise(out)
+        return out
+
+    counts = F.array(*[(F.size(words) - F.size(F.array_remove(words, needle(i)))).cast("double") for i in range(len(COMMON["en"]))])
+    return F.when(lang.isin(*COMMON), let(counts, lambda a: F.concat(a, F.array(F.size(words) - total(a)))))
 
 
 def js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two arrays of counts of equal length; null if either sums to 0."""
-    def total(a):
-        return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-
     def kl(a, m):
         return F.when(a > 0, a * F.log2(a / m)).otherwise(F.lit(0.0))
 
@@ -89,28 +97,24 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def histograms(docs: DataFrame) -> DataFrame:
-    """``docs`` (with columns ``_text`` not null, ``_lang``) plus ``_chars``, ``_common``, ``_n_words``."""
-    plain = F.array_remove(F.split("_text", SPACE), "")
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower("_text"), SPACE, "  "), F.lit(" "))
-    return (docs.withColumn("_words", plain).withColumn("_n_words", F.size("_words")).withColumn("_spaced", spaced)
-            .withColumn("_chars", class_counts(F.col("_text")))
-            .withColumn("_common", common_counts(F.col("_spaced"), F.col("_lang"), F.col("_n_words"))))
+    """``docs`` (with columns ``_text`` not null, ``_lang``) plus ``_words``, ``_chars``, ``_common``."""
+    rows = docs.withColumn("_words", F.array_remove(F.split("_text", SPACE), "")).withColumn("_rest", F.regexp_replace("_text", CLASSES["lower"] + "+", ""))
+    return rows.withColumn("_chars", class_counts(F.col("_text"), F.col("_rest"))).withColumn("_common", common_counts(F.col("_words"), F.col("_lang")))
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """(_lang, _ref_chars, _ref_common): counts pooled over all documents of each known language."""
+def references(rows: DataFrame) -> DataFrame:
+    """(_lang, _ref_chars, _ref_common): histograms pooled over all documents of each known language."""
     def pooled(col, n):
         return F.array(*[F.sum(F.get(col, F.lit(i))) for i in range(n)])
 
-    return (histograms(docs).groupBy("_lang").agg(pooled("_chars", len(CLASSES) + 1).alias("_ref_chars"),
-                                                 pooled("_common", len(COMMON["en"]) + 1).alias("_ref_common")))
+    return rows.groupBy("_lang").agg(pooled("_chars", len(CLASSES) + 1).alias("_ref_chars"), pooled("_common", len(COMMON["en"]) + 1).alias("_ref_common"))
 
 
 def repeated_words(rows: DataFrame) -> DataFrame:
-    """Adds ``_n_repeat``: words inside five-word windows that occur twice or more in ``_words``."""
-    hashed = F.transform("_words", lambda w: F.xxhash64(w))
-    windows = F.transform(F.sequence(F.lit(0), F.col("_n_words") - GRAM), lambda i: F.xxhash64(*[F.get("_hash", i + k) for k in range(GRAM)]))
-    rows = rows.withColumn("_hash", hashed)
+    """Adds ``_n_words`` and ``_n_repeat``: words inside five-word windows that occur twice or
+    more in ``_words``."""
+    rows = rows.withColumn("_n_words", F.size("_words"))
+    windows = F.transform(F.sequence(F.lit(1), F.col("_n_words") - (GRAM - 1)), lambda i: F.xxhash64(F.slice("_words", i, GRAM)))
     rows = rows.withColumn("_win", F.when(F.col("_n_words") >= GRAM, windows).otherwise(F.array().cast("array<bigint>")))
     twice = F.size(F.array_distinct("_win")) < F.size("_win")
     ordered = F.sort_array(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -135,20 +139,17 @@ def assess(docs: DataFrame, limits: Limits = Limits(), *, text_col: str = "text"
     reference and has no word rule (``word_distance`` null).  Repeated rows are judged alike and
     kept alike; an empty table gives an empty result."""
     base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.coalesce(docs[text_col], F.lit("")).alias("_text"), known_lang(docs[lang_col]).alias("_lang"))
-    ref = references(base.select("_text", "_lang"))
-    rows = repeated_words(histograms(base))
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = rows.withColumn("_lines", lines)
-    rows = rows.join(F.broadcast(ref), "_lang", "left")
+    rows = repeated_words(histograms(base)).withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    classes = list(CLASSES)
+    count = lambda c: F.get("_chars", F.lit(classes.index(c))).cast("long")
+    rows = written(rows.select(
+        "doc", "_lang", "_chars", "_common", F.length("_text").alias("_length"), F.col("_n_words").cast("long").alias("n_words"),
+        (F.length("_text") - count("space")).alias("word_chars"), count("symbol").alias("n_symbols"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), F.col("_n_repeat").cast("long").alias("n_repeat_words")), "counts")
+    rows = rows.join(F.broadcast(references(rows)), "_lang", "left")
     far_chars, far_words = js_distance(F.col("_chars"), F.col("_ref_chars")), js_distance(F.col("_common"), F.col("_ref_common"))
-    out = rows.select(
-        "doc", F.col("_n_words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("_text", SPACE, "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("_text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.col("_n_repeat").cast("long").alias("n_repeat_words"),
-        F.when(F.length("_text") >= limits.min_chars, far_chars).alias("char_distance"),
-        F.when(F.col("_n_words") >= limits.min_words, far_words).alias("word_distance"))
+    out = rows.select("doc", *COUNTS, F.when(F.col("_length") >= limits.min_chars, far_chars).alias("char_distance"),
+                      F.when(F.col("n_words") >= limits.min_words, far_words).alias("word_distance"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     fits = (F.coalesce("char_distance", F.lit(0.0)) <= limits.char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= limits.word_distance)
