@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from shotlab.llm import common, oracles, packing, pfor, quality, secrets, simhash, urls
+from shotlab.llm import bpe, common, oracles, packing, pfor, quality, secrets, simhash, urls
 
 QUERIES: dict[str, tuple] = {}
 
@@ -33,6 +33,11 @@ def op4(spark, sf_dir):
     return rows.select("doc.doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+@register("op6_bpe_transducer")
+def op6(spark, sf_dir):
+    return bpe.report(common.table(spark, sf_dir, "documents"))
+
+
 @register("op7_simhash_dedup")
 def op7(spark, sf_dir):
     return simhash.report(common.table(spark, sf_dir, "documents"))
