@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from shotlab.llm import bpe, common, oracles, packing, pfor, quality, secrets, simhash, urls, warc
+from shotlab.llm import bpe, common, graph, oracles, packing, pfor, quality, secrets, simhash, urls, warc
 
 QUERIES: dict[str, tuple] = {}
 
@@ -27,6 +27,11 @@ def op1(spark, sf_dir):
     return urls.judge(pages, urls.referral_list(pages), RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+@register("op2_embedding_dedup")
+def op2(spark, sf_dir):
+    return graph.near_vectors(common.table(spark, sf_dir, "embeddings"))
+
+
 @register("op3_warc_salvage")
 def op3(spark, sf_dir):
     return warc.round_trip(common.table(spark, sf_dir, "pages")).drop("url")
