@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from shotlab.llm import bpe, common, graph, oracles, packing, pfor, quality, secrets, simhash, urls, warc
+from shotlab.llm import bpe, common, graph, oracles, packing, pfor, pii, quality, secrets, simhash, urls, warc
 
 QUERIES: dict[str, tuple] = {}
 
@@ -43,6 +43,11 @@ def op4(spark, sf_dir):
     return rows.select("doc.doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+@register("op5_pii_skip_chain")
+def op5(spark, sf_dir):
+    return pii.find(common.table(spark, sf_dir, "documents"))
+
+
 @register("op6_bpe_transducer")
 def op6(spark, sf_dir):
     return bpe.report(common.table(spark, sf_dir, "documents"))
