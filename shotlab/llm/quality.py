@@ -85,7 +85,7 @@ def common_counts(words: Column, lang: Column) -> Column:
 
 
 def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two arrays of counts of equal length; null if either sums to 0."""
+    """Jensen-Shannon distance of two arrays of counts of equal length; 0 if either sums to 0."""
     def kl(a, m):
         return F.when(a > 0, a * F.log2(a / m)).otherwise(F.lit(0.0))
 
@@ -128,9 +128,9 @@ def repeated_words(rows: DataFrame) -> DataFrame:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def assess(docs: DataFrame, limits: Limits = Limits(), *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Every row of ``docs`` as struct ``doc`` (all its columns, whatever their names) plus the
-    counts, ``char_distance``, ``word_distance``, ``base_failed`` and ``kept``.
+def assess(docs: DataFrame, limits: Limits = Limits(), *, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
+    """Every row of ``docs`` as struct ``doc`` (all its columns, whatever their names, or those of
+    ``carry``, which are written once beside the counts) plus the counts, ``char_distance``, ``word_distance``, ``base_failed`` and ``kept``.
 
     Base rules: fewer than 10 words, or over 20 % of the words inside repeated five-word
     windows.  Divergence rules: ``char_distance`` over the limit on texts of ``min_chars`` or
@@ -138,7 +138,7 @@ def assess(docs: DataFrame, limits: Limits = Limits(), *, text_col: str = "text"
     as empty (fails the base rule); a null or unlisted language shares one pooled character
     reference and has no word rule (``word_distance`` null).  Repeated rows are judged alike and
     kept alike; an empty table gives an empty result."""
-    base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.coalesce(docs[text_col], F.lit("")).alias("_text"), known_lang(docs[lang_col]).alias("_lang"))
+    base = docs.select(F.struct(*[docs[c] for c in carry or docs.columns]).alias("doc"), F.coalesce(docs[text_col], F.lit("")).alias("_text"), known_lang(docs[lang_col]).alias("_lang"))
     rows = repeated_words(histograms(base)).withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     classes = list(CLASSES)
     count = lambda c: F.get("_chars", F.lit(classes.index(c))).cast("long")

@@ -39,7 +39,7 @@ def op3(spark, sf_dir):
 
 @register("op4_quality_rules", oracles.QUALITY)
 def op4(spark, sf_dir):
-    rows = quality.assess(common.table(spark, sf_dir, "documents"))
+    rows = quality.assess(common.table(spark, sf_dir, "documents"), carry=["doc_id"])
     return rows.select("doc.doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
