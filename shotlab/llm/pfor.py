@@ -26,7 +26,7 @@ from shotlab.llm.common import commit_file, new_path, open_fs, tasks_for, writte
 from shotlab.llm.tokens import encoder, word_bpe
 
 MAGIC = b"PFORIDS1"
-BLOCK, GROUP, PERCENTILE = 256, 256, 90
+BLOCK, GROUP, PERCENTILE = 1024, 64, 90
 HEAD = struct.Struct("<IHBH")
 TAIL = struct.Struct("<QQQQ8s")
 DOC = [("doc_id", "<i8"), ("null", "u1"), ("first", "<u8"), ("n", "<u8")]
@@ -38,7 +38,8 @@ def pack_bits(values, width: int):
 
     if width in (8, 16, 32):
         return values.astype(f"<u{width // 8}").view(np.uint8).reshape(len(values), -1)
-    raw = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(*values.shape, 4), axis=2, count=width, bitorder="little")
+    size = 2 if width < 16 else 4
+    raw = np.unpackbits(values.astype(f"<u{size}").view(np.uint8).reshape(*values.shape, size), axis=2, count=width, bitorder="little")
     return np.packbits(raw.reshape(len(values), -1), axis=1, bitorder="little")
 
 
@@ -49,9 +50,10 @@ def unpack_bits(data, n: int, width: int):
     if width in (8, 16, 32):
         return np.ascontiguousarray(data).view(f"<u{width // 8}").reshape(len(data), n).astype(np.uint32)
     bits = np.unpackbits(data, axis=1, count=n * width, bitorder="little").reshape(len(data), n, width)
-    full = np.zeros((len(data), n, 32), np.uint8)
+    size = 2 if width < 16 else 4
+    full = np.zeros((len(data), n, 8 * size), np.uint8)
     full[:, :, :width] = bits
-    return np.packbits(full, axis=2, bitorder="little").view("<u4").reshape(len(data), n)
+    return np.packbits(full, axis=2, bitorder="little").view(f"<u{size}").reshape(len(data), n).astype(np.uint32)
 
 
 def encode_blocks(ids) -> list[bytes]:
@@ -242,7 +244,7 @@ def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_pylist([{"file": now, "path": name, **done}], schema=pa.schema([("file", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(encode, "file int, id long, ids binary, width int")
-    rows = rows.repartition(min(len(cuts) + 1, max(tasks_for(docs.sparkSession), 1)), "file").sortWithinPartitions("file", "id", "ids")
+    rows = rows.repartition(len(cuts) + 1, "file").sortWithinPartitions("file", "id", "ids")
     files = written(rows.mapInArrow(save, "file int, path string, n_docs long, n_tokens long"), "manifest")
     before = F.sum("n_tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
     return files.withColumn("start", F.coalesce(before, F.lit(0).cast("long")))
