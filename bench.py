@@ -35,37 +35,22 @@ def _run(df):
     df.write.format("noop").mode("overwrite").save()
 
 
-_FITTED: dict = {}
-
-
-def fitted(spark, p: Params) -> Params:
-    """The workload at this scale: T stays 256 unless a split is too small (small sf
-    only, e.g. sf0.01 while iterating); the effective T is reported in the JSON."""
-    if p not in _FITTED:
-        from shotlab.sources.labelled import task_rows
-        sizes = {r["split"]: r["n"] for r in task_rows(spark, SF_DIR, p.task).groupBy("split").count()
-                 .withColumnRenamed("count", "n").collect()}
-        t = min(p.test_num, sizes.get("train", 0) // 2, sizes.get("test", 0))
-        _FITTED[p] = p.with_(test_num=t, k=min(p.k, 2 * t))
-    return _FITTED[p]
-
-
 def q_prompts(spark):
-    _run(X.prompts(X.prepare(spark, SF_DIR, fitted(spark, DEFAULT))))
+    _run(X.prompts(X.prepare(spark, SF_DIR, DEFAULT)))
 
 
 def q_icl_eval(spark):
-    _run(X.prompting_report(X.prepare(spark, SF_DIR, fitted(spark, DEFAULT))))
+    _run(X.prompting_report(X.prepare(spark, SF_DIR, DEFAULT)))
 
 
 def q_linear_grid(spark):
-    pr = X.prepare(spark, SF_DIR, fitted(spark, DEFAULT))
+    pr = X.prepare(spark, SF_DIR, DEFAULT)
     grid, _, _ = X.linear_baseline(spark, pr)
     _run(grid)
 
 
 def q_token_permute(spark):
-    _run(X.permuted_prompts(spark, X.prepare(spark, SF_DIR, fitted(spark, DEFAULT.with_(pattern="token")))))
+    _run(X.prompts(X.prepare(spark, SF_DIR, DEFAULT.with_(pattern="token"))))
 
 
 def q_corpus_ngrams(spark):
@@ -75,8 +60,14 @@ def q_corpus_ngrams(spark):
 
 
 def q_memo_label_kw(spark):
-    _run(X.prompting_report(X.prepare(spark, SF_DIR, fitted(spark, DEFAULT.with_(task="dbpedia_14",
-                                                                                   pattern="memo_label_kw")))))
+    _run(X.prompting_report(X.prepare(spark, SF_DIR, DEFAULT.with_(task="dbpedia_14", pattern="memo_label_kw"))))
+
+
+def q_linear_fit(spark):
+    from shotlab.operators.linear import linear_fit
+    from shotlab.sources.labelled import task_rows
+    lab = task_rows(spark, SF_DIR, "ag_news")
+    _run(linear_fit(lab.filter("split = 'train'"), lab.filter("split = 'test'"), c=1.0, ngc=2, ngw=1, unit=True))
 
 
 QUERIES = {
@@ -86,6 +77,7 @@ QUERIES = {
     "token_permute": q_token_permute,
     "linear_grid": q_linear_grid,
     "corpus_ngrams": q_corpus_ngrams,
+    "linear_fit": q_linear_fit,
 }
 
 
@@ -109,8 +101,7 @@ def main():
     print(json.dumps({"metric": "total_median_wall_seconds", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
                       "cpus": int(CPUS), "repeats": REPEATS,
-                      "workload": {"k": DEFAULT.k, "test_num": DEFAULT.test_num, "repeats": DEFAULT.repeats},
-                      "effective_test_num": {f"{p.task}/{p.pattern}": f.test_num for p, f in _FITTED.items()}}))
+                      "workload": {"k": DEFAULT.k, "test_num": DEFAULT.test_num, "repeats": DEFAULT.repeats}}))
 
 
 if __name__ == "__main__":

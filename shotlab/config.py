@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from shotlab.functions.stopwords import ENGLISH
+
 
 @dataclass(frozen=True)
 class Params:
@@ -14,6 +16,13 @@ class Params:
     task: str = "SetFit/sst2"
     pattern: str = "none"   # none / token / label / memo_label_{rand,kw,syn,ant}
     tfidf: bool = False     # TF-IDF features instead of counts for the baseline
+    char_cap: int = 50_000  # baseline vocabulary: char n-grams kept per replicate and range
+    word_cap: int = 10_000  # baseline vocabulary: word n-grams kept per replicate and range
+    stop_words: tuple[str, ...] = tuple(ENGLISH)   # dropped by the baseline's word analyser
+
+    def __post_init__(self):
+        if self.repeats < 1 or self.test_num < 1 or self.k < 0 or self.k > self.pool_num:
+            raise ValueError(f"need repeats >= 1, test_num >= 1 and 0 <= k <= {self.pool_num}: {self}")
 
     @property
     def pool_num(self) -> int:

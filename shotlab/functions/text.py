@@ -19,54 +19,80 @@ from shotlab.functions.stopwords import ENGLISH
 # are ASCII-only, so the classes are spelled out.
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
 WHITESPACE_RUN = r"\s\s+"
+# Prompt tokens: a word or one other character, with the space before it, or one white-space
+# character. Every character belongs to a token, so joining the tokens gives the text back.
+PIECE_PATTERN = r" ?[\p{L}\p{N}_]+| ?[^\p{L}\p{N}_\x09-\x0D\x20]|[\x09-\x0D\x20]"
 
 
 def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
-@lru_cache(maxsize=1)
-def _accent_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Accent-stripping map generated from ``unicodedata`` (NFKD, marks dropped).
+# A noncharacter that stands for "this character has an image of several characters".
+MANY = "\uffff"
 
-    Covers Latin-1 Supplement through Latin Extended Additional plus the
-    combining-mark block; one-to-one images go to ``translate``, the few
-    one-to-many ones (ligatures, fractions) to ``regexp_replace``.
-    """
-    src, dst, multi = [], [], []
-    ranges = [(0x00A0, 0x0250), (0x1E00, 0x1F00)]
-    for lo, hi in ranges:
-        for cp in range(lo, hi):
-            ch = chr(cp)
-            img = "".join(c for c in unicodedata.normalize("NFKD", ch)
-                          if not unicodedata.combining(c))
-            if img == ch:
-                continue
-            if len(img) == 1:
-                src.append(ch)
-                dst.append(img)
-            else:
-                multi.append((ch, img))
-    deleted = "".join(chr(cp) for cp in range(0x0300, 0x0370))
-    # translate: characters of ``src`` beyond ``dst``'s length are deleted.
-    return "".join(src) + deleted, "".join(dst), tuple(multi)
 
+@lru_cache(maxsize=1)
+def _accent_tables() -> tuple[str, str, tuple[tuple[str, str], ...], str]:
+    """Accent-stripping tables generated from ``unicodedata`` over all code points (NFKD,
+    combining marks dropped).
+
+    Source and image characters for ``translate`` — characters with several images go to
+    ``MANY``, those beyond the images are deleted —, the one-to-many images (Hangul syllables
+    left out: theirs follow from their number), and a class of a few ranges that holds them."""
+    one, deleted, multi = {}, [], {}
+    for cp in [*range(0xA0, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x110000)]:
+        ch = chr(cp)
+        img = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
+        if img == ch:
+            continue
+        if len(img) == 1:
+            one[ch] = img
+        elif img:
+            multi[ch] = img
+        else:
+            deleted.append(ch)
+    several = [*multi, *map(chr, range(HANGUL_FIRST, 0xD7A4))]
+    ranges: list[list[int]] = []
+    for cp in sorted(map(ord, several)):
+        if ranges and cp - ranges[-1][1] <= 256:
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, cp])
+    coarse = "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges)
+    return "".join([*one, *several, *deleted]), "".join(one.values()) + MANY * len(several), tuple(multi.items()), coarse
+
+
+# Fixed values of the Unicode standard: Hangul syllables are numbered by lead, vowel, trail.
+HANGUL_FIRST, HANGUL_VOWELS, HANGUL_TRAILS = 0xAC00, 21, 28
+HANGUL_LEAD, HANGUL_VOWEL, HANGUL_TRAIL = 0x1100, 0x1161, 0x11A7
+
+
+def _hangul(c: Column) -> Column:
+    """The jamo of one Hangul syllable."""
+    def jamo(first, n, i):
+        return F.substring(F.lit("".join(chr(first + k) for k in range(n))), i.cast("int") + 1, F.lit(1))
+
+    n = F.ascii(c) - HANGUL_FIRST
+    per = HANGUL_VOWELS * HANGUL_TRAILS
+    trail = F.pmod(n, F.lit(HANGUL_TRAILS))
+    return F.concat(jamo(HANGUL_LEAD, 19, F.floor(n / per)), jamo(HANGUL_VOWEL, HANGUL_VOWELS, F.floor(F.pmod(n, F.lit(per)) / HANGUL_TRAILS)),
+                    F.when(trail > 0, jamo(HANGUL_TRAIL, HANGUL_TRAILS, trail)).otherwise(F.lit("")))
 
-def strip_accents(col) -> Column:
-    src, dst, multi = _accent_tables()
-    s = _c(col)
-    out = s
-    for ch, img in multi:
-        out = F.regexp_replace(out, F.lit(_re_escape(ch)), F.lit(img))
-    # one scan decides whether the (rare) one-to-many replacements run at all
-    any_multi = "[" + "".join(ch for ch, _ in multi) + "]"
-    # pure-ASCII texts (most of them) skip the per-character translation
-    return F.when(s.rlike("[^\\x00-\\x7F]"),
-                  F.translate(F.when(s.rlike(any_multi), out).otherwise(s), src, dst)).otherwise(s)
 
+def strip_accents(col) -> Column:
+    """NFKD without combining marks, for all of Unicode.
 
-def _re_escape(ch: str) -> str:
-    return "\\Q" + ch + "\\E"
+    One ``translate`` does most texts, and pure-ASCII ones skip it. Only texts in which it
+    meets a character with a longer image are taken apart at such characters first."""
+    src, dst, multi, coarse = _accent_tables()
+    s = _c(col)
+    images = F.create_map(*[F.lit(x) for pair in multi for x in pair])
+    parts = F.regexp_extract_all(s, F.lit(f"(?s)[{coarse}]|[^{coarse}]+"), 0)
+    expanded = F.array_join(F.transform(parts, lambda c: F.when(c.rlike("^[\uac00-\ud7a3]"), _hangul(c)).when(
+        c.rlike(f"^[{coarse}]"), F.coalesce(F.element_at(images, c), c)).otherwise(c)), "")
+    plain = F.translate(s, src, dst)
+    return F.when(~s.rlike("[^\\x00-\\x7F]"), s).when(~F.contains(plain, F.lit(MANY)), plain).otherwise(F.translate(expanded, src, dst))
 
 
 def normalize_text(col) -> Column:
@@ -79,6 +105,11 @@ def tokenize(col) -> Column:
     return F.regexp_extract_all(_c(col), F.lit(WORD_PATTERN), 0)
 
 
+def pieces(col, pattern: str = PIECE_PATTERN) -> Column:
+    """All matches of a token pattern, in order."""
+    return F.regexp_extract_all(_c(col), F.lit(pattern), 0)
+
+
 def drop_stop_words(tokens, words=ENGLISH) -> Column:
     """Remove stop words, keeping order and repeats.
 

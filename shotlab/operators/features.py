@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotlab.functions.stopwords import ENGLISH
-from shotlab.operators.partitioning import spread
+from shotlab.operators.partitioning import by_document
 from shotlab.functions.text import (char_ngrams_col, collapse_spaces, drop_stop_words, normalize_text,
                                     smooth_idf, sublinear_tf, tokenize, word_ngrams_col)
 
 CHAR_CAP = 50_000
 WORD_CAP = 10_000
+# Characters and tokens of a document whose grams are held in one row.
+CHAR_BLOCK = 1 << 16
+WORD_BLOCK = 1 << 14
 
 
 def gram_array(chars, toks, ngc_max: int, ngw_max: int):
@@ -47,16 +50,27 @@ def doc_grams(docs: DataFrame, ngc_max: int = 4, ngw_max: int = 2, stop_words=EN
               key=("doc_id",)) -> DataFrame:
     """``(*key, block, n, term, cnt)``: exact-n gram counts per document.
 
-    The analysed text is materialised first (kept out of the lambdas). Grams
+    Documents are hash-partitioned by ``key`` first, so the counts need no
+    exchange of (document, term) pairs. A document is cut into blocks of
+    ``CHAR_BLOCK`` characters and ``WORD_BLOCK`` tokens, each with the next
+    n-1 of them, and a gram belongs to the block it starts in: rows stay small
+    for documents of any length and no gram is lost or counted twice. Grams
     are exploded as a plain string array — char grams first, then word grams —
-    so the block is known from the element position; n is recomputed from the
+    so the kind is known from the element position; n is recomputed from the
     term (its length for char grams, its word count for word grams) only after
     the aggregation, on far fewer rows.
     """
-    a = analysed(spread(docs), stop_words, key)
-    chars = F.concat(*[char_ngrams_col(F.col("_chars"), n) for n in range(1, ngc_max + 1)]) \
+    a = analysed(by_document(docs, *key), stop_words, key)
+    last = F.greatest(F.floor((F.length("_chars") - 1) / CHAR_BLOCK), F.floor((F.size("_toks") - 1) / WORD_BLOCK), F.lit(0)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda b: F.struct(
+        F.substring(F.col("_chars"), b * CHAR_BLOCK + 1, F.lit(CHAR_BLOCK + max(ngc_max, 1) - 1)).alias("chars"),
+        F.slice(F.col("_toks"), b * WORD_BLOCK + 1, F.lit(WORD_BLOCK + max(ngw_max, 1) - 1)).alias("toks")))
+    a = a.select(*key, F.explode(cut).alias("_b")).select(*key, F.col("_b.chars").alias("_chars"), F.col("_b.toks").alias("_toks"))
+    chars = F.concat(*[char_ngrams_col(F.substring(F.col("_chars"), 1, CHAR_BLOCK + n - 1), n) for n in range(1, ngc_max + 1)]) \
         if ngc_max else F.array().cast("array<string>")
-    words = F.concat(*[word_ngrams_col(F.col("_toks"), n) for n in range(1, ngw_max + 1)]) \
+    # plain columns: the word lambdas read them once per position
+    a = a.withColumns({f"_t{n}": F.slice("_toks", 1, WORD_BLOCK + n - 1) for n in range(1, ngw_max + 1)})
+    words = F.concat(*[word_ngrams_col(F.col(f"_t{n}"), n) for n in range(1, ngw_max + 1)]) \
         if ngw_max else F.array().cast("array<string>")
     g = (a.select(*key, chars.alias("_c"), words.alias("_w"))
          .select(*key, F.size("_c").alias("_nc"), F.posexplode(F.concat("_c", "_w")).alias("_i", "term"))
@@ -143,7 +157,8 @@ def kernels(train_w: DataFrame, all_w: DataFrame, ngc_max: int, ngw_max: int, tf
     documents (j); the products are summed into one column per n-gram range
     by the range mask, so the nested ranges cost a single join. TF-IDF
     products are divided by both documents' per-range L2 norms. Pairs with no
-    shared term are absent (dot product 0).
+    shared term are absent (dot product 0). The dual form has R*k*(k+T) rows:
+    bounded by the parameters, not by the corpus (``linear.MAX_FIT`` bounds k).
     """
     a = train_w.select("rep", "block", "term", "mask", F.col("doc_id").alias("i"), F.col("w").alias("wi")).hint("merge")
     b = all_w.select("rep", "block", "term", F.col("doc_id").alias("j"), F.col("w").alias("wj"))

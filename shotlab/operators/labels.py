@@ -34,8 +34,18 @@ def label_map(spark: SparkSession, task: Task, pattern: str, repeats: int, seed:
 
 
 def verbalize(df: DataFrame, lmap: DataFrame) -> DataFrame:
-    """Attach ``label_word`` by class id. Ids without a word are dropped (inner join)."""
-    return df.join(F.broadcast(lmap.select("rep", "label_idx", "label_word")), ["rep", "label_idx"])
+    """Attach ``label_word`` by class id. An id without a word is an error, never a lost row
+    (``unmatched`` counts them)."""
+    words = lmap.select("rep", "label_idx", F.col("label_word").alias("_word"))
+    missing = F.raise_error(F.concat(F.lit("no label word for class id "), F.coalesce(F.col("label_idx").cast("string"), F.lit("null"))))
+    return (df.join(F.broadcast(words), ["rep", "label_idx"], "left")       # R*L rows
+            .withColumn("label_word", F.coalesce("_word", missing.cast("string"))).drop("_word"))
+
+
+def unmatched(df: DataFrame, n_labels: int) -> DataFrame:
+    """``(label_idx, n)``: rows whose class id is null or outside 0..n_labels-1."""
+    ok = F.coalesce((F.col("label_idx") >= 0) & (F.col("label_idx") < n_labels), F.lit(False))
+    return df.filter(~ok).groupBy("label_idx").agg(F.count("*").alias("n"))
 
 
 def merged_index(lmap: DataFrame) -> DataFrame:

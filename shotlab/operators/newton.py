@@ -17,6 +17,15 @@ def _logsumexp(F):
     return (m + np.log(np.exp(F - m).sum(axis=1, keepdims=True)))[:, 0]
 
 
+# Largest gradient entry, relative to 1 + C, at which a fit counts as converged.
+LIMIT = 1e-3
+
+
+def _converged(g: float, C: float) -> None:
+    if not g <= LIMIT * (1.0 + C):
+        raise RuntimeError(f"the Newton fit stopped with a gradient of {g:.3g} at C={C}")
+
+
 def _solve(M, rhs):
     """Newton step. The tiny ridge removes the null directions (a common shift of
     the intercepts; duplicate training rows) and leaves the step otherwise
@@ -65,6 +74,8 @@ def fit_binary(K, t, C, tol=1e-9, max_iter=200, init=None):
         a, b, J = a + s_ * da, b + s_ * db, Jn
         if done:
             break
+    r = 1.0 / (1.0 + np.exp(-(K @ a + b))) - t
+    _converged(max(np.abs(K @ (a + C * r)).max() / max(1.0, np.abs(K).max()), abs(C * r.sum())), C)
     return a, b
 
 
@@ -111,6 +122,10 @@ def fit_multinomial(K, y, L, C, tol=1e-9, max_iter=200, init=None):
         A, b, J = A + s_ * dA, b + s_ * db, Jn
         if done:
             break
+    F = K @ A + b
+    P = np.exp(F - F.max(axis=1, keepdims=True))
+    R = P / P.sum(axis=1, keepdims=True) - Y
+    _converged(max(np.abs(K @ (A + C * R)).max() / max(1.0, np.abs(K).max()), np.abs(C * R.sum(axis=0)).max()), C)
     return A, b
 
 

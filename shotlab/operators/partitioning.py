@@ -1,38 +1,28 @@
-"""Parallelism guards for text-heavy operators."""
+"""Placement of documents for text-heavy operators, and broadcasts behind a size check."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+# Rows of ids or small sample rows that may be broadcast (some 30 bytes each).
+BROADCAST_ROWS = 1_000_000
 
-SMALL_PER_CORE = 64 << 20
-
-
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Repartition small inputs over the cluster's cores before per-character work.
-
-    A small file is often one parquet row group, which scans as one busy task
-    however many (empty) splits the scan reports; the n-gram and tokenising
-    work after it would run on one core. Inputs whose estimated size is below
-    ~64 MB per core are round-robined to the default parallelism (a cheap
-    shuffle at that size); large scans have many row groups and pass through
-    unchanged, so the text of a big table is never shuffled here.
-    """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        small = size < SMALL_PER_CORE * par
-    except Exception:  # noqa: BLE001 - statistics unavailable: fall back to the split count
-        small = df.rdd.getNumPartitions() < par
-    if not small:
-        return df
-    return df.repartition(par, *cols) if cols else df.repartition(par)
-
-
-def sampled_docs(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is in ``ids`` — a sample of at most R*(k+3T) ids, so the id
-    side is broadcast — spread over the cluster by id for the per-document work."""
-    from pyspark.sql import functions as F
-    sel = docs.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
-    par = docs.sparkSession.sparkContext.defaultParallelism
-    return sel.repartition(par, "doc_id")
+
+def by_document(df: DataFrame, *key: str) -> DataFrame:
+    """Documents hash-partitioned by their key: one shuffle of the texts, after which counts
+    per (key, term) need none, whatever the table's size or file layout."""
+    return df.repartition(*key)
+
+
+def bounded_broadcast(df: DataFrame, rows: int | None) -> DataFrame:
+    """Broadcast hint where the caller's parameters bound ``df`` to few rows; beyond that the
+    join is left to Spark's statistics (shuffle join)."""
+    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
+
+
+def sampled_docs(docs: DataFrame, ids: DataFrame, rows: int | None = None) -> DataFrame:
+    """Documents whose id is in ``ids`` (at most ``rows`` of them, if known), hash-partitioned
+    by id for the per-document work."""
+    sel = docs.join(bounded_broadcast(ids.select("doc_id").distinct(), rows), "doc_id", "left_semi")
+    return by_document(sel, "doc_id")

@@ -13,18 +13,22 @@ def softmax(scores: DataFrame, by=("rep", "test_id"), col: str = "score", out: s
     return scores.withColumn(out, z / F.sum(z).over(w))
 
 
-def predict_and_rank(scores: DataFrame, gold: DataFrame, score_col: str = "score") -> DataFrame:
+def predict_and_rank(scores: DataFrame, gold: DataFrame, score_col: str = "score", n_labels: int | None = None) -> DataFrame:
     """``(rep, test_id, gold_idx, pred_idx, gold_rank)``.
 
     pred = argmax with ties to the lowest class id; rank = 1 + number of
     candidates scoring strictly higher than the gold class (ties take the best
     rank). One aggregation per prompt over its L candidates.
-    ``gold`` has ``(rep, test_id, gold_idx)``.
+    ``gold`` has ``(rep, test_id, gold_idx)``; a prompt without scores, or with
+    another number of candidates than ``n_labels``, is an error.
     """
     g = (scores.groupBy("rep", "test_id")
          .agg(F.max_by("label_idx", F.struct(F.col(score_col), -F.col("label_idx"))).alias("pred_idx"),
               F.collect_list(F.struct(F.col("label_idx"), F.col(score_col).alias("s"))).alias("_c")))
-    j = g.join(gold, ["rep", "test_id"])
+    j = gold.join(g, ["rep", "test_id"], "left")
+    whole = F.col("_c").isNotNull() & (F.lit(True) if n_labels is None else F.size("_c") == n_labels)
+    short = F.raise_error(F.concat(F.lit("prompt without a score for every candidate: "), F.col("rep"), F.lit("/"), F.col("test_id")))
+    j = j.withColumn("pred_idx", F.when(F.coalesce(whole, F.lit(False)), F.col("pred_idx")).otherwise(short.cast("int")))
     gold_score = F.aggregate(F.filter("_c", lambda c: c["label_idx"] == F.col("gold_idx")),
                              F.lit(None).cast("double"), lambda acc, c: c["s"])
     rank = F.size(F.filter("_c", lambda c: c["s"] > gold_score)) + 1

@@ -7,18 +7,10 @@ replacement that is the same on 1 or 1000 executors and in plain SQL.
 
 from __future__ import annotations
 
-import math
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shotlab.functions.hashing import hfrac, hkey, hnum
-
-# Above this many rows per replicate a hash-threshold prefilter runs first.
-PREFILTER_MIN_ROWS = 200_000
-# Prefilter keeps rows whose key fraction is below (k + A*sqrt(k) + B) / n.
-PREFILTER_MARGIN = (8.0, 32.0)
+from shotlab.functions.hashing import hkey, hnum
 
 
 def replicates(spark: SparkSession, repeats: int, seed: int) -> DataFrame:
@@ -29,59 +21,34 @@ def replicates(spark: SparkSession, repeats: int, seed: int) -> DataFrame:
 
 def with_reps(df: DataFrame, repeats: int) -> DataFrame:
     """Attach a ``rep`` column (0..R-1): each row once per replicate, no join."""
+    if repeats < 1:
+        raise ValueError(f"repeats={repeats}: at least one replicate is needed")
     return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
 
 
-def sample_k(base: DataFrame, k: int, repeats: int, seed: int, salt: str,
-             id_col: str = "doc_id", prefilter: str | bool = "auto", n: int | None = None) -> DataFrame:
+def sample_k(base: DataFrame, k: int, repeats: int, seed: int, salt: str, id_col: str = "doc_id") -> DataFrame:
     """Per replicate, the ``k`` rows of ``base`` with the smallest key; adds ``rep`` and ``pos``.
 
     ``pos`` (0-based) is the draw order. The window is filtered directly on
-    ``row_number() <= k`` so Spark plans a ``WindowGroupLimit`` that cuts
-    rows before the shuffle. For large inputs a threshold on the key's
-    fraction first keeps ~k + 8*sqrt(k) + 32 rows per replicate; if any
-    replicate keeps fewer than k the exact path runs instead, so the result
-    is always the exact top-k.
+    ``row_number() <= k`` so Spark plans a ``WindowGroupLimit`` that keeps at
+    most k rows per replicate of each input partition before the shuffle: one
+    plan for every table size.
     """
-    key = hkey(seed, salt, "rep", id_col)
-    reps = with_reps(base, repeats)
-    if prefilter == "auto" or prefilter is True:
-        n = base.count() if n is None else n
-        use = prefilter is True or n > max(PREFILTER_MIN_ROWS, 50 * k)
-    else:
-        use = False
-    src = reps
-    cand = None
-    if use and n:
-        a, b = PREFILTER_MARGIN
-        thr = min(1.0, max(0.0, (k + a * math.sqrt(k) + b) / n))
-        cand = reps.filter(hfrac(seed, salt, "rep", id_col) < F.lit(thr)).persist(StorageLevel.MEMORY_AND_DISK)
-        counts = {r["rep"]: r["n"] for r in cand.groupBy("rep").agg(F.count("*").alias("n")).collect()}
-        need = min(k, n)
-        if all(counts.get(r, 0) >= need for r in range(repeats)):
-            src = cand
-    w = Window.partitionBy("rep").orderBy(key, F.col(id_col))
-    out = (src.withColumn("_rn", F.row_number().over(w))
-           .filter(F.col("_rn") <= k)
-           .withColumn("pos", (F.col("_rn") - 1).cast("int")).drop("_rn"))
-    return out
+    w = Window.partitionBy("rep").orderBy(hkey(seed, salt, "rep", id_col), F.col(id_col))
+    return (with_reps(base, repeats).withColumn("_rn", F.row_number().over(w))
+            .filter(F.col("_rn") <= k)
+            .withColumn("pos", (F.col("_rn") - 1).cast("int")).drop("_rn"))
 
 
-def sample_replicates(labelled: DataFrame, test_num: int, repeats: int, seed: int,
-                      with_text: bool = False, prefilter: str | bool = "auto",
-                      sizes: dict | None = None) -> DataFrame:
+def sample_replicates(labelled: DataFrame, test_num: int, repeats: int, seed: int, with_text: bool = False) -> DataFrame:
     """Replicate samples: 2T train rows (the demonstration pool) and T test rows.
 
     Output ``(rep, split, pos, doc_id, label_idx[, text])``. Text stays out of
     the sampling shuffle and is joined back by id only when asked for.
     """
-    cols = ["doc_id", "label_idx", "split"]
-    lab = labelled.select(*cols)
-    parts = []
-    for split, k in (("train", 2 * test_num), ("test", test_num)):
-        part = lab.filter(F.col("split") == split)
-        n = sizes.get(split) if sizes else None
-        parts.append(sample_k(part, k, repeats, seed, "sample", prefilter=prefilter, n=n))
+    lab = labelled.select("doc_id", "label_idx", "split")
+    parts = [sample_k(lab.filter(F.col("split") == split), k, repeats, seed, "sample")
+             for split, k in (("train", 2 * test_num), ("test", test_num))]
     out = parts[0].unionByName(parts[1]).select("rep", "split", "pos", "doc_id", "label_idx")
     if with_text:
         out = out.join(labelled.select("doc_id", "text"), "doc_id")
@@ -154,9 +121,11 @@ def draw_demos(test: DataFrame, pool_size: int, k: int, seed: int) -> DataFrame:
     ``test`` has ``(rep, doc_id)``; output ``(rep, test_id, ord, train_pos)``.
     One row-local higher-order expression (no join, no window): O(T*k).
     """
-    if k > pool_size:
+    if not 0 <= k <= pool_size:
         raise ValueError(f"k={k} demonstrations from a pool of {pool_size}")
     t = test.select("rep", F.col("doc_id").alias("test_id"))
+    if k == 0:      # zero-shot: no demonstrations (sequence(n, n - 1) would count down)
+        return t.select("rep", "test_id", F.lit(0).alias("ord"), F.lit(0).alias("train_pos")).limit(0)
     drawn = t.withColumn("_d", floyd_draw(F.lit(pool_size), k, seed, "demo", "rep", "test_id"))
     # C4: order of the demonstrations = order of a second key (a uniform shuffle).
     keyed = F.transform("_d", lambda p: F.struct(hkey(seed, "demo_order", "rep", "test_id", p).alias("h"),
@@ -165,26 +134,49 @@ def draw_demos(test: DataFrame, pool_size: int, k: int, seed: int) -> DataFrame:
             .select("rep", "test_id", F.col("ord").cast("int"), F.col("_s.p").alias("train_pos")))
 
 
-def coverage_sample(pool: DataFrame, k: int, n_needed: DataFrame, seed: int,
-                    max_attempts: int = 64) -> DataFrame:
+def _attempts(pool: DataFrame, k: int, attempts, seed: int) -> DataFrame:
+    """First ``k`` rows of each attempt's order; ``attempts`` is a column (array of attempt ids)."""
+    att = pool.select("rep", "pos", "doc_id", "label_idx", F.explode(attempts).alias("attempt"))
+    key = F.when(F.col("attempt") == 0, F.format_string("%08d", F.col("pos"))) \
+           .otherwise(hkey(seed, "coverage", "rep", "attempt", "pos"))
+    w = Window.partitionBy("rep", "attempt").orderBy(key, F.col("pos"))
+    return att.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+
+def covering_attempts(pool: DataFrame, k: int, n_needed: DataFrame, seed: int) -> dict[int, int]:
+    """Per replicate, the first attempt whose k rows hold as many classes as needed.
+
+    Attempts run in doubling batches over the replicates still uncovered, until
+    all are: R numbers reach the driver in each round. A replicate whose pool
+    lacks the classes can never be covered and is an error; one with fewer
+    rows than classes keeps attempt 0 (the baseline then guesses).
+    """
+    need = {r["rep"]: r["n_classes"] for r in n_needed.collect()}
+    have = {r["rep"]: r["n"] for r in pool.groupBy("rep").agg(F.countDistinct("label_idx").alias("n")).collect()}
+    lacking = sorted(r for r, n in need.items() if k >= n and have.get(r, 0) < n)
+    if lacking:
+        raise ValueError(f"the train pools of replicates {lacking} hold fewer classes than their test sets")
+    found = {r: 0 for r, n in need.items() if k < n}
+    low, size = 0, 1
+    while len(found) < len(need):
+        open_ = [r for r in need if r not in found]
+        some = pool.filter(F.col("rep").isin(open_))
+        drawn = _attempts(some, k, F.sequence(F.lit(low), F.lit(low + size - 1)), seed)
+        classes = drawn.groupBy("rep", "attempt").agg(F.countDistinct("label_idx").alias("n"))
+        enough = F.coalesce(*[F.when(F.col("rep") == r, F.col("n") >= need[r]) for r in open_])
+        found |= {r["rep"]: r["a"] for r in classes.filter(enough).groupBy("rep").agg(F.min("attempt").alias("a")).collect()}
+        low, size = low + size, size * 2
+    return found
+
+
+def coverage_sample(pool: DataFrame, k: int, n_needed: DataFrame, seed: int) -> DataFrame:
     """Baseline train set: k pool rows holding at least as many classes as the test set.
 
     Attempt 0 is the first k rows of the pool (draw order); attempt a > 0 is a
-    fresh k-sample. The first covering attempt per replicate wins. All
-    attempts are evaluated in one job (explode of attempt ids), never a
-    driver loop. ``n_needed`` is ``(rep, n_classes)``; if k < n_classes the
-    replicate keeps attempt 0 (the baseline then guesses). Raises nothing
-    lazily: replicates with no covering attempt get ``attempt = -1``.
-    Output ``(rep, pos, doc_id, label_idx, attempt)``.
+    fresh k-sample. The first covering attempt per replicate wins
+    (``covering_attempts``); there is no bound on their number.
+    ``n_needed`` is ``(rep, n_classes)``. Output ``(rep, pos, doc_id, label_idx, attempt)``.
     """
-    base = pool.select("rep", "pos", "doc_id", "label_idx")
-    att = base.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(max_attempts))))
-    key = F.when(F.col("attempt") == 0, F.format_string("%08d", F.col("pos"))) \
-           .otherwise(hkey(seed, "coverage", "rep", "attempt", "pos"))
-    w = Window.partitionBy("rep", "attempt").orderBy(key, F.col("pos"))
-    drawn = att.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
-    classes = drawn.groupBy("rep", "attempt").agg(F.countDistinct("label_idx").alias("n_cls"))
-    chosen = (classes.join(F.broadcast(n_needed), "rep")
-              .withColumn("ok", (F.col("n_cls") >= F.col("n_classes")) | (F.lit(k) < F.col("n_classes")))
-              .filter("ok").groupBy("rep").agg(F.min("attempt").alias("attempt")))
-    return drawn.join(chosen, ["rep", "attempt"])
+    found = covering_attempts(pool, k, n_needed, seed)
+    chosen = F.coalesce(*[F.when(F.col("rep") == r, F.lit(a)) for r, a in sorted(found.items())], F.lit(-1)) if found else F.lit(-1)
+    return _attempts(pool.filter(chosen >= 0), k, F.array(chosen), seed)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def jaccard(a, b):
 
 
 def overlap_scores(test: DataFrame, demo_docs: DataFrame, lmap: DataFrame, docs: DataFrame,
-                   digits: int = 9) -> DataFrame:
+                   digits: int = 9, rows: int | None = None, keep: list | None = None) -> DataFrame:
     """Stand-in scorer (not a language model; its F1 is no ICL quality).
 
     score(class) = sum over the prompt's demonstrations labelled with the
@@ -51,11 +52,11 @@ def overlap_scores(test: DataFrame, demo_docs: DataFrame, lmap: DataFrame, docs:
     """
     keys = ["rep", "doc_id"] if "rep" in docs.columns else ["doc_id"]
     ids = (test.select(*keys).unionByName(demo_docs.select(*keys))).distinct()
-    from shotlab.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(docs.sparkSession)
-    # token sets of the sampled documents (bounded by R*3T rows) are read twice below
-    sel = sampled_docs(docs, ids) if keys == ["doc_id"] else docs.join(ids, keys, "left_semi")
-    toks = sel.select(*keys, token_set("text").alias("toks")).checkpoint(eager=True)
+    sel = sampled_docs(docs, ids, rows) if keys == ["doc_id"] else docs.join(ids, keys, "left_semi")
+    # read twice below; ``keep`` collects what the caller unpersists
+    toks = sel.select(*keys, token_set("text").alias("toks")).persist(StorageLevel.MEMORY_AND_DISK)
+    if keep is not None:
+        keep.append(toks)
     # Rows carry whole token arrays: join by shuffle, never broadcast (measured ~3x
     # slower when AQE broadcasts them, and their size grows with document length).
     qt = toks.withColumnRenamed("doc_id", "test_id").withColumnRenamed("toks", "q").hint("merge")
@@ -71,22 +72,12 @@ def overlap_scores(test: DataFrame, demo_docs: DataFrame, lmap: DataFrame, docs:
 
 
 def overlap_fn(docs_tokens_col: str = "prompt"):
-    """A toy ``score_with`` function: scores candidates by word overlap with the prompt tail.
-
-    Used to exercise the hook; returns the share of the prompt's words equal
-    to each label word.
-    """
-    import re
-
-    word = re.compile(r"\w+")
-
+    """A toy ``score_with`` function: the share of the prompt's lower-cased ASCII words that
+    equal each lower-cased label word. Used to exercise the hook."""
     def fn(batches):
         for pdf in batches:
-            rows = []
-            for rep, tid, prompt, labels in zip(pdf["rep"], pdf["test_id"], pdf[docs_tokens_col], pdf["labels"]):
-                toks = word.findall(prompt.lower())
-                n = max(len(toks), 1)
-                for i, w in enumerate(labels):
-                    rows.append((rep, tid, i, toks.count(w.lower()) / n))
-            yield pd.DataFrame(rows, columns=["rep", "test_id", "label_idx", "score"])
+            words = pdf[docs_tokens_col].str.lower().str.findall("[a-z0-9_]+")
+            each = pdf[["rep", "test_id"]].assign(words=words, n=words.str.len().clip(lower=1), label=pdf["labels"].map(lambda x: [*enumerate(x)])).explode("label")
+            hits = [w.count(label[1].lower()) for w, label in zip(each["words"], each["label"], strict=True)]
+            yield pd.DataFrame({"rep": each["rep"], "test_id": each["test_id"], "label_idx": [x[0] for x in each["label"]], "score": hits / each["n"]})
     return fn

@@ -7,26 +7,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotlab.functions.hashing import hkey
-from shotlab.functions.text import WORD_PATTERN, tokenize
-from shotlab.operators.partitioning import spread
+from shotlab.functions.text import WORD_PATTERN, pieces
 from shotlab.operators.sampling import with_reps
 
 
-def corpus_vocab(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Distinct word tokens ``(token)`` of a corpus (case kept), single-token entries only.
+def corpus_vocab(docs: DataFrame, text_col: str = "text", pattern: str = WORD_PATTERN) -> DataFrame:
+    """Distinct tokens ``(token)`` of a corpus (case kept): word tokens, or any other pattern's.
 
     A distributed ``distinct`` (partial aggregation before the shuffle).
     """
-    toks = spread(docs).select(F.explode(tokenize(F.col(text_col))).alias("token")).distinct()
-    return toks.filter(single_token("token"))
+    return docs.select(F.explode(F.array_distinct(pieces(F.col(text_col), pattern))).alias("token")).distinct()
 
 
-def single_token(col: str = "token"):
+def user_vocab(words: DataFrame, col: str = "token", pattern: str = WORD_PATTERN) -> DataFrame:
+    """Distinct entries of a user's vocabulary that are exactly one token; the others and
+    nulls are left out."""
+    return words.select(F.col(col).alias("token")).filter(single_token("token", pattern)).distinct()
+
+
+def single_token(col: str = "token", pattern: str = WORD_PATTERN):
     """Entry survives a re-tokenisation as exactly one token (B9)."""
-    return F.regexp_extract_all(F.col(col), F.lit(WORD_PATTERN), 0) == F.array(F.col(col))
+    return F.coalesce(pieces(F.col(col), pattern) == F.array(F.col(col)), F.lit(False))
 
 
-def dense_index(df: DataFrame, by: list[str], order: list, out: str = "idx") -> DataFrame:
+def dense_index(df: DataFrame, by: list[str], order: list, out: str = "idx", keep: list | None = None) -> DataFrame:
     """0-based position of each row in ``order`` within its ``by`` group, for groups of any size.
 
     A global range-partitioned sort, then ``monotonically_increasing_id`` gives
@@ -41,27 +45,29 @@ def dense_index(df: DataFrame, by: list[str], order: list, out: str = "idx") ->
     # executions differently). A lost cached block is recomputed from that same
     # execution's shuffle, so ids stay consistent under executor loss.
     s = s.persist(StorageLevel.MEMORY_AND_DISK)
+    if keep is not None:
+        keep.append(s)      # the caller unpersists it
     parts = s.groupBy("_pid", *by).agg(F.min("_rec").alias("_first"), F.count("*").alias("_cnt"))
     w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_pid") \
         .rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_start", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    # The partition table has (#partitions x #groups) rows: bounded by the plan, not the data.
-    s = s.join(F.broadcast(parts.select("_pid", *by, "_first", "_start")), ["_pid", *by])
+    # The partition table has (#partitions x #groups) rows: Spark broadcasts it when it is small.
+    s = s.join(parts.select("_pid", *by, "_first", "_start"), ["_pid", *by])
     return (s.withColumn(out, F.col("_start") + F.col("_rec") - F.col("_first"))
             .drop("_mid", "_pid", "_rec", "_first", "_start"))
 
 
-def permutation(vocab: DataFrame, repeats: int, seed: int) -> DataFrame:
+def permutation(vocab: DataFrame, repeats: int, seed: int, keep: list | None = None) -> DataFrame:
     """Uniform random bijection of the vocabulary per replicate: ``(rep, token, new_token)``.
 
     Token at position q in token order maps to the token at position q in
     key order; both positions come from ``dense_index``.
     """
     # Token order is the same in every replicate: index V rows once, not R*V.
-    by_tok = dense_index(vocab.select("token"), [], [F.col("token")], "q")
+    by_tok = dense_index(vocab.select("token"), [], [F.col("token")], "q", keep)
     v = with_reps(vocab.select("token"), repeats).withColumn("rep", F.col("rep").cast("int"))
     by_key = dense_index(v.withColumn("_h", hkey(seed, "permute", "rep", "token")), ["rep"],
-                         [F.col("_h"), F.col("token")], "q").select("rep", "q", F.col("token").alias("new_token"))
+                         [F.col("_h"), F.col("token")], "q", keep).select("rep", "q", F.col("token").alias("new_token"))
     return by_key.join(by_tok, "q").select("rep", "token", "new_token")
 
 
@@ -69,16 +75,17 @@ def permute_tokens(df: DataFrame, tokens_col: str, token_map: DataFrame, protect
                    out: str = "permuted", key=("rep", "test_id")) -> DataFrame:
     """Replace every unprotected token by its image under the replicate's permutation.
 
-    ``df`` has ``(rep, test_id, tokens_col ARRAY<STRING>)``; ``protected`` is
-    ``(rep, token)`` (label and template words). Tokens are exploded with
-    their position, left-joined to the map (shuffle join: the map grows with
-    the vocabulary), and re-collected in position order per prompt.
+    ``df`` has ``(*key, tokens_col ARRAY<STRING>)``; ``protected`` is
+    ``(rep, token)`` (label and template tokens). Only the distinct tokens of
+    a row are joined to the map (shuffle join: the map grows with the
+    vocabulary; a frequent token repeats on the left side only, which a skew
+    join splits); their images come back as one small map per row.
     """
     key = list(key)
-    ex = df.select(*key, F.posexplode(tokens_col).alias("i", "token"))
-    prot = protected.select("rep", "token").distinct().withColumn("_p", F.lit(True))
-    m = token_map.join(prot, ["rep", "token"], "left_anti")
-    j = ex.join(m, ["rep", "token"], "left")
-    j = j.select(*key, "i", F.coalesce("new_token", "token").alias("t"))
-    return (j.groupBy(*key)
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda s: s["t"]).alias(out)))
+    ex = df.select(*key, F.explode(F.array_distinct(tokens_col)).alias("token"))
+    m = token_map.join(protected.select("rep", "token").distinct(), ["rep", "token"], "left_anti")
+    images = (ex.join(m, ["rep", "token"]).groupBy(*key)
+              .agg(F.map_from_entries(F.collect_list(F.struct("token", "new_token"))).alias("_m")))
+    j = df.select(*key, F.col(tokens_col).alias("_t")).join(images, key, "left")
+    image = F.transform("_t", lambda t: F.coalesce(F.element_at("_m", t), t))
+    return j.select(*key, F.when(F.col("_m").isNull(), F.col("_t")).otherwise(image).alias(out))

@@ -17,7 +17,8 @@ from shotlab.operators.prompts import build_prompts
 from shotlab.operators.ranking import predict_and_rank
 from shotlab.plans import experiment as X
 from shotlab.plans import sqlparts as S
-from shotlab.sources.labelled import task_rows
+from shotlab.sources.labelled import read_labelled, task_rows
+from shotlab.sources.registry import custom_task
 
 QUERIES: dict[str, tuple] = {}
 
@@ -248,7 +249,8 @@ def _sql_vocab_permutation():
 def q_vocab_permutation(spark, sf_dir):
     from shotlab.operators.vocab import corpus_vocab, permutation
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return permutation(corpus_vocab(docs), CHECK.repeats, CHECK.seed)
+    from shotlab.functions.text import PIECE_PATTERN
+    return permutation(corpus_vocab(docs, pattern=PIECE_PATTERN), CHECK.repeats, CHECK.seed)
 
 
 P_TOKEN = CHECK.with_(pattern="token")
@@ -256,25 +258,44 @@ P_TOKEN = CHECK.with_(pattern="token")
 
 def _sql_token_permute():
     p = P_TOKEN
-    from shotlab.sources.registry import task
-    t = task(p.task)
-    pat = S.WORD_PATTERN
-    return (f"{S.base_ctes(p)},\n{S.texts_ctes(p)},\n{S.demos_cte(p)},\n{S.prompts_ctes(p)},\n{S.perm_ctes(p)},\n"
-            f"ptok AS (SELECT rep, test_id, regexp_extract_all(prompt, '{pat}') AS toks FROM prompts),\n"
-            f"pu AS (SELECT rep, test_id, unnest(toks) AS token, unnest(generate_series(1, len(toks))) AS i FROM ptok),\n"
-            f"prot AS (SELECT DISTINCT rep, unnest(regexp_extract_all(label_word, '{pat}')) AS token FROM lmap "
-            f"UNION SELECT r.rep, t.token FROM reps r "
-            f"CROSS JOIN (SELECT unnest(regexp_extract_all({S.q(t.prompt_x + ' ' + t.prompt_y)}, '{pat}')) AS token) t),\n"
-            f"pm AS (SELECT p.* FROM perm p WHERE NOT EXISTS (SELECT 1 FROM prot WHERE prot.rep = p.rep AND prot.token = p.token))\n"
-            f"SELECT pu.rep, pu.test_id, string_agg(coalesce(pm.new_token, pu.token), ' ' ORDER BY pu.i) AS permuted "
-            f"FROM pu LEFT JOIN pm ON pm.rep = pu.rep AND pm.token = pu.token GROUP BY pu.rep, pu.test_id")
+    return f"{S.base_ctes(p)},\n{S.texts_ctes(p)},\n{S.demos_cte(p)},\n{S.prompts_ctes(p)}\nSELECT rep, test_id, prompt AS permuted FROM prompts"
 
 
 @register("token_permute", _sql_token_permute)
 def q_token_permute(spark, sf_dir):
-    """Prompt tokens mapped through the replicate's vocabulary permutation; label and template words kept."""
-    out = X.permuted_prompts(spark, _prep(spark, sf_dir, P_TOKEN))
-    return out.select("rep", "test_id", F.array_join("permuted", " ").alias("permuted"))
+    """Prompts whose texts went through the replicate's vocabulary permutation; label words,
+    template, line ends and the template's punctuation kept."""
+    return X.scoring_prompts(_prep(spark, sf_dir, P_TOKEN)).select("rep", "test_id", F.col("prompt").alias("permuted"))
+
+
+@register("token_scores", lambda: f"{_scored_sql(P_TOKEN)}\nSELECT rep, test_id, label_idx, round(score, 6) AS score FROM scores")
+def q_token_scores(spark, sf_dir):
+    """Stand-in scores of the permuted texts."""
+    scores, _, _ = X.overlap_eval(_prep(spark, sf_dir, P_TOKEN))
+    return scores.select("rep", "test_id", "label_idx", F.round("score", 6).alias("score"))
+
+
+P_MEMO_RAND = CHECK.with_(pattern="memo_label_rand")
+
+
+@register("memo_label_rand", lambda: f"{_scored_sql(P_MEMO_RAND)}\nSELECT rep, test_id, gold_idx, pred_idx, gold_rank FROM pr")
+def q_memo_label_rand(spark, sf_dir):
+    """Random vocabulary tokens as label words, original label words as texts."""
+    _, preds, _ = X.overlap_eval(_prep(spark, sf_dir, P_MEMO_RAND))
+    return preds.select("rep", "test_id", "gold_idx", "pred_idx", "gold_rank")
+
+
+P_ZERO = CHECK.with_(k=0)
+
+
+def _sql_zero_shot():
+    p = P_ZERO
+    return f"{S.base_ctes(p)},\n{S.texts_ctes(p)},\n{S.demos_cte(p)},\n{S.prompts_ctes(p)}\nSELECT rep, test_id, gold_word, prompt FROM prompts"
+
+
+@register("prompt_build_zero_shot", _sql_zero_shot)
+def q_prompt_build_zero_shot(spark, sf_dir):
+    return X.prompts(_prep(spark, sf_dir, P_ZERO))
 
 
 # ---------------------------------------------------------------- text functions / features
@@ -358,6 +379,16 @@ def q_coverage_sample(spark, sf_dir):
     return fit.select("rep", "doc_id", "y", F.col("attempt").cast("int"))
 
 
+P_COVER14 = CHECK.with_(task="dbpedia_14", k=14, test_num=24, seed=45)
+
+
+@register("coverage_sample_14", lambda: f"{S.base_ctes(P_COVER14)},\n{S.baseline_ctes(P_COVER14, 2048)}\nSELECT rep, doc_id, y, attempt FROM fit")
+def q_coverage_sample_14(spark, sf_dir):
+    """As many rows as classes: many redraws until a sample covers the test classes."""
+    _, fit, _ = _baseline_inputs(spark, sf_dir, P_COVER14)
+    return fit.select("rep", "doc_id", "y", F.col("attempt").cast("int"))
+
+
 def _fit_vocab_df(spark, sf_dir, char_cap, word_cap):
     from shotlab.operators.features import doc_grams, fit_vocab
     pr, fit, test = _baseline_inputs(spark, sf_dir)
@@ -481,15 +512,19 @@ def q_replicate_summary(spark, sf_dir):
 P_GUESS = CHECK.with_(task="dbpedia_14")
 
 
-def _sql_random_grid(p=P_GUESS):
+def _sql_random_parts(p):
     hn = S.sql_hnum(p.seed, "guess", "t.rep", "g.grid_id", "t.doc_id")
-    return (f"{S.base_ctes(p)},\n{S.baseline_ctes(p)},\ngrid AS ({S.grid_values()}),\n"
+    return (f"grid AS ({S.grid_values()}),\n"
             f"tcls AS (SELECT rep, list_sort(list_distinct(list(y))) AS cls FROM btest GROUP BY rep),\n"
             f"rg AS (SELECT t.rep, g.c, g.solver, g.ngc_max, g.ngw_max, t.y AS gold_idx, "
             f"c.cls[1 + ({hn} % len(c.cls))] AS pred_idx FROM btest t JOIN tcls c ON c.rep = t.rep CROSS JOIN grid g),\n"
             f"{S.f1_cte('rg', 'rep, c, solver, ngc_max, ngw_max', 'gf')}")
 
 
+def _sql_random_grid(p=P_GUESS):
+    return f"{S.base_ctes(p)},\n{S.baseline_ctes(p)},\n{_sql_random_parts(p)}"
+
+
 @register("random_baseline", lambda: (f"{_sql_random_grid()}\nSELECT rep, c, solver, ngc_max, ngw_max, "
                                       f"round(macro_f1, 6) AS f1 FROM gf"))
 def q_random_baseline(spark, sf_dir):
@@ -548,22 +583,119 @@ def q_linear_fit(spark, sf_dir):
     """K1: one pyspark.ml logistic regression on the whole train split of the 4-class task (rows-only)."""
     from shotlab.operators.linear import linear_fit
     lab = task_rows(spark, sf_dir, "ag_news")
-    return linear_fit(lab.filter("split = 'train'"), lab.filter("split = 'test'"), c=1.0, ngc=2, ngw=1)
+    return linear_fit(lab.filter("split = 'train'"), lab.filter("split = 'test'"), c=1.0, ngc=2, ngw=1, unit=True)
+
 
+def _sql_score_hook():
+    p = CHECK
+    words = "regexp_extract_all(lower(p.prompt), '[a-z0-9_]+')"
+    return (f"{S.base_ctes(p)},\n{S.texts_ctes(p)},\n{S.demos_cte(p)},\n{S.prompts_ctes(p)},\n"
+            f"scores AS (SELECT p.rep, p.test_id, l.label_idx, len(list_filter({words}, lambda x: x = lower(l.label_word))) / greatest(len({words}), 1) AS score "
+            f"FROM prompts p JOIN lmap l ON l.rep = p.rep),\n"
+            f"gold AS (SELECT t.rep, t.doc_id AS test_id, mi.merged_idx AS gold_idx FROM tst t JOIN mi ON mi.rep = t.rep AND mi.label_word = t.label_word)\n"
+            f"SELECT s.rep, s.test_id, g.gold_idx, first(s.label_idx ORDER BY s.score DESC, s.label_idx) AS pred_idx, "
+            f"CAST(1 + count(*) FILTER (WHERE s.score > gs.score) AS INTEGER) AS gold_rank FROM scores s JOIN gold g ON g.rep = s.rep AND g.test_id = s.test_id "
+            f"JOIN scores gs ON gs.rep = s.rep AND gs.test_id = s.test_id AND gs.label_idx = g.gold_idx GROUP BY s.rep, s.test_id, g.gold_idx")
 
-@register("score_hook")
+
+@register("score_hook", _sql_score_hook)
 def q_score_hook(spark, sf_dir):
-    """Model hook (mapInPandas) with a toy batch scorer; predictions and gold ranks (rows-only)."""
+    """Model hook (mapInPandas) with a toy batch scorer; predictions and gold ranks."""
     from shotlab.operators.scoring import overlap_fn, score_with
     pr = _prep(spark, sf_dir)
-    scores = score_with(X.scoring_prompts(spark, pr), pr.lmap, overlap_fn())
-    return predict_and_rank(scores, X.gold(pr))
+    scores = score_with(X.scoring_prompts(pr), pr.lmap, overlap_fn())
+    return predict_and_rank(scores, X.gold(pr), n_labels=pr.task.n_labels)
+
+
+def _sql_report():
+    from shotlab.sources.registry import PATTERNS
+    parts = []
+    for pat in PATTERNS:
+        p = CHECK.with_(pattern=pat)
+        rnd, extra = "CAST(NULL AS DOUBLE)", ""
+        if pat in X.BASELINE_PATTERNS:
+            extra = f",\n{S.baseline_ctes(p)},\n{_sql_random_parts(p)}"
+            rnd = "(SELECT round(avg(b), 6) FROM (SELECT max(macro_f1) AS b FROM gf GROUP BY rep))"
+        parts.append(f"SELECT * FROM ({_scored_sql(p)},\n{S.f1_cte()}{extra}\nSELECT {S.q(pat)} AS pattern, round(coalesce(avg(macro_f1), 0.0), 6) AS mean_f1, "
+                     f"round((SELECT avg(gold_rank) FROM pr), 6) AS mean_rank, (SELECT CAST(count(*) AS BIGINT) FROM pr) AS n_prompts, {rnd} AS random_f1 FROM f1)")
+    return "\nUNION ALL\n".join(parts)
 
 
-@register("experiment_report")
+@register("experiment_report", _sql_report)
 def q_experiment_report(spark, sf_dir):
-    """Pattern matrix: stand-in F1 and rank, linear and random baselines (rows-only)."""
-    return X.experiment_report(spark, sf_dir, CHECK, ["none", "label", "memo_label_kw"])
+    """All seven patterns: stand-in F1 and rank, random baseline (fits: ``linear_grid``)."""
+    from shotlab.sources.registry import PATTERNS
+    out = X.experiment_report(spark, sf_dir, CHECK, PATTERNS, linear=False)
+    return out.select("pattern", F.round("mean_f1", 6).alias("mean_f1"), F.round("mean_rank", 6).alias("mean_rank"), F.col("n_prompts").cast("long"), F.round("random_f1", 6).alias("random_f1"))
+
+
+# ---------------------------------------------------------------- kernels and a user's table
+def _sql_kernel(tfidf):
+    w = f"(1 + ln(x.cnt)) * (ln((1.0 + {CHECK.k}) / (1.0 + v.df)) + 1)" if tfidf else "CAST(x.cnt AS DOUBLE)"
+    unit = "w / sqrt(sum(w * w) OVER (PARTITION BY rep, doc_id, block, n_max))" if tfidf else "w"
+    cols = [f"round(coalesce(sum(p) FILTER (block = '{b}' AND n_max = {n}), 0.0), 6) AS {t}{n}" for b, t, top in (("char", "c", 4), ("word", "w", 2)) for n in range(1, top + 1)]
+    return (f"{S.base_ctes(CHECK)},\n{S.baseline_ctes(CHECK)},\n{S.vocab_fit_ctes(CHECK, 4, 2, 50000, 10000)},\n"
+            f"xs AS (SELECT rep, doc_id, block, term, cnt, true AS fitted FROM ft UNION ALL SELECT rep, doc_id, block, term, cnt, false FROM tt),\n"
+            f"wt AS (SELECT x.rep, x.doc_id, x.fitted, x.block, v.n_max, x.term, {w} AS w FROM xs x JOIN voc v ON v.rep = x.rep AND v.block = x.block AND v.term = x.term),\n"
+            f"un AS (SELECT rep, doc_id, fitted, block, n_max, term, {unit} AS w FROM wt),\n"
+            f"pp AS (SELECT a.rep, a.doc_id AS i, b.doc_id AS j, a.block, a.n_max, a.w * b.w AS p FROM un a JOIN un b ON a.rep = b.rep AND a.block = b.block AND a.n_max = b.n_max AND a.term = b.term WHERE a.fitted)\n"
+            f"SELECT rep, i, j, {', '.join(cols)} FROM pp GROUP BY rep, i, j")
+
+
+def _kernel(spark, sf_dir, tfidf):
+    from shotlab.operators.linear import kernel_matrix
+    pr, fit, test = _baseline_inputs(spark, sf_dir)
+    k = kernel_matrix(fit.select("rep", "doc_id", "y"), test, X.doc_texts(pr), tfidf, CHECK.k, rows=pr.sampled_rows, keep=pr.kept)
+    return k.select("rep", "i", "j", *[F.round(c, 6).alias(c) for c in ("c1", "c2", "c3", "c4", "w1", "w2")])
+
+
+@register("linear_kernel", lambda: _sql_kernel(False))
+def q_linear_kernel(spark, sf_dir):
+    """Dot products of fit and test documents for every n-gram range (counts)."""
+    return _kernel(spark, sf_dir, False)
+
+
+@register("linear_kernel_tfidf", lambda: _sql_kernel(True))
+def q_linear_kernel_tfidf(spark, sf_dir):
+    """The same on TF-IDF weights, L2-normalised per block and range."""
+    return _kernel(spark, sf_dir, True)
+
+
+P_GRID_GUESS = CHECK.with_(task="dbpedia_14", k=4)
+
+
+@register("linear_grid_guess", lambda: f"{_sql_random_grid(P_GRID_GUESS)}\nSELECT rep, c, solver, ngc_max, ngw_max, round(macro_f1, 6) AS f1 FROM gf")
+def q_linear_grid_guess(spark, sf_dir):
+    """The grid where every replicate's test set has more classes than k: guesses only."""
+    grid, _, _ = X.linear_baseline(spark, _prep(spark, sf_dir, P_GRID_GUESS))
+    return grid.select("rep", "c", "solver", "ngc_max", "ngw_max", F.round("f1", 6).alias("f1"))
+
+
+def _sql_custom_task():
+    lab = (f"SELECT m.id AS doc_id, m.text, CAST(CASE m.role WHEN 'user' THEN 0 ELSE 1 END AS INTEGER) AS label_idx, {S.split_expr('m.id')} AS split "
+           f"FROM (SELECT conv_id * 1000 + turn AS id, role, text FROM conversations) m")
+    own = f"({lab}) d"
+    p = CHECK
+    base = S.base_ctes(p).replace(S.lab_sql(p.task), lab)
+    org = ", ".join(f"({i}, {S.q(w)})" for i, w in enumerate(CUSTOM.labels))
+    old = S.lmap_ctes(p)
+    new = old.replace(old[:old.index(" v(label_idx")], f"lorg AS (SELECT * FROM (VALUES {org})").replace("'sst2' AS task", "'speaker' AS task")
+    base = base.replace(old, new)
+    texts = S.texts_ctes(p).replace("JOIN documents d", f"JOIN {own}")
+    prompts = S.prompts_ctes(p).replace(S.q(S.get_task(p.task).prompt_x), S.q(CUSTOM.prompt_x)).replace(S.q(S.get_task(p.task).prompt_y), S.q(CUSTOM.prompt_y))
+    return f"{base},\n{texts},\n{S.demos_cte(p)},\n{prompts}\nSELECT rep, test_id, gold_word, prompt FROM prompts"
+
+
+CUSTOM = custom_task("speaker", ["question", "answer"], "Turn: ", "\nKind: ")
+
+
+@register("custom_task", _sql_custom_task)
+def q_custom_task(spark, sf_dir):
+    """A user's own table and task: who speaks in a turn of ``conversations``."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content"), F.when(F.col("role") == "user", 0).otherwise(1).alias("label"))
+    lab = read_labelled(spark, turns, id_col="id", split_col=None)
+    return X.prompts(X.prepare(spark, None, CHECK, labelled=lab, task=CUSTOM))
 
 
 @register("linear_grid_tfidf")

@@ -1,7 +1,11 @@
 """Composed experiment plans: data preparation, prompting, scoring, reporting.
 
-Each function returns lazy DataFrames; replicates are a column, so the
-whole experiment is a handful of Spark jobs rather than a driver loop.
+Replicates are a column, so the whole experiment is a handful of Spark jobs
+rather than a driver loop. ``prepare`` checks the table with one small job and
+``baseline_sets`` finds covering samples; everything else is lazy. Reused
+intermediates are persisted and listed in ``Prepared.kept``
+(``Prepared.release`` frees them); every draw is a pure function of the seed,
+so a lost block is computed again with the same rows.
 """
 
 from __future__ import annotations
@@ -13,78 +17,119 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotlab.config import Params
-from shotlab.functions.text import tokenize
+from shotlab.functions.text import PIECE_PATTERN, pieces
 from shotlab.operators.labels import label_map, memo_text, verbalize, merged_index
 from shotlab.operators.metrics import macro_f1, replicate_summary
-from shotlab.operators.prompts import build_prompts, demo_rows
+from shotlab.operators.partitioning import bounded_broadcast
+from shotlab.operators.prompts import build_prompts, demo_rows, present
 from shotlab.operators.ranking import predict_and_rank
-from shotlab.operators.sampling import draw_demos, sample_replicates
+from shotlab.operators.sampling import coverage_sample, draw_demos, sample_replicates
 from shotlab.operators.scoring import overlap_scores
-from shotlab.operators.vocab import corpus_vocab
+from shotlab.operators.vocab import corpus_vocab, permutation, permute_tokens
 from shotlab.sources.labelled import task_rows
 from shotlab.sources.registry import Task, task as get_task, word_lists
 
 
 @dataclass
 class Prepared:
+    """The inputs of one experiment. ``kept`` lists what is persisted; ``release`` frees it."""
+
     params: Params
     task: Task
     labelled: DataFrame      # (doc_id, text, label_idx, split)
     docs: DataFrame          # (doc_id, text)
     lmap: DataFrame          # (rep, task, label_idx, label_word, label_org)
     sample: DataFrame        # (rep, split, pos, doc_id, label_idx, label_word)
-    sizes: dict
+    drawn: DataFrame         # the sample before label words: the same for every pattern
+    kept: list
     _texts: DataFrame | None = None
-
-
-def prepare(spark: SparkSession, sf_dir: str, p: Params, vocab: DataFrame | None = None,
-            check_sizes: bool = True, materialize: bool = True) -> Prepared:
-    """Scan, label map, replicate samples, verbalised (one small count action for the split sizes)."""
-    t = get_task(p.task)
-    lab = task_rows(spark, sf_dir, p.task)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    sizes = {}
-    if check_sizes:
-        sizes = {r["split"]: r["n"] for r in lab.groupBy("split").agg(F.count("*").alias("n")).collect()}
-        for split, need in (("train", p.pool_num), ("test", p.test_num)):
-            if sizes.get(split, 0) < need:
-                raise ValueError(f"{p.task}: {split} split has {sizes.get(split, 0)} rows, sample needs {need}")
+    _permuted: DataFrame | None = None
+    _sets: tuple | None = None
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self.kept[-1]
+
+    def release(self) -> None:
+        while self.kept:
+            self.kept.pop().unpersist()
+
+    @property
+    def sampled_rows(self) -> int:
+        return self.params.repeats * 3 * self.params.test_num
+
+
+def check_table(labelled: DataFrame, t: Task, p: Params) -> None:
+    """One pass over the narrow columns: enough rows per split, class ids with a word, unique ids."""
+    rows = labelled.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"),
+                                         F.count(F.when(F.col("label_idx").isNull() | (F.col("label_idx") < 0) | (F.col("label_idx") >= t.n_labels), 1)).alias("bad")).collect()
+    sizes = {r["split"]: r for r in rows}
+    for split, need in (("train", p.pool_num), ("test", p.test_num)):
+        n = sizes[split]["n"] if split in sizes else 0
+        if n < need:
+            raise ValueError(f"{t.key}: {split} split has {n} rows, sample needs {need}")
+    for r in rows:
+        if r["bad"]:
+            raise ValueError(f"{t.key}: {r['bad']} rows of the {r['split']} split have a class id without a label word")
+        if r["ids"] != r["n"]:
+            raise ValueError(f"{t.key}: doc_id is null or repeated in {r['n'] - r['ids']} rows of the {r['split']} split")
+
+
+def prepare(spark: SparkSession, sf_dir: str | None, p: Params, vocab: DataFrame | None = None, check: bool = True, *,
+            labelled: DataFrame | None = None, task: Task | None = None, docs: DataFrame | None = None,
+            like: Prepared | None = None) -> Prepared:
+    """Scan, label map and replicate samples with label words.
+
+    A user's own data comes as ``labelled`` (``sources.labelled.read_labelled``) and ``task``
+    (``sources.registry.custom_task``); ``docs`` defaults to its texts. Without them, ``sf_dir``
+    and ``p.task`` name the driver tables' task shapes. ``like`` reuses the drawn sample and the
+    fetched texts of an experiment that differs in its pattern only.
+    """
+    t = task or (like.task if like else get_task(p.task))
+    if like:
+        lab, docs = like.labelled, like.docs
+    elif labelled is not None:
+        lab, docs = labelled, docs if docs is not None else labelled.select("doc_id", "text")
+    else:
+        lab, docs = task_rows(spark, sf_dir, p.task), spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    if check and not like:
+        check_table(lab, t, p)
     kind, _ = word_lists(t, p.pattern)
     if kind == "tokens" and vocab is None:
         vocab = corpus_vocab(docs)
     lmap = label_map(spark, t, p.pattern, p.repeats, p.seed, vocab=vocab)
-    smp = sample_replicates(lab, p.test_num, p.repeats, p.seed, sizes=sizes or None)
-    smp = verbalize(smp, lmap)
-    if materialize:
-        from shotlab.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(spark)
-        # R*3T rows read by every later operator: one reliable checkpoint (in
-        # spark.checkpoint.dir) instead of re-running the sampling windows per use.
-        smp = smp.checkpoint(eager=True)
-    return Prepared(p, t, lab, docs, lmap, smp, sizes)
+    kept: list = []
+    # R*3T rows read by every later operator; a lost block is drawn again from the same keys
+    drawn = like.drawn if like else sample_replicates(lab, p.test_num, p.repeats, p.seed).persist(StorageLevel.MEMORY_AND_DISK)
+    if not like:
+        kept.append(drawn)
+    prep = Prepared(p, t, lab, docs, lmap, verbalize(drawn, lmap), drawn, kept)
+    prep._texts = like._texts if like else None
+    return prep
 
 
 def doc_texts(prep: Prepared) -> DataFrame:
     """``(doc_id, text)`` of the distinct sampled documents (original texts).
 
-    The documents table is scanned once per experiment: the distinct sampled
-    ids (<= R*3T) are the broadcast build side and the documents stream past
-    them, so the text column is never shuffled. The matched rows are
-    persisted for the later consumers (prompts, scorer, baseline); a lost
-    block is recomputed from this same scan.
+    The documents table is scanned once per experiment. Up to ``BROADCAST_ROWS`` distinct
+    sampled ids (R*3T at most) are broadcast and the documents stream past them, so the text
+    column is not shuffled; beyond that Spark joins by its statistics. The matched rows are
+    persisted for the later consumers (prompts, scorer, baseline). A null text is an error.
     """
     if prep._texts is None:
-        ids = prep.sample.select("doc_id").distinct()
-        prep._texts = (prep.docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text")
-                       .persist(StorageLevel.MEMORY_AND_DISK))
+        ids = bounded_broadcast(prep.drawn.select("doc_id").distinct(), prep.sampled_rows)
+        prep._texts = prep.keep(present(prep.docs.join(ids, "doc_id").select("doc_id", "text"), "text"))
     return prep._texts
 
 
 def texts(prep: Prepared) -> DataFrame:
-    """Sample rows with their text (memo patterns: text := original label word)."""
+    """Sample rows with their text (memo patterns: the original label word; token pattern: the
+    permuted text)."""
     if "memo_label" in prep.params.pattern:
         return memo_text(prep.sample, prep.lmap)
-    return doc_texts(prep).join(F.broadcast(prep.sample), "doc_id")
+    if prep.params.pattern == "token":
+        return permuted_texts(prep)
+    return doc_texts(prep).join(bounded_broadcast(prep.sample, prep.sampled_rows), "doc_id")
 
 
 def sample_texts(prep: Prepared, split: str) -> DataFrame:
@@ -116,12 +161,10 @@ def overlap_eval(prep: Prepared):
     test = prep.sample.filter(F.col("split") == "test")
     pool = prep.sample.filter(F.col("split") == "train")
     dd = demo_rows(demonstrations(prep), pool, ("doc_id", "label_word"))
-    if "memo_label" in prep.params.pattern:
-        docs = texts(prep).select("rep", "doc_id", "text")
-    else:
-        docs = doc_texts(prep)
-    scores = overlap_scores(test, dd, prep.lmap, docs)
-    preds = predict_and_rank(scores, gold(prep))
+    own = "memo_label" in prep.params.pattern or prep.params.pattern == "token"     # a text per replicate
+    docs = texts(prep).select("rep", "doc_id", "text") if own else doc_texts(prep)
+    scores = overlap_scores(test, dd, prep.lmap, docs, rows=prep.sampled_rows, keep=prep.kept)
+    preds = predict_and_rank(scores, gold(prep), n_labels=prep.task.n_labels)
     f1 = macro_f1(preds)
     return scores, preds, f1
 
@@ -131,30 +174,21 @@ def prompting_report(prep: Prepared) -> DataFrame:
     return replicate_summary(f1, preds)
 
 
-def prompt_tokens(prompts_df: DataFrame) -> DataFrame:
-    return prompts_df.select("rep", "test_id", tokenize(F.col("prompt")).alias("tokens"))
-
-
 # ---------------------------------------------------------------- linear baseline
-def baseline_sets(prep: Prepared, max_attempts: int = 32):
+def baseline_sets(prep: Prepared):
     """Fit set (coverage-resampled k train rows) and test set, labels as merged class ids."""
-    from shotlab.operators.sampling import coverage_sample
-    p = prep.params
-    m = merged_index(prep.lmap)
-    s = prep.sample.join(F.broadcast(m), ["rep", "label_word"])
-    pool = s.filter(F.col("split") == "train").select("rep", "pos", "doc_id",
-                                                       F.col("merged_idx").alias("label_idx"))
-    test = s.filter(F.col("split") == "test").select("rep", "doc_id", F.col("merged_idx").alias("y"))
-    need = test.groupBy("rep").agg(F.countDistinct("y").alias("n_classes"))
-    cov = coverage_sample(pool, p.k, need, p.seed, max_attempts)
-    fit = cov.select("rep", "doc_id", F.col("label_idx").alias("y"), "attempt")
-    # both sets are R*k and R*T rows and are read several times by the grid
-    fit, test = fit.checkpoint(eager=True), test.checkpoint(eager=True)
-    covered = fit.select("rep").distinct().count()
-    if covered < p.repeats:
-        raise ValueError(f"{p.repeats - covered} replicate(s) found no k={p.k} train sample covering their test "
-                         f"classes in {max_attempts} attempts (the reference would loop forever)")
-    return fit, test
+    if prep._sets is None:
+        p = prep.params
+        m = merged_index(prep.lmap)                                     # R*L rows
+        s = prep.sample.join(F.broadcast(m), ["rep", "label_word"])
+        pool = s.filter(F.col("split") == "train").select("rep", "pos", "doc_id",
+                                                           F.col("merged_idx").alias("label_idx"))
+        test = s.filter(F.col("split") == "test").select("rep", "doc_id", F.col("merged_idx").alias("y"))
+        need = test.groupBy("rep").agg(F.countDistinct("y").alias("n_classes"))
+        fit = coverage_sample(pool, p.k, need, p.seed).select("rep", "doc_id", F.col("label_idx").alias("y"), "attempt")
+        # both sets are R*k and R*T rows and are read several times by the grid
+        prep._sets = prep.keep(fit), prep.keep(test)
+    return prep._sets
 
 
 def linear_baseline(spark: SparkSession, prep: Prepared, tfidf: bool | None = None):
@@ -164,93 +198,78 @@ def linear_baseline(spark: SparkSession, prep: Prepared, tfidf: bool | None = No
     p = prep.params
     fit, test = baseline_sets(prep)
     grid = linear_grid(fit.select("rep", "doc_id", "y"), test, doc_texts(prep), grid_space(spark), p.k,
-                       p.tfidf if tfidf is None else tfidf, p.seed)
+                       p.tfidf if tfidf is None else tfidf, p.seed, char_cap=p.char_cap, word_cap=p.word_cap,
+                       stop_words=p.stop_words, rows=prep.sampled_rows, keep=prep.kept)
     best = grid_best(grid)
     summary = best.agg(mean0("best_f1").alias("linear_f1"), F.count("*").alias("n_reps"))
     return grid, best, summary
 
 
-def experiment_report(spark: SparkSession, sf_dir: str, base: Params, patterns) -> DataFrame:
-    """One row per task pattern: stand-in scorer F1 and rank, linear and random baselines.
+BASELINE_PATTERNS = ("none", "token", "label")
+
 
-    The baselines run only for none / token / label, as in the reference. The
-    patterns are a short fixed list; their plans are unioned into one result.
+def experiment_report(spark: SparkSession, sf_dir: str | None, base: Params, patterns, linear: bool = True, **data) -> DataFrame:
+    """One row per task pattern: stand-in scorer F1 and rank, random and (``linear``) fitted baselines.
+
+    The baselines run only for none / token / label, as in the reference. The sample and its
+    texts are drawn once for all patterns; ``data`` is passed to ``prepare``.
     """
     from shotlab.operators.linear import grid_space, random_predictions
     from shotlab.operators.metrics import grid_best, mean0
-    parts = []
+    parts, first = [], None
     for pat in patterns:
-        p = base.with_(pattern=pat)
-        prep = prepare(spark, sf_dir, p)
+        prep = prepare(spark, sf_dir, base.with_(pattern=pat), like=first, **({} if first else data))
+        if first is None:
+            first = prep
+            doc_texts(first)
         parts.append(prompting_report(prep).select(F.lit(pat).alias("pattern"), "mean_f1", "mean_rank", "n_prompts"))
-        if pat in ("none", "token", "label"):
-            _, _, lin = linear_baseline(spark, prep)
-            _, test = baseline_sets(prep)
-            rnd = random_predictions(test, grid_space(spark), p.seed)
+        if pat in BASELINE_PATTERNS:
+            rnd = random_predictions(baseline_sets(prep)[1], grid_space(spark), base.seed)
             rf1 = grid_best(macro_f1(rnd, by=("rep", "c", "solver", "ngc_max", "ngw_max"), out="f1"))
-            parts.append(lin.select(F.lit(pat).alias("pattern"), "linear_f1"))
             parts.append(rf1.agg(mean0("best_f1").alias("random_f1")).select(F.lit(pat).alias("pattern"), "random_f1"))
+            if linear:
+                parts.append(linear_baseline(spark, prep)[2].select(F.lit(pat).alias("pattern"), "linear_f1"))
     # 1-row summaries per pattern: union, then one small aggregation (no joins between them)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
-    return out.groupBy("pattern").agg(*[F.max(c).alias(c) for c in
-                                        ("mean_f1", "mean_rank", "n_prompts", "linear_f1", "random_f1")])
+    cols = ["mean_f1", "mean_rank", "n_prompts", "random_f1"] + ["linear_f1"] * linear
+    for c in cols:
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit(None).cast("double"))
+    return out.groupBy("pattern").agg(*[F.max(c).alias(c) for c in cols])
 
 
 # ---------------------------------------------------------------- token pattern
-def protected_tokens(spark: SparkSession, prep: Prepared) -> DataFrame:
-    """``(rep, token)``: tokens of the label words and of the template are never remapped."""
-    from shotlab.operators.sampling import with_reps
-    tmpl = spark.createDataFrame([(prep.task.prompt_x + " " + prep.task.prompt_y,)], "t STRING") \
-        .select(F.explode(tokenize(F.col("t"))).alias("token"))
-    labels = prep.lmap.select("rep", F.explode(tokenize(F.col("label_word"))).alias("token"))
-    return labels.unionByName(with_reps(tmpl, prep.params.repeats).select(F.col("rep").cast("int"), "token"))
-
-
-def permuted_prompts(spark: SparkSession, prep: Prepared, token_map: DataFrame | None = None) -> DataFrame:
-    """Token pattern: ``(rep, test_id, permuted ARRAY<STRING>)`` — the prompt's word tokens
-    with every unprotected token replaced by its image under the replicate's permutation.
-
-    A prompt's tokens are the concatenation of its pieces' tokens (every
-    template starts and ends with a non-word character), so each sampled
-    document is permuted once per replicate and prompts are assembled from
-    the permuted pieces: O(R*(2T+T)) documents remapped instead of
-    O(R*T*(k+1)) texts.
-    """
-    from shotlab.operators.vocab import corpus_vocab, permutation, permute_tokens
-    p = prep.params
-    if token_map is None:
-        token_map = permutation(corpus_vocab(prep.docs), p.repeats, p.seed)
-    texts = sample_texts(prep, "train").unionByName(sample_texts(prep, "test"), allowMissingColumns=True)
-    toks = texts.select("rep", "doc_id", tokenize(F.col("text")).alias("tokens"))
-    perm = permute_tokens(toks, "tokens", token_map, protected_tokens(spark, prep), "ptoks", key=("rep", "doc_id"))
-    xt = tokenize(F.lit(prep.task.prompt_x))
-    yt = tokenize(F.lit(prep.task.prompt_y))
-    pool = prep.sample.filter(F.col("split") == "train").select("rep", F.col("pos").alias("train_pos"), "doc_id",
-                                                               "label_word")
-    pieces = (demonstrations(prep).join(pool, ["rep", "train_pos"]).join(perm, ["rep", "doc_id"])
-              .select("rep", "test_id", "ord",
-                      F.concat(xt, "ptoks", yt, tokenize(F.col("label_word"))).alias("piece")))
-    demo = (pieces.groupBy("rep", "test_id")
-            .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "piece"))),
-                                       lambda s: s["piece"])).alias("demo")))
-    q = (prep.sample.filter(F.col("split") == "test").select("rep", F.col("doc_id").alias("test_id"))
-         .join(perm.withColumnRenamed("doc_id", "test_id"), ["rep", "test_id"]))
-    return (q.join(demo, ["rep", "test_id"], "left")
-            .select("rep", "test_id", F.concat(F.coalesce("demo", F.array().cast("array<string>")),
-                                               xt, "ptoks", yt).alias("permuted")))
-
-
-def scoring_prompts(spark: SparkSession, prep: Prepared) -> DataFrame:
-    """What a model scores: ``(rep, test_id, gold_word, prompt)``.
-
-    For the token pattern the prompt is the permuted token sequence (joined by
-    one space), as the reference feeds permuted token ids to its model; for
-    every other pattern it is the assembled prompt string.
+def protected_tokens(prep: Prepared) -> DataFrame:
+    """``(rep, token)``: tokens of the label words and of the template, line ends and
+    punctuation included, are never remapped."""
+    template = F.explode(F.concat(pieces(F.lit(prep.task.prompt_x)), pieces(F.lit(prep.task.prompt_y))))
+    labels = prep.lmap.select("rep", F.explode(pieces(F.col("label_word"))).alias("token"))
+    return labels.unionByName(prep.lmap.select("rep").distinct().select("rep", template.alias("token")))
+
+
+def permuted_texts(prep: Prepared, token_map: DataFrame | None = None) -> DataFrame:
+    """Token pattern: the sample rows with every unprotected token of their text replaced by its
+    image under the replicate's vocabulary permutation.
+
+    Joining the tokens of a text gives the text back, so prompts, the scorer and the model hook
+    take the permuted texts as they take any others, and the inverse map restores them.
     """
-    pr = prompts(prep)
-    if prep.params.pattern != "token":
-        return pr
-    perm = permuted_prompts(spark, prep).select("rep", "test_id", F.array_join("permuted", " ").alias("prompt"))
-    return pr.drop("prompt").join(perm, ["rep", "test_id"])
+    if token_map is not None or prep._permuted is None:
+        p = prep.params
+        m = token_map if token_map is not None else permutation(corpus_vocab(prep.docs, pattern=PIECE_PATTERN), p.repeats, p.seed, keep=prep.kept)
+        rows = doc_texts(prep).join(bounded_broadcast(prep.sample, prep.sampled_rows), "doc_id")
+        toks = rows.select("rep", "doc_id", pieces("text").alias("tokens"))
+        done = permute_tokens(toks, "tokens", m, protected_tokens(prep), "ptoks", key=("rep", "doc_id"))
+        out = prep.keep(prep.sample.join(done.select("rep", "doc_id", F.array_join("ptoks", "").alias("text")), ["rep", "doc_id"]))
+        if token_map is not None:
+            return out
+        prep._permuted = out
+    return prep._permuted
+
+
+def scoring_prompts(prep: Prepared) -> DataFrame:
+    """What a model scores: ``(rep, test_id, gold_word, prompt)``; under the token pattern the
+    demonstrations and the query are permuted, the template and label words are not."""
+    return prompts(prep)

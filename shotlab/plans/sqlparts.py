@@ -9,7 +9,7 @@ from __future__ import annotations
 from shotlab.config import Params
 from shotlab.functions.hashing import sql_hkey, sql_hnum
 from shotlab.functions.stopwords import ENGLISH
-from shotlab.functions.text import WORD_PATTERN, WHITESPACE_RUN
+from shotlab.functions.text import PIECE_PATTERN, WORD_PATTERN, WHITESPACE_RUN
 from shotlab.sources.labelled import LANGS, LENGTH_EDGES, SPLIT_DIGIT
 from shotlab.sources.registry import task as get_task, word_lists
 
@@ -40,8 +40,8 @@ def lab_sql(name: str) -> str:
         return f"SELECT d.doc_id, d.text, CAST({lab} AS INTEGER) AS label_idx, {sp} AS split FROM documents d"
     if t.key == "dbpedia":
         num = r"regexp_extract(d.source, '^src(\d+)$', 1)"
-        return (f"SELECT * FROM (SELECT d.doc_id, d.text, CASE WHEN {num} <> '' THEN CAST({num} AS INTEGER) END "
-                f"AS label_idx, {sp} AS split FROM documents d) WHERE label_idx < {len(t.labels)}")
+        return (f"SELECT * FROM (SELECT d.doc_id, d.text, CASE WHEN {num} <> '' THEN CAST({num} AS INTEGER) % {len(t.labels)} END "
+                f"AS label_idx, {sp} AS split FROM documents d) WHERE label_idx IS NOT NULL")
     raise ValueError(name)
 
 
@@ -59,9 +59,8 @@ def sample_sql(p: Params) -> str:
             f"WHERE pos < CASE WHEN split = 'train' THEN {p.pool_num} ELSE {p.test_num} END")
 
 
-def vocab_sql() -> str:
-    return (f"SELECT token FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '{WORD_PATTERN}')) AS token "
-            f"FROM documents) WHERE regexp_extract_all(token, '{WORD_PATTERN}') = [token]")
+def vocab_sql(pattern: str = WORD_PATTERN) -> str:
+    return f"SELECT DISTINCT unnest(regexp_extract_all(text, '{pattern}')) AS token FROM documents"
 
 
 def lmap_ctes(p: Params, strict: bool = True) -> str:
@@ -104,6 +103,18 @@ def texts_ctes(p: Params) -> str:
         txt = ("(SELECT o.label_org FROM mi JOIN lmap o ON o.rep = mi.rep AND o.label_idx = mi.merged_idx "
                "WHERE mi.rep = s.rep AND mi.label_word = s.label_word)")
         src = f"SELECT s.*, {txt} AS text FROM vs s"
+    elif p.pattern == "token":
+        return (f"{perm_ctes(p)},\n"
+                f"prot AS (SELECT DISTINCT rep, unnest(regexp_extract_all(label_word, '{PIECE_PATTERN}')) AS token FROM lmap UNION "
+                f"SELECT r.rep, t.token FROM reps r CROSS JOIN (SELECT unnest(regexp_extract_all({q(get_task(p.task).prompt_x)}, '{PIECE_PATTERN}')) AS token "
+                f"UNION SELECT unnest(regexp_extract_all({q(get_task(p.task).prompt_y)}, '{PIECE_PATTERN}'))) t),\n"
+                f"pm AS (SELECT p.* FROM perm p WHERE NOT EXISTS (SELECT 1 FROM prot WHERE prot.rep = p.rep AND prot.token = p.token)),\n"
+                f"dtok AS (SELECT s.rep, s.doc_id, unnest(regexp_extract_all(d.text, '{PIECE_PATTERN}')) AS token, "
+                f"unnest(generate_series(1, len(regexp_extract_all(d.text, '{PIECE_PATTERN}')))) AS i FROM vs s JOIN documents d ON d.doc_id = s.doc_id),\n"
+                f"ptext AS (SELECT k.rep, k.doc_id, string_agg(coalesce(pm.new_token, k.token), '' ORDER BY k.i) AS text FROM dtok k "
+                f"LEFT JOIN pm ON pm.rep = k.rep AND pm.token = k.token GROUP BY k.rep, k.doc_id),\n"
+                f"vt AS (SELECT s.*, coalesce(x.text, '') AS text FROM vs s LEFT JOIN ptext x ON x.rep = s.rep AND x.doc_id = s.doc_id),\n"
+                f"pool AS (SELECT * FROM vt WHERE split = 'train'),\ntst AS (SELECT * FROM vt WHERE split = 'test')")
     else:
         src = "SELECT s.*, d.text FROM vs s JOIN documents d ON d.doc_id = s.doc_id"
     return (f"vt AS ({src}),\npool AS (SELECT * FROM vt WHERE split = 'train'),\n"
@@ -112,6 +123,8 @@ def texts_ctes(p: Params) -> str:
 
 def demos_cte(p: Params) -> str:
     n, k = p.pool_num, p.k
+    if k == 0:
+        return "dem AS (SELECT rep, doc_id AS test_id, 0 AS ord, 0 AS train_pos FROM vs WHERE false)"
     t = f"({sql_hnum(p.seed, 'demo', 's.rep', 's.doc_id', 'j')} % (j + 1))"
     floyd = (f"list_reduce(generate_series({n - k}, {n - 1}), lambda acc, j: CASE WHEN list_contains(acc, {t}) "
              f"THEN list_append(acc, j) ELSE list_append(acc, {t}) END, CAST([] AS BIGINT[]))")
@@ -184,8 +197,8 @@ def gram_sql(text: str, ngc_max: int, ngw_max: int) -> str:
             f"lambda x: NOT list_contains({stop_list_sql()}, x))")
     parts = []
     for n in range(1, ngc_max + 1):
-        parts.append(f"CASE WHEN length(cs) >= {n} THEN list_transform(generate_series(1, length(cs) - {n - 1}), "
-                     f"lambda i: {{'block': 'char', 'n': {n}, 'term': substring(cs, i, {n})}}) ELSE [] END")
+        parts.append(f"CASE WHEN len(cl) >= {n} THEN list_transform(generate_series(1, len(cl) - {n - 1}), "
+                     f"lambda i: {{'block': 'char', 'n': {n}, 'term': {' || '.join(f'cl[i + {k}]' for k in range(n))}}}) ELSE [] END")
     for n in range(1, ngw_max + 1):
         parts.append(f"CASE WHEN len(tk) >= {n} THEN list_transform(generate_series(1, len(tk) - {n - 1}), "
                      f"lambda i: {{'block': 'word', 'n': {n}, 'term': array_to_string(tk[i:i + {n - 1}], ' ')}}) ELSE [] END")
@@ -195,20 +208,21 @@ def gram_sql(text: str, ngc_max: int, ngw_max: int) -> str:
 def doc_grams_cte(src: str, key: str, ngc_max: int, ngw_max: int, name: str = "grams") -> str:
     """``name``(key..., block, n, term, cnt) over the rows of ``src`` (which has ``text``)."""
     chars, toks, arr = gram_sql("text", ngc_max, ngw_max)
-    return (f"{name}_x AS (SELECT {key}, {chars} AS cs, {toks} AS tk FROM {src}),\n"
+    return (f"{name}_x AS (SELECT {key}, list_filter(string_split({chars}, ''), lambda x: x <> '') AS cl, {toks} AS tk FROM {src}),\n"
             f"{name}_u AS (SELECT {key}, unnest({arr}) AS g FROM {name}_x),\n"
             f"{name} AS (SELECT {key}, g.block AS block, CAST(g.n AS INTEGER) AS n, g.term AS term, "
             f"count(*) AS cnt FROM {name}_u GROUP BY ALL)")
 
 
-def baseline_ctes(p: Params, max_attempts: int = 32) -> str:
-    """bs, bpool, btest, need, att, cd, cls, ch, fit (needs base_ctes)."""
+def baseline_ctes(p: Params, attempts: int = 64) -> str:
+    """Attempts 0..attempts are enough for the registered parameters (a missing replicate would
+    show as missing rows). bs, bpool, btest, need, att, cd, cls, ch, fit (needs base_ctes)."""
     h = sql_hkey(p.seed, "coverage", "p.rep", "a.attempt", "p.pos")
     return (f"bs AS (SELECT v.*, mi.merged_idx FROM vs v JOIN mi ON mi.rep = v.rep AND mi.label_word = v.label_word),\n"
             f"bpool AS (SELECT rep, pos, doc_id, merged_idx AS label_idx FROM bs WHERE split = 'train'),\n"
             f"btest AS (SELECT rep, doc_id, merged_idx AS y FROM bs WHERE split = 'test'),\n"
             f"need AS (SELECT rep, count(DISTINCT y) AS n_classes FROM btest GROUP BY rep),\n"
-            f"att AS (SELECT CAST(range AS INTEGER) AS attempt FROM range(0, {max_attempts + 1})),\n"
+            f"att AS (SELECT CAST(range AS INTEGER) AS attempt FROM range(0, {attempts + 1})),\n"
             f"cd AS (SELECT * FROM (SELECT p.rep, a.attempt, p.pos, p.doc_id, p.label_idx, row_number() OVER "
             f"(PARTITION BY p.rep, a.attempt ORDER BY CASE WHEN a.attempt = 0 THEN lpad(CAST(p.pos AS VARCHAR), 8, '0') "
             f"ELSE {h} END, p.pos) AS r FROM bpool p CROSS JOIN att a) WHERE r <= {p.k}),\n"
@@ -247,7 +261,7 @@ def features_sql(p: Params, ngc: int, ngw: int, tfidf: bool) -> str:
 
 def perm_ctes(p: Params) -> str:
     h = sql_hkey(p.seed, "permute", "r.rep", "v.token")
-    return (f"pvocab AS ({vocab_sql()}),\n"
+    return (f"pvocab AS ({vocab_sql(PIECE_PATTERN)}),\n"
             f"vq AS (SELECT r.rep, v.token, row_number() OVER (PARTITION BY r.rep ORDER BY v.token) AS q "
             f"FROM pvocab v CROSS JOIN reps r),\n"
             f"vk AS (SELECT r.rep, v.token AS new_token, row_number() OVER (PARTITION BY r.rep ORDER BY {h}, v.token) AS q "

@@ -78,6 +78,8 @@ class Task:
     prompt_x: str
     prompt_y: str
     coarsen_by: float | None = None   # sst3 reads sst5's rows and floors label/1.5
+    # a user's own task: pattern kind ("kw", "syn", "ant") -> one word list per class
+    lists: tuple[tuple[str, tuple[tuple[str, ...], ...]], ...] = ()
 
     @property
     def n_labels(self) -> int:
@@ -104,6 +106,15 @@ def task(name: str) -> Task:
     return Task(key, tuple(LABELS[key]), x, y, 1.5 if key == "sst3" else None)
 
 
+def custom_task(key: str, labels, prompt_x: str = "", prompt_y: str = "", lists: dict | None = None) -> Task:
+    """A task of the user's own: label words by class id, template, optional word lists."""
+    kept = tuple((kind, tuple(tuple(ws) for ws in per)) for kind, per in sorted((lists or {}).items()))
+    for kind, per in kept:
+        if len(per) != len(labels) or not all(per):
+            raise ValueError(f"{key}: list {kind!r} needs at least one word for each of {len(labels)} classes")
+    return Task(key, tuple(labels), prompt_x, prompt_y, lists=kept)
+
+
 def check_pattern(pattern: str) -> str:
     if pattern not in PATTERNS:
         raise ValueError(f"unknown task pattern {pattern!r}; expected one of {PATTERNS}")
@@ -124,6 +135,9 @@ def word_lists(task_: Task, pattern: str, strict: bool = True):
     if "rand" in pattern:
         return "tokens", None
     kind = "kw" if "kw" in pattern else "syn" if "syn" in pattern else "ant" if "ant" in pattern else None
+    own = dict(task_.lists)
+    if kind in own:
+        return "lists", [list(ws) for ws in own[kind]]
     if key == "sst2":
         if kind is None:
             return "fixed", [[w] for w in SST2_PLACEHOLDERS]

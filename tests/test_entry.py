@@ -3,7 +3,7 @@ import math
 import __spark_entry__ as E
 from tests.conftest import SF
 
-ROWS_ONLY = {"linear_grid", "linear_grid_tfidf", "linear_fit", "score_hook", "experiment_report"}
+ROWS_ONLY = {"linear_grid", "linear_grid_tfidf", "linear_fit"}
 
 
 def test_entry_runs(spark):
@@ -14,8 +14,9 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_oracle_unless_fit():
+    from shotlab.plans.catalog import QUERIES
     q, o = E.queries(), E.oracle_sql()
-    assert set(q) - set(o) == ROWS_ONLY
+    assert set(QUERIES) - set(o) == ROWS_ONLY
     assert set(o) <= set(q)
 
 
@@ -50,6 +51,6 @@ def test_score_hook_with_constant_scorer(spark):
             yield pd.DataFrame(rows, columns=["rep", "test_id", "label_idx", "score"])
 
     pr = X.prepare(spark, SF, CHECK)
-    preds = predict_and_rank(score_with(X.scoring_prompts(spark, pr), pr.lmap, const), X.gold(pr)).collect()
+    preds = predict_and_rank(score_with(X.scoring_prompts(pr), pr.lmap, const), X.gold(pr)).collect()
     assert len(preds) == CHECK.repeats * CHECK.test_num
     assert all(r["pred_idx"] == 0 and r["gold_rank"] == 1 for r in preds)

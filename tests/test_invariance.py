@@ -1,7 +1,5 @@
 """Results depend on the seed only: 1 vs many shuffle partitions give the same rows."""
 
-from pyspark.sql import functions as F
-
 from shotlab.config import CHECK
 from shotlab.plans import experiment as X
 from tests.conftest import SF
@@ -12,7 +10,7 @@ def _collect(spark, parts):
     try:
         pr = X.prepare(spark, SF, CHECK.with_(pattern="token"))
         prompts = sorted(X.prompts(pr).collect())
-        perm = sorted(X.permuted_prompts(spark, pr).select("rep", "test_id", F.array_join("permuted", " ")).collect())
+        perm = sorted(X.permuted_texts(pr).select("rep", "doc_id", "text").collect())
         scores, preds, f1 = X.overlap_eval(pr)
         return prompts, perm, sorted(preds.collect()), sorted(scores.collect())
     finally:

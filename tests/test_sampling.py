@@ -11,22 +11,16 @@ def _base(spark, n=500):
 
 
 def test_sample_k_exact_distinct(spark):
-    s = sample_k(_base(spark), 7, 4, 42, "t", prefilter=False)
+    s = sample_k(_base(spark), 7, 4, 42, "t")
     per = {r["rep"]: (r["n"], r["d"]) for r in s.groupBy("rep").agg(F.count("*").alias("n"),
                                                                   F.countDistinct("doc_id").alias("d")).collect()}
     assert per == {r: (7, 7) for r in range(4)}
     assert sorted(r["pos"] for r in s.filter("rep = 0").collect()) == list(range(7))
 
 
-def test_sample_k_prefilter_equals_exact(spark):
-    a = sample_k(_base(spark, 5000), 20, 3, 42, "t", prefilter=False)
-    b = sample_k(_base(spark, 5000), 20, 3, 42, "t", prefilter=True)
-    assert sorted(a.collect()) == sorted(b.collect())
-
-
 def test_sample_independent_of_partitioning(spark):
-    a = sample_k(_base(spark).repartition(1), 9, 3, 42, "t", prefilter=False).collect()
-    b = sample_k(_base(spark).repartition(7, "label_idx"), 9, 3, 42, "t", prefilter=False).collect()
+    a = sample_k(_base(spark).repartition(1), 9, 3, 42, "t").collect()
+    b = sample_k(_base(spark).repartition(7, "label_idx"), 9, 3, 42, "t").collect()
     assert sorted(a) == sorted(b)
 
 
@@ -109,8 +103,35 @@ def test_memo_texts_are_original_labels(spark):
     assert {r["text"] for r in texts(pr).collect()} <= set(pr.task.labels)
 
 
-def test_prefilter_fallback_stays_exact(spark, monkeypatch):
-    import shotlab.operators.sampling as S
-    exact = sorted(sample_k(_base(spark, 3000), 25, 3, 42, "t", prefilter=False).collect())
-    monkeypatch.setattr(S, "PREFILTER_MARGIN", (-4.0, -10.0))   # keeps fewer than k: must fall back
-    assert sorted(sample_k(_base(spark, 3000), 25, 3, 42, "t", prefilter=True).collect()) == exact
+def test_zero_demonstrations_and_bad_parameters(spark):
+    import pytest
+    from shotlab.config import Params
+    from shotlab.operators.sampling import with_reps
+    test = spark.range(5).select(F.lit(0).alias("rep"), F.col("id").alias("doc_id"))
+    assert draw_demos(test, 10, 0, 42).count() == 0
+    assert draw_demos(test, 10, 0, 42).columns == draw_demos(test, 10, 1, 42).columns
+    for bad in ({"repeats": 0}, {"k": -1}, {"test_num": 0}, {"k": 33, "test_num": 16}):
+        with pytest.raises(ValueError):
+            Params(**bad)
+    with pytest.raises(ValueError):
+        with_reps(test, 0)
+    with pytest.raises(ValueError):
+        draw_demos(test, 10, -1, 42)
+
+
+def test_coverage_needs_many_attempts(spark):
+    """14 classes in 14 rows: about one attempt in 10**5 covers; here 6 of 6, one in 65."""
+    import pytest
+    from shotlab.operators.sampling import coverage_sample, covering_attempts
+    pool = spark.range(4 * 60).select((F.col("id") % 4).cast("int").alias("rep"), (F.col("id") / 4).cast("int").alias("pos"),
+                                      F.col("id").alias("doc_id"), ((F.col("id") / 4).cast("int") % 6).cast("int").alias("label_idx"))
+    need = spark.createDataFrame([(r, 6) for r in range(4)], "rep INT, n_classes BIGINT")
+    shuffled = pool.withColumn("label_idx", F.when(F.col("pos") < 6, 0).otherwise(F.col("label_idx")))
+    found = covering_attempts(shuffled, 6, need, 42)
+    assert sorted(found) == [0, 1, 2, 3] and max(found.values()) > 32
+    rows = coverage_sample(shuffled, 6, need, 42).collect()
+    for r in range(4):
+        mine = [x for x in rows if x["rep"] == r]
+        assert {x["attempt"] for x in mine} == {found[r]} and {x["label_idx"] for x in mine} == set(range(6))
+    with pytest.raises(ValueError):
+        coverage_sample(pool.filter("label_idx < 5"), 6, need, 42)
