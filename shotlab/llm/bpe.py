@@ -1,8 +1,8 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-1. The words of all documents are counted in Spark; the ``lexicon_words`` most frequent ones
-   (a bounded, documented number) are merged once and compiled on the driver into a minimal
-   acyclic automaton that shares suffixes.  Every arc carries the number of words that sort
+1. The words of all documents are counted in Spark; the most frequent ones (at most
+   ``lexicon_words``, a documented bound) are merged once and compiled on the driver into a
+   minimal acyclic automaton that shares suffixes.  Every arc carries the number of words that sort
    before it below its state, so the sum along a path is the word's number, which points at its
    ids: a transducer from words to ids.
 2. The automaton's arrays lie in the shared folder; tasks map them into memory.
@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotlab.llm.common import commit_file, new_path, open_fs
+from shotlab.llm.common import commit_file, new_path, open_fs, written
 from shotlab.llm.tokens import SPECIAL, WORD, byte_chars, plain, tokenizer, word_bpe
 
 SUFFIX = "</w>"
@@ -240,12 +240,27 @@ def word_counts(docs: DataFrame, text_col: str, path: str, *, held: int = 200_00
     return docs.select(docs[text_col].alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words of the highest count classes that hold ``most`` words or fewer in all.
+
+    A class is a 32nd of a doubling of the count, so the driver reads at most 2000 numbers and
+    then no more than ``most`` words, however many partitions and words there are."""
+    rank = F.floor(F.log2("n") * 32).cast("int")
+    least, total = None, 0
+    for r in sorted(counts.groupBy(rank.alias("rank")).count().collect(), key=lambda r: -r["rank"]):
+        total += r["count"]
+        if total > most:
+            break
+        least = r["rank"]
+    return counts.where(rank >= least if least is not None else F.lit(False)).select("word")
+
+
 def build_lexicon(docs: DataFrame, *, text_col: str = "text", tokenizer_path: str | None = None, lexicon_words: int = 1 << 16) -> str:
-    """Compiles the lexicon of the ``lexicon_words`` most frequent words (ties by word) and
-    returns its folder.  The driver receives that many words at most."""
+    """Compiles the lexicon of the most frequent words, at most ``lexicon_words`` of them, and
+    returns its folder."""
     path = tokenizer_path or word_bpe()
     voc = vocabulary(path)
-    top = word_counts(docs, text_col, path).orderBy(F.desc("n"), "word").limit(lexicon_words).select("word").collect()
+    top = frequent(written(word_counts(docs, text_col, path), "words"), lexicon_words).collect()
     return save_lexicon(docs.sparkSession, {r["word"]: voc.merge(r["word"]) for r in top})
 
 

@@ -50,3 +50,11 @@ def test_merge_equals_the_library_model():
     for _ in range(2000):
         w = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzéüñßœ") for _ in range(rnd.randint(1, 14)))
         assert list(voc.merge(w)) == tok.encode(w, add_special_tokens=False).ids, w
+
+
+def test_frequent_words_stay_within_the_bound(spark):
+    counts = spark.createDataFrame([(f"w{i}", 1 + 1000 // (i + 1)) for i in range(300)], "word string, n long")
+    for most in (0, 1, 5, 40, 1000):
+        got = {r.word for r in bpe.frequent(counts, most).collect()}
+        assert len(got) <= most and got == {f"w{i}" for i in range(len(got))}
+    assert bpe.frequent(counts, 1000).count() == 300 and bpe.frequent(counts, 40).count() > 30
