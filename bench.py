@@ -67,7 +67,7 @@ def q_linear_fit(spark):
     from shotlab.operators.linear import linear_fit
     from shotlab.sources.labelled import task_rows
     lab = task_rows(spark, SF_DIR, "ag_news")
-    _run(linear_fit(lab.filter("split = 'train'"), lab.filter("split = 'test'"), c=1.0, ngc=2, ngw=1, unit=True))
+    _run(linear_fit(lab.filter("split = 'train'"), lab.filter("split = 'test'"), c=1.0, ngc=2, ngw=1, char_cap=64, word_cap=64, unit=True))
 
 
 QUERIES = {
