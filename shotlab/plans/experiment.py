@@ -99,6 +99,9 @@ def prepare(spark: SparkSession, sf_dir: str | None, p: Params, vocab: DataFrame
         vocab = corpus_vocab(docs)
     lmap = label_map(spark, t, p.pattern, p.repeats, p.seed, vocab=vocab)
     kept: list = []
+    if kind == "tokens":        # R*L rows drawn from the corpus vocabulary, read by every later operator
+        lmap = lmap.persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(lmap)
     # R*3T rows read by every later operator; a lost block is drawn again from the same keys
     drawn = like.drawn if like else sample_replicates(lab, p.test_num, p.repeats, p.seed).persist(StorageLevel.MEMORY_AND_DISK)
     if not like:
