@@ -38,7 +38,8 @@ class Vocabulary:
         merges = spec["model"]["merges"]
         self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): k for k, m in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = {i: s for s, i in (self.ids | self.special).items()}
+        every = {i: s for s, i in (self.ids | self.special).items()}
+        self.strings = [every.get(i, "") for i in range(max(every) + 1)]
         self.chars = byte_chars()
         self.bytes = {c: b for b, c in enumerate(self.chars)}
         self.library = tokenizer(path)
@@ -277,7 +278,7 @@ class Coder:
     """Encodes documents through the lexicon; words outside it are merged and remembered in a
     bounded memo."""
 
-    def __init__(self, path: str, folder: str, memo: int = 300_000, texts: int = 256):
+    def __init__(self, path: str, folder: str, memo: int = 300_000, texts: int = 1024):
         self.voc, self.lex, self.memo, self.bound, self.texts = vocabulary(path), lexicon(folder), {}, memo, texts
 
     def encode(self, texts):
@@ -328,8 +329,27 @@ def encode(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: st
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
 
 
-def report(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row."""
-    coded = encode(docs, build_lexicon(docs, **options), **{k: v for k, v in options.items() if k != "lexicon_words"})
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-                        F.sha2("decoded", 256).alias("decoded_sha256"))
+def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, **options) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row: the digests of what ``encode``
+    returns, taken where the ids are made instead of sending ids and texts on."""
+    path = tokenizer_path or word_bpe()
+    folder = build_lexicon(docs, text_col=text_col, tokenizer_path=path, **options)
+
+    def run(batches):
+        from hashlib import sha256
+
+        import pyarrow as pa
+
+        c = coder(path, folder)
+        decimal = [*map(str, range(len(c.voc.strings)))]
+        for b in batches:
+            for at in range(0, b.num_rows, c.texts):
+                rows = []
+                for ids in c.encode(b.column(1).slice(at, c.texts).to_pylist()):
+                    rows.append((len(ids), sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest(), sha256(c.voc.decode(ids).encode()).hexdigest()))
+                n, ids_sha, text_sha = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, c.texts), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
+                                                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

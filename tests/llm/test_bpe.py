@@ -58,3 +58,11 @@ def test_frequent_words_stay_within_the_bound(spark):
         got = {r.word for r in bpe.frequent(counts, most).collect()}
         assert len(got) <= most and got == {f"w{i}" for i in range(len(got))}
     assert bpe.frequent(counts, 1000).count() == 300 and bpe.frequent(counts, 40).count() > 30
+
+
+def test_encode_returns_ids_and_texts(spark):
+    tok = tokenizer(word_bpe())
+    some = [r for r in data.rows() if r[0] != 7]
+    got = bpe.encode(data.docs(spark, some), bpe.build_lexicon(data.docs(spark, some), lexicon_words=20)).collect()
+    want = [(i, tok.encode(t or "", add_special_tokens=False).ids) for i, t, *_ in some]
+    assert sorted((str(r.doc_id), r.ids, r.decoded) for r in got) == sorted((str(i), ids, tok.decode(ids, skip_special_tokens=False)) for i, ids in want)
