@@ -19,8 +19,9 @@ END = 0
 #: The pattern of the file's pre-tokenizer over the letters, digits and spaces that ``ODD`` leaves.
 _LETTER, _DIGIT = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\t\n\r {_LETTER}{_DIGIT}]+")
-#: Characters that need the library's normalizer or pre-tokenizer.
-ODD = re.compile("[^\t\n\r -~¡-įı-ɏ]")
+#: Characters that need the library's normalizer or pre-tokenizer; 23 capitals whose lower case lies beyond ``WORD``'s letters are among them.
+_PLAIN = "".join(c for c in map(chr, [*range(0xA1, 0x130), *range(0x131, 0x250)]) if c.lower() <= "ɏ")
+ODD = re.compile(f"[^\t\n\r -~{_PLAIN}]")
 SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 
 

@@ -2,7 +2,7 @@ import hashlib
 import random
 
 from shotlab.llm import bpe, common
-from shotlab.llm.tokens import tokenizer, word_bpe
+from shotlab.llm.tokens import ODD, WordEncoder, tokenizer, word_bpe
 from tests.conftest import SF01
 from tests.llm import data
 
@@ -66,3 +66,14 @@ def test_encode_returns_ids_and_texts(spark):
     got = bpe.encode(data.docs(spark, some), bpe.build_lexicon(data.docs(spark, some), lexicon_words=20)).collect()
     want = [(i, tok.encode(t or "", add_special_tokens=False).ids) for i, t, *_ in some]
     assert sorted((str(r.doc_id), r.ids, r.decoded) for r in got) == sorted((str(i), ids, tok.decode(ids, skip_special_tokens=False)) for i, ids in want)
+
+
+def test_every_plain_code_point_equals_the_library():
+    tok, words, voc = tokenizer(word_bpe()), WordEncoder(word_bpe()), bpe.vocabulary(word_bpe())
+    cs = [c for c in map(chr, range(0x250)) if not ODD.search(c)]
+    assert len(cs) > 500
+    for c in [*cs, "Ə", "Ɓ", "Ⱥ"]:
+        for text in (c, f"a{c}b", f"{c}li baki", f"X{c}", f"1{c} {c}{c}'s", f"BAKI {c}LI"):
+            want = tok.encode(text, add_special_tokens=False).ids
+            assert words.ids(text).tolist() == want, (hex(ord(c)), text)
+            assert [i for w in voc.segments(text) for i in voc.merge(w)] == want, (hex(ord(c)), text)
