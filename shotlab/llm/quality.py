@@ -4,7 +4,8 @@ The divergence rule compares two histograms of a document with its language's re
 by Jensen-Shannon distance (base 2, in 0..1): character classes, and common words of the
 language with one bucket for all other words.  The references are pooled over all
 documents of the language in the same run.  A rule only counts on texts that are long
-enough for its histogram (``min_chars``, ``min_words``).
+enough for its histogram (``min_chars``, ``min_words``).  The limit of the word rule follows the
+reference: it stays below the distance of a text without any common word.
 
 All work is DataFrame expressions on one row at a time: arrays of word hashes inside the
 row, no explode and no shuffle of words.  Counts and histograms are made in one pass over
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from shotlab.llm.common import written
 
 SPACE = r"[\x20\x09-\x0D]+"
+#: Punctuation and symbols at the edges of words; each run is tried once, from its start.
+EDGES = r"(?:^|(?<=[\x20\x09-\x0D]))[\p{P}\p{S}]++|(?<![\p{P}\p{S}])[\p{P}\p{S}]++(?=[\x20\x09-\x0D]|$)"
 GRAM = 5
 
 #: Character classes as Java and RE2 patterns; all other characters form one more class.
@@ -40,12 +43,16 @@ OTHER = "*"
 
 @dataclass(frozen=True)
 class Limits:
-    """Divergence above which a document is rejected, and the shortest texts each rule judges."""
+    """Divergence above which a document is rejected, and the shortest texts each rule judges.
+
+    The word rule's limit is ``none_share`` of the distance of a text without common words where
+    that is below ``word_distance``, so such a text is rejected whatever the reference holds."""
 
     char_distance: float = 0.3
     word_distance: float = 0.3
     min_chars: int = 200
     min_words: int = 50
+    none_share: float = 0.95
 
 
 def known_lang(lang: Column) -> Column:
@@ -71,9 +78,9 @@ def class_counts(text: Column, rest: Column) -> Column:
     return let(F.transform(F.array(*counts), lambda x: x.cast("double")), lambda a: F.concat(a, F.array(F.length(text) - total(a))))
 
 
-def common_counts(words: Column, lang: Column) -> Column:
-    """array<double> of occurrences of the language's common words as written in lower case,
-    all other words last; null for languages without a list."""
+def common_counts(words: Column, lang: Column, n_words: Column) -> Column:
+    """array<double> of occurrences of the language's common words in ``words`` (lower case, without
+    edge punctuation), all others of the ``n_words`` last; null for languages without a list."""
     def needle(i):
         out = F.lit(None).cast("string")
         for code, listed in COMMON.items():
@@ -81,7 +88,7 @@ def common_counts(words: Column, lang: Column) -> Column:
         return out
 
     counts = F.array(*[(F.size(words) - F.size(F.array_remove(words, needle(i)))).cast("double") for i in range(len(COMMON["en"]))])
-    return F.when(lang.isin(*COMMON), let(counts, lambda a: F.concat(a, F.array(F.size(words) - total(a)))))
+    return F.when(lang.isin(*COMMON), let(counts, lambda a: F.concat(a, F.array(n_words - total(a)))))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -96,10 +103,17 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.round(total(both) / 2, 12)))
 
 
+def word_limit(reference: Column, limits: Limits) -> Column:
+    """Largest word distance that is kept, from the pooled reference of the language."""
+    none = F.array(*[F.lit(0.0)] * len(COMMON["en"]), F.lit(1.0))
+    return F.least(F.lit(limits.word_distance), limits.none_share * F.nullif(js_distance(none, reference), F.lit(0.0)))
+
+
 def histograms(docs: DataFrame) -> DataFrame:
     """``docs`` (with columns ``_text`` not null, ``_lang``) plus ``_words``, ``_chars``, ``_common``."""
     rows = docs.withColumn("_words", F.array_remove(F.split("_text", SPACE), "")).withColumn("_rest", F.regexp_replace("_text", CLASSES["lower"] + "+", ""))
-    return rows.withColumn("_chars", class_counts(F.col("_text"), F.col("_rest"))).withColumn("_common", common_counts(F.col("_words"), F.col("_lang")))
+    rows = rows.withColumn("_bare", F.split(F.regexp_replace(F.lower("_text"), EDGES, ""), SPACE))
+    return rows.withColumn("_chars", class_counts(F.col("_text"), F.col("_rest"))).withColumn("_common", common_counts(F.col("_bare"), F.col("_lang"), F.size("_words")))
 
 
 def references(rows: DataFrame) -> DataFrame:
@@ -134,7 +148,7 @@ def assess(docs: DataFrame, limits: Limits = Limits(), *, text_col: str = "text"
 
     Base rules: fewer than 10 words, or over 20 % of the words inside repeated five-word
     windows.  Divergence rules: ``char_distance`` over the limit on texts of ``min_chars`` or
-    more, ``word_distance`` over the limit on texts of ``min_words`` or more.  A null text counts
+    more, ``word_distance`` over ``word_limit`` on texts of ``min_words`` or more.  A null text counts
     as empty (fails the base rule); a null or unlisted language shares one pooled character
     reference and has no word rule (``word_distance`` null).  Repeated rows are judged alike and
     kept alike; an empty table gives an empty result."""
@@ -149,10 +163,10 @@ def assess(docs: DataFrame, limits: Limits = Limits(), *, text_col: str = "text"
     rows = rows.join(F.broadcast(references(rows)), "_lang", "left")
     far_chars, far_words = js_distance(F.col("_chars"), F.col("_ref_chars")), js_distance(F.col("_common"), F.col("_ref_common"))
     out = rows.select("doc", *COUNTS, F.when(F.col("_length") >= limits.min_chars, far_chars).alias("char_distance"),
-                      F.when(F.col("n_words") >= limits.min_words, far_words).alias("word_distance"))
+                      F.when(F.col("n_words") >= limits.min_words, far_words).alias("word_distance"), word_limit(F.col("_ref_common"), limits).alias("word_limit"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
-    fits = (F.coalesce("char_distance", F.lit(0.0)) <= limits.char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= limits.word_distance)
+    fits = (F.coalesce("char_distance", F.lit(0.0)) <= limits.char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= F.col("word_limit"))
     return out.withColumn("kept", ~F.col("base_failed") & fits)
 
 

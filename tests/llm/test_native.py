@@ -155,3 +155,13 @@ def test_redaction(spark):
                 out += t[pos:a] + "[SECRET]"
             pos = max(pos, b)
         assert r.text == out + t[pos:] and r.n_chars == len(r.text)
+
+
+def test_long_text_without_common_words_is_rejected(spark):
+    common = quality.COMMON["en"]
+    prose = [(i, " ".join(common[(i + k // 6) % 12].title() + "," if k % 6 == 0 else f"pine{i}stone{k}" for k in range(120)), "en") for i in range(60)]
+    salad = [(1000, " ".join(f"oak{k}river{k}" for k in range(400)), "en"), (1001, " | ".join(f"ash{k}lake{k}" for k in range(200)), "en")]
+    some = [(i, t, lang, "s", len(t), "k", 1) for i, t, lang in prose + salad]
+    got = {r.doc_id: r for r in quality.assess(data.docs(spark, some), quality.Limits(char_distance=1.0)).select("doc.doc_id", "kept", "word_distance").collect()}
+    assert not got.pop(1000).kept and not got.pop(1001).kept
+    assert all(r.kept and r.word_distance < 0.15 for r in got.values())
