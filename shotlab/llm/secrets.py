@@ -2,7 +2,8 @@
 
 Spans come from two built-ins that cut a text at the same matches: ``split`` gives the gaps
 and ``regexp_extract_all`` the hits, and running sums of their lengths give code-point
-offsets.  Candidate strings are maximal runs of ``[A-Za-z0-9+/_=-]`` of at least one window.
+offsets.  Candidate strings are maximal runs of ``[A-Za-z0-9+/_=-]``, cut at base spans and at known
+strings, of at least one window.
 A window of ``WINDOW`` characters slides over a candidate; the counts of its characters and
 the sum of c*log2(c) change by one entering and one leaving character a step, and
 H = log2(W) - sum/W.  A candidate whose best window reaches the threshold of its character
@@ -14,6 +15,7 @@ All work is DataFrame expressions on one row at a time; nothing is shuffled.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -33,7 +35,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW
 @dataclass(frozen=True)
 class Entropy:
     """Bits a window must reach by character class, and what is never reported: whole
-    candidates that match a pattern of ``allowed``, and those that hold a known string."""
+    candidates that match a pattern of ``allowed``, and known strings."""
 
     hex: float = 3.0
     alnum: float = 3.7
@@ -107,11 +109,32 @@ def secret_like(value: Column, e: Entropy) -> Column:
     open_ = F.lit(True)
     for p in e.allowed:
         open_ = open_ & ~value.rlike(f"^(?:{p})$")
-    for k in e.known:
-        open_ = open_ & ~F.contains(value, F.lit(k))
     return F.when(open_, best_window(value) >= need).otherwise(F.lit(False))
 
 
+def pieces(c: Column, base: Column, known: tuple) -> Column:
+    """The parts of candidate ``c`` of at least one window that lie between base spans and known strings."""
+    def place(s, by):
+        return F.struct((s.start + by).alias("start"), (s.end + by).alias("end"))
+
+    cuts = F.transform(F.filter(base, lambda b: (b.start < c.end) & (c.start < b.end)), lambda b: place(b, 0))
+    if known:
+        cuts = F.concat(cuts, F.transform(spans_of(c.value, "|".join(map(re.escape, known))), lambda k: place(k, c.start)))
+
+    def part(start, end):
+        value = F.substring(c.value, start - c.start + 1, end - start)
+        return F.when(end - start >= WINDOW, F.array(F.struct(start.alias("start"), end.alias("end"), value.alias("hit"), value.alias("value")))).otherwise(F.array().cast(SPAN))
+
+    def step(s, x):
+        return F.struct(F.greatest(s.pos, x.end).alias("pos"), F.concat(s.out, part(s.pos, x.start)).alias("out"))
+
+    def cut(found):
+        start = F.struct(c.start.alias("pos"), F.array().cast(SPAN).alias("out"))
+        return F.aggregate(F.sort_array(found), start, step, lambda s: F.concat(s.out, part(s.pos, c.end)))
+
+    return let(cuts, lambda found: F.when(F.size(found) == 0, F.array(c)).otherwise(cut(found)))
+
+
 KINDS = ("assign", "access", "hex", "entropy")
 
 
@@ -119,8 +142,8 @@ def scan(docs: DataFrame, entropy: Entropy = Entropy(), *, text_col: str = "text
     """Every row of ``docs`` as struct ``doc`` plus ``found``: array of (start, end, rank, kind)
     sorted by start, then kind as listed in ``KINDS``.
 
-    Base kinds keep all their matches; an ``entropy`` span is only added where no base span
-    overlaps it.  A null text counts as empty; an empty text has no spans; repeated rows are
+    Base kinds keep all their matches; an ``entropy`` span never overlaps one: candidates are cut at
+    the base spans and every piece is scanned.  A null text counts as empty; an empty text has no spans; repeated rows are
     scanned alike; an empty table gives an empty result."""
     text = F.col("_text")
 
@@ -133,8 +156,7 @@ def scan(docs: DataFrame, entropy: Entropy = Entropy(), *, text_col: str = "text
     hexes = spans_of(text, HEX)
     rows = rows.withColumn("_base", F.concat(kind(assign, 0), kind(access, 1), kind(hexes, 2)))
     rows = rows.withColumn("_cand", spans_of(text, CANDIDATE))
-    fresh = F.filter("_cand", lambda c: ~F.exists("_base", lambda b: (b.start < c.end) & (c.start < b.end)))
-    rows = rows.withColumn("_fresh", fresh)
+    rows = rows.withColumn("_fresh", F.flatten(F.transform("_cand", lambda c: pieces(c, F.col("_base"), entropy.known))))
     more = kind(F.filter("_fresh", lambda c: secret_like(c.value, entropy)), 3)
     order = F.transform(F.concat("_base", more), lambda s: F.struct(s.start.alias("start"), s.rank.alias("rank"), s.end.alias("end"), s.kind.alias("kind")))
     return rows.select("doc", F.sort_array(order).alias("found"))
