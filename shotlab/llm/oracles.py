@@ -90,3 +90,29 @@ FROM d LEFT JOIN agg USING (rid)
 
 
 SECRETS = _secrets()
+
+
+def _codes(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    def assign(book, name):
+        return f"""{name}_d AS (SELECT v.rid, v.part, b.entry, sum((v.x - b.x) * (v.x - b.x)) AS far FROM v JOIN {book} b ON b.part = v.part AND b.pos = v.pos GROUP BY ALL),
+{name} AS (SELECT rid, part, arg_min(entry, (far, entry)) AS entry, min(far) AS far FROM {name}_d GROUP BY rid, part)"""
+
+    steps = []
+    for r in range(rounds):
+        steps.append(assign(f"b{r}", f"a{r}"))
+        steps.append(f"""m{r} AS (SELECT a.part, a.entry, v.pos, sum(v.x) AS s, count(*) AS n FROM a{r} a JOIN v USING (rid, part) GROUP BY ALL),
+b{r + 1} AS (SELECT b.part, b.entry, b.pos, CASE WHEN m.n IS NULL THEN b.x ELSE CAST((m.s - ((m.s % m.n) + m.n) % m.n) // m.n AS BIGINT) END AS x FROM b{r} b LEFT JOIN m{r} m USING (part, entry, pos))""")
+    steps.append(assign(f"b{rounds}", "z"))
+    return f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label, embedding AS e, len(embedding) // {parts} AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT rid, (i - 1) // w AS part, (i - 1) % w AS pos, CAST(floor(256 * CAST(e[i] AS DOUBLE)) AS BIGINT) AS x FROM (SELECT rid, e, w, unnest(range(1, len(e) + 1)) AS i FROM k)),
+b0 AS (SELECT part, rid - 1 AS entry, pos, x FROM v WHERE rid <= {entries}),
+{("," + chr(10)).join(steps)},
+c AS (SELECT rid, string_agg(lower(printf('%02x', CAST(entry AS INTEGER))), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM z GROUP BY rid),
+h AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{rounds})
+SELECT k.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, h.codebooks_sha256 FROM k JOIN c USING (rid) CROSS JOIN h
+"""
+
+
+CODES = _codes()
