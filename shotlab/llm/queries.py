@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from shotlab.llm import bpe, codes, common, graph, oracles, packing, pfor, pii, quality, secrets, simhash, urls, warc
+from shotlab.llm import bpe, codes, common, graph, oracles, packing, pfor, pii, quality, secrets, shuffle, simhash, urls, warc
 
 QUERIES: dict[str, tuple] = {}
 
@@ -76,3 +76,8 @@ def op10(spark, sf_dir):
 @register("op11_value_dictionaries", oracles.CODES)
 def op11(spark, sf_dir):
     return codes.report(common.table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@register("op12_external_shuffle")
+def op12(spark, sf_dir):
+    return shuffle.report(common.table(spark, sf_dir, "documents"))
