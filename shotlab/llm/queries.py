@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from shotlab.llm import bpe, codes, common, graph, oracles, packing, pfor, pii, quality, secrets, shuffle, simhash, urls, warc
+from shotlab.llm import bpe, codes, common, divergence, graph, oracles, packing, pfor, pii, quality, secrets, shuffle, simhash, urls, warc
 
 QUERIES: dict[str, tuple] = {}
 
@@ -81,3 +81,8 @@ def op11(spark, sf_dir):
 @register("op12_external_shuffle")
 def op12(spark, sf_dir):
     return shuffle.report(common.table(spark, sf_dir, "documents"))
+
+
+@register("op13_source_divergence", oracles.DIVERGENCE)
+def op13(spark, sf_dir):
+    return divergence.audit(common.table(spark, sf_dir, "documents"))
