@@ -151,32 +151,35 @@ def joint_sums(a, b, n_cols: int, height: int):
     return value + many * ((p - q) ** 2 // q)
 
 
-def block_pair(key, pdf):
-    """The task of one slab and one ordered pair of blocks: (lang, i, j, value) of all pairs of rows."""
-    import numpy as np
-    import pandas as pd
-
-    lang, _, first, second = key
-    mark = pdf["col"].isna().to_numpy()
-    n_cols = int(pdf["width"][mark].iloc[0])
-    height = max(0, (max(n_cols, min(len(pdf), ROWS)) - 1).bit_length() - LEAF)
-    row, share_ = pdf["r"].to_numpy(np.int64), pdf["p"].to_numpy(np.int64)
-    col = pdf["col"].fillna(0).to_numpy(np.int64)
-    trees, sizes = [], []
-    for block in (first, second):
-        mine = row // ROWS == block
-        z = mine & mark
-        zero = share_[z][np.argsort(row[z])]
-        cell = mine & ~mark
-        trees.append(Tree(row[cell] - block * ROWS, col[cell], share_[cell], zero, height))
-        sizes.append(len(zero))
-    value = joint_sums(*trees, n_cols, height)[:sizes[0], :sizes[1]]
-    i, j = np.meshgrid(np.arange(sizes[0]) + first * ROWS, np.arange(sizes[1]) + second * ROWS, indexing="ij")
-    other = i != j
-    return pd.DataFrame({"lang": lang, "i": i[other], "j": j[other], "value": value[other]})
-
-
-def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, top: int = TOP, **cols) -> DataFrame:
+def block_pair(rows: int):
+    """The task of one slab and one ordered pair of blocks of ``rows`` sources: (lang, i, j, value) of
+    all pairs of their rows."""
+    def run(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        lang, _, first, second = key
+        mark = pdf["col"].isna().to_numpy()
+        n_cols = int(pdf["width"][mark].iloc[0])
+        height = max(0, (max(n_cols, min(len(pdf), rows)) - 1).bit_length() - LEAF)
+        row, p = pdf["r"].to_numpy(np.int64), pdf["p"].to_numpy(np.int64)
+        col = pdf["col"].fillna(0).to_numpy(np.int64)
+        trees, sizes = [], []
+        for block in (first, second):
+            mine = row // rows == block
+            zero = p[mine & mark][np.argsort(row[mine & mark])]
+            cell = mine & ~mark
+            trees.append(Tree(row[cell] - block * rows, col[cell], p[cell], zero, height))
+            sizes.append(len(zero))
+        value = joint_sums(*trees, n_cols, height)[:sizes[0], :sizes[1]]
+        i, j = np.meshgrid(np.arange(sizes[0]) + first * rows, np.arange(sizes[1]) + second * rows, indexing="ij")
+        other = i != j
+        return pd.DataFrame({"lang": lang, "i": i[other], "j": j[other], "value": value[other]})
+
+    return run
+
+
+def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, top: int = TOP, slab_cells: int = SLAB, block_rows: int = ROWS, **cols) -> DataFrame:
     """(lang, source, part, item, value, rank): part ``pair`` has every other source of the language,
     part ``term`` the ``top`` terms a source uses most above its language.
 
@@ -190,7 +193,7 @@ def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, top: int = TOP, **cols)
     sources = counts.select("lang", "source").distinct()
     per_lang = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_lang").alias("total_lang"), F.sum("cells").alias("cells"))
     langs = sources.groupBy("lang").agg(F.count("*").alias("s")).join(per_lang, "lang", "left").fillna(0, ["v", "total_lang", "cells"])
-    slabs = F.greatest(F.lit(1), F.ceil(F.col("cells") / F.greatest(F.lit(SLAB), F.col("s") * F.col("s"))))
+    slabs = F.greatest(F.lit(1), F.ceil(F.col("cells") / F.greatest(F.lit(slab_cells), F.col("s") * F.col("s"))))
     langs = written(langs.withColumn("slabs", slabs.cast("long")), "languages")
 
     slab = F.pmod(F.xxhash64("term"), F.col("slabs")).alias("slab")
@@ -206,13 +209,13 @@ def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, top: int = TOP, **cols)
     groups = written(groups.withColumn("zero", zero).withColumn("r", F.row_number().over(by_size).cast("long") - 1), "groups")
     found = cells.join(groups.select("lang", "source", "total", "r", "s"), ["lang", "source"]).withColumn("p", share(F.col("n") + 1, F.col("total") + F.col("v")))
 
-    blocks = lambda: F.explode(tasks(F.col("r"), F.col("s")))
+    blocks = lambda: F.explode(tasks(F.col("r"), F.col("s"), block_rows))
     cell_rows = found.select("lang", "slab", "r", "col", "p", F.lit(None).cast("long").alias("width"), blocks().alias("t"))
     widths = dealt.groupBy("lang", "slab").agg(F.count("*").alias("width"))
     marks = groups.withColumn("slab", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slabs") - 1))).join(widths, ["lang", "slab"], "left")
     marks = marks.select("lang", "slab", "r", F.lit(None).cast("int").alias("col"), F.col("zero").alias("p"), F.coalesce("width", F.lit(0)).alias("width"), blocks().alias("t"))
     work = cell_rows.unionByName(marks).select("lang", "slab", F.col("t.i").alias("first"), F.col("t.j").alias("second"), "r", "col", "p", "width")
-    sums = work.groupBy("lang", "slab", "first", "second").applyInPandas(block_pair, "lang string, i long, j long, value long")
+    sums = work.groupBy("lang", "slab", "first", "second").applyInPandas(block_pair(block_rows), "lang string, i long, j long, value long")
     sums = sums.groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
     name = lambda c, as_: groups.select("lang", F.col("r").alias(c), F.col("source").alias(as_))
     pairs = sums.join(name("i", "source"), ["lang", "i"]).join(name("j", "item"), ["lang", "j"]).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
@@ -223,9 +226,9 @@ def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, top: int = TOP, **cols)
     return pairs.withColumn("rank", rank).unionByName(terms.withColumn("rank", rank).where(F.col("rank") <= top))
 
 
-def tasks(row: Column, rows: Column) -> Column:
+def tasks(row: Column, rows: Column, block: int) -> Column:
     """The ordered pairs of blocks (i, j) that need a row: its block first or second, once each."""
-    mine = F.floor(row / ROWS)
-    every = F.sequence(F.lit(0).cast("long"), F.floor((rows - 1) / ROWS))
+    mine = F.floor(row / block)
+    every = F.sequence(F.lit(0).cast("long"), F.floor((rows - 1) / block))
     first = F.transform(every, lambda o: F.struct(mine.alias("i"), o.alias("j")))
     return F.concat(first, F.transform(F.filter(every, lambda o: o != mine), lambda o: F.struct(o.alias("i"), mine.alias("j"))))
