@@ -2,9 +2,12 @@
 
 Runs on ``local[$BENCH_CPUS]`` against ``$BENCH_SF_DIR`` (default sf0.1) and
 prints ONE JSON line. Every plan is executed in full through the ``noop``
-sink (nothing is collected to the driver). Per query: median of
-``$BENCH_REPEATS`` timed runs (default 3) after one untimed warm-up run of
-the whole set.
+sink (nothing is collected to the driver). Per query: median of up to
+``$BENCH_REPEATS`` timed runs (default 3) after one untimed warm-up run. A
+query is not repeated beyond ``$BENCH_QUERY_SEC`` seconds of its own (default
+150); one whose warm-up alone takes longer counts by that run. Each time is
+printed to stderr as soon as it is known, and the JSON line holds how many
+runs each median has.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from shotlab.session import get_spark  # noqa: E402
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
+QUERY_SEC = float(os.environ.get("BENCH_QUERY_SEC", "150"))
 
 # Reference defaults: k=32 demonstrations, T=256 test rows, R=20 replicates.
 DEFAULT = Params(task="ag_news", k=32, test_num=256, repeats=20)
@@ -67,7 +71,7 @@ def q_linear_fit(spark):
     from shotlab.operators.linear import linear_fit
     from shotlab.sources.labelled import task_rows
     lab = task_rows(spark, SF_DIR, "ag_news")
-    _run(linear_fit(lab.filter("split = 'train'"), lab.filter("split = 'test'"), c=1.0, ngc=2, ngw=1, char_cap=64, word_cap=64, unit=True))
+    _run(linear_fit(lab.filter("split = 'train'"), lab.filter("split = 'test'"), c=1.0))
 
 
 QUERIES = {
@@ -85,22 +89,23 @@ def main():
     spark = get_spark(master=f"local[{CPUS}]", app="shotlab-bench")
     only = [a for a in sys.argv[1:] if a in QUERIES]
     names = only or list(QUERIES)
-    for n in names:                    # warm-up
-        QUERIES[n](spark)
-        spark.catalog.clearCache()
-    times = {}
+    times, runs = {}, {}
     for n in names:
-        ts = []
-        for _ in range(REPEATS):
+        ts, warm = [], True
+        while len(ts) < REPEATS and (not ts or sum(ts) < QUERY_SEC):
             t = time.perf_counter()
             QUERIES[n](spark)
             ts.append(time.perf_counter() - t)
             spark.catalog.clearCache()     # persisted intermediates of this run (not timed)
-        times[n] = round(statistics.median(ts), 3)
+            if warm and ts[0] < QUERY_SEC:
+                ts.clear()
+            warm = False
+        times[n], runs[n] = round(statistics.median(ts), 3), len(ts)
+        print(f"{n} {times[n]} s, {runs[n]} runs", file=sys.stderr, flush=True)
     sf = SF_DIR.rstrip("/").rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "total_median_wall_seconds", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
-                      "cpus": int(CPUS), "repeats": REPEATS,
+                      "cpus": int(CPUS), "repeats": runs,
                       "workload": {"k": DEFAULT.k, "test_num": DEFAULT.test_num, "repeats": DEFAULT.repeats}}))
 
 

@@ -583,7 +583,7 @@ def q_linear_fit(spark, sf_dir):
     """K1: one pyspark.ml logistic regression on the whole train split of the 4-class task (rows-only)."""
     from shotlab.operators.linear import linear_fit
     lab = task_rows(spark, sf_dir, "ag_news")
-    return linear_fit(lab.filter("split = 'train'"), lab.filter("split = 'test'"), c=1.0, ngc=2, ngw=1, char_cap=64, word_cap=64, unit=True)
+    return linear_fit(lab.filter("split = 'train'"), lab.filter("split = 'test'"), c=1.0)
 
 
 def _sql_score_hook():

@@ -125,21 +125,22 @@ def test_multinomial_kernel_fit_equals_one_large_fit(spark):
     texts = [" ".join(rnd.choice(words, size=6, p=np.roll([.4, .3, .1, .1, .05, .05], 2 * (i % 3)))) for i in range(45)]
     y = np.array([i % 3 for i in range(45)])
     train = spark.createDataFrame([(i, t, int(c)) for i, (t, c) in enumerate(zip(texts, y))], "doc_id long, text string, label_idx int")
-    prepared, model = linear_model(train, 0.5, 2, 1, tol=1e-12)
-    from shotlab.operators.linear import ml_features
-    a, _ = ml_features(train, 2, 1)
-    got = model.transform(prepared.transform(a)).orderBy("doc_id").toPandas()
-    X_ = np.stack([v.toArray() for v in got["features"]])
-    proba = np.stack([v.toArray() for v in got["probability"]])
-    assert (got["prediction"].to_numpy().astype(int) == fit_predict(X_ @ X_.T, y, X_ @ X_.T, 0.5)).all()
-    w = model.coefficientMatrix.toArray()
-    gradient = w + 0.5 * (proba - np.eye(3)[y]).T @ X_
-    gradient -= gradient.mean(axis=0)                       # softmax: one direction is free
-    assert np.abs(gradient).max() < 1e-3 and np.abs((proba - np.eye(3)[y]).sum(axis=0)).max() < 1e-3
+    model = linear_model(train, 0.5, 2, 1, tol=1e-9)
+    at = {(r["block"], r["term"]): r["idx"] for r in model.voc.collect()}
+    X_ = np.zeros((45, model.n_terms))
+    for r in features.doc_grams(train.select("doc_id", "text"), 2, 1).collect():
+        X_[r["doc_id"], at[r["block"], r["term"]]] = r["cnt"]
+    z = X_ @ model.fitted.w.T + model.fitted.b
+    assert (z.argmax(axis=1) == fit_predict(X_ @ X_.T, y, X_ @ X_.T, 0.5)).all()
+    proba = np.exp(z - z.max(axis=1, keepdims=True))
+    proba /= proba.sum(axis=1, keepdims=True)
+    gradient = model.fitted.w + 0.5 * (proba - np.eye(3)[y]).T @ X_
+    assert np.abs(gradient).max() < 1e-5 and np.abs((proba - np.eye(3)[y]).sum(axis=0)).max() < 1e-5
+    model.release()
 
 
 def test_a_fit_that_does_not_converge_is_an_error(spark):
     from shotlab.operators.linear import linear_model
     train = spark.createDataFrame([(i, f"w{i % 5} x{i % 3}", i % 2) for i in range(20)], "doc_id long, text string, label_idx int")
     with pytest.raises(RuntimeError):
-        linear_model(train, 100.0, 2, 1, max_iter=2)
+        linear_model(train, 100.0, 2, 1, max_steps=1)
