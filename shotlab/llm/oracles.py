@@ -41,18 +41,19 @@ hit AS (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM (S
 rep AS (SELECT rid, sum(least(5, coalesce(nxt - i, 5))) AS n FROM hit GROUP BY rid),
 f AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls,
         [x::DOUBLE FOR x IN [{', '.join(counts)}]] AS c0, CASE lang {words} END AS cw FROM w),
-h AS (SELECT *, list_append(c0, length(t) - list_sum(c0)) AS hc, CASE WHEN cw IS NOT NULL THEN [len(list_filter(ws, lambda y: y = x))::DOUBLE FOR x IN cw] END AS k0 FROM f),
+bare AS (SELECT rid, list(regexp_replace(regexp_replace(lower(x), '^[\\p{{P}}\\p{{S}}]+', ''), '[\\p{{P}}\\p{{S}}]+$', '')) AS bs FROM (SELECT rid, unnest(ws) AS x FROM w) GROUP BY rid),
+h AS (SELECT f.*, list_append(c0, length(t) - list_sum(c0)) AS hc, CASE WHEN cw IS NOT NULL THEN [len(list_filter(coalesce(bs, []), lambda y: y = x))::DOUBLE FOR x IN cw] END AS k0 FROM f LEFT JOIN bare USING (rid)),
 h2 AS (SELECT *, CASE WHEN k0 IS NOT NULL THEN list_append(k0, len(ws) - list_sum(k0)) END AS hk FROM h),
 rc AS (SELECT lang, list(v ORDER BY i) AS rc FROM (SELECT lang, i, sum(hc[i]) AS v FROM h2, range(1, {len(CLASSES) + 2}) r(i) GROUP BY lang, i) GROUP BY lang),
 rk AS (SELECT lang, list(v ORDER BY i) AS rk FROM (SELECT lang, i, sum(hk[i]) AS v FROM h2, range(1, {len(COMMON['en']) + 2}) r(i) GROUP BY lang, i) GROUP BY lang),
 a AS (SELECT h2.*, coalesce(rep.n, 0) AS nrep,
         CASE WHEN length(t) >= {lim.min_chars} THEN {js('hc', 'rc')} END AS cd,
-        CASE WHEN len(ws) >= {lim.min_words} AND hk IS NOT NULL THEN {js('hk', 'rk')} END AS kd
-      FROM h2 LEFT JOIN rep USING (rid) JOIN rc USING (lang) JOIN rk USING (lang)),
+        CASE WHEN len(ws) >= {lim.min_words} AND hk IS NOT NULL THEN {js('hk', 'rk')} END AS kd, least({lim.word_distance}, {lim.none_share} * nullif({js('nn', 'rk')}, 0)) AS kl
+      FROM (SELECT *, list_append([0.0::DOUBLE FOR i IN range({len(COMMON['en'])})], 1.0::DOUBLE) AS nn FROM h2) h2 LEFT JOIN rep USING (rid) JOIN rc USING (lang) JOIN rk USING (lang)),
 b AS (SELECT *, len(ws) < 10 OR 100 * nrep > 20 * len(ws) AS bad FROM a)
 SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '{_SPACE}', '', 'g'))::BIGINT AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
-  nrep::BIGINT AS n_repeat_words, bad AS base_failed, NOT bad AND coalesce(cd, 0) <= {lim.char_distance} AND coalesce(kd, 0) <= {lim.word_distance} AS kept
+  nrep::BIGINT AS n_repeat_words, bad AS base_failed, NOT bad AND coalesce(cd, 0) <= {lim.char_distance} AND coalesce(kd, 0) <= coalesce(kl, {lim.word_distance}) AS kept
 FROM b
 """
 
