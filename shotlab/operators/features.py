@@ -158,7 +158,7 @@ def kernels(train_w: DataFrame, all_w: DataFrame, ngc_max: int, ngw_max: int, tf
     by the range mask, so the nested ranges cost a single join. TF-IDF
     products are divided by both documents' per-range L2 norms. Pairs with no
     shared term are absent (dot product 0). The dual form has R*k*(k+T) rows:
-    bounded by the parameters, not by the corpus (``linear.MAX_FIT`` bounds k).
+    bounded by the parameters, not by the corpus.
     """
     a = train_w.select("rep", "block", "term", "mask", F.col("doc_id").alias("i"), F.col("w").alias("wi")).hint("merge")
     b = all_w.select("rep", "block", "term", F.col("doc_id").alias("j"), F.col("w").alias("wj"))

@@ -4,7 +4,8 @@ Objective (as the reference's linear model): C * sum_i loss_i + 1/2 ||W||^2,
 intercept unpenalised. By the representer theorem W = A^T X, so the fit
 needs only the Gram matrix K = X X^T of the (few) training rows: n*L
 unknowns whatever the number of features. Binary uses the sigmoid loss,
-three or more classes the multinomial (softmax) loss.
+three or more classes the multinomial (softmax) loss. Newton steps come from
+conjugate gradients in the eigenvectors of K, so memory is that of K.
 """
 
 from __future__ import annotations
@@ -26,112 +27,114 @@ def _converged(g: float, C: float) -> None:
         raise RuntimeError(f"the Newton fit stopped with a gradient of {g:.3g} at C={C}")
 
 
-def _solve(M, rhs):
-    """Newton step. The tiny ridge removes the null directions (a common shift of
-    the intercepts; duplicate training rows) and leaves the step otherwise
-    unchanged; the gradient stays exact, so the optimum is the same."""
-    ridge = 1e-10 * max(1.0, float(np.abs(M).max()))
-    try:
-        return np.linalg.solve(M + ridge * np.eye(M.shape[0]), rhs)
-    except np.linalg.LinAlgError:
-        return np.linalg.lstsq(M, rhs, rcond=None)[0]
+#: Conjugate-gradient products of one Newton step, and Newton steps of one fit.
+CG, STEPS = 200, 200
 
 
-def fit_binary(K, t, C, tol=1e-9, max_iter=200, init=None):
-    n = K.shape[0]
-    a, b = (np.zeros(n), 0.0) if init is None else (init[0].copy(), float(init[1]))
+class Basis:
+    """A kernel matrix with its eigenvectors, shared by the fits of all C.
 
-    def obj(a, b):
-        f = K @ a + b
-        return 0.5 * a @ (K @ a) + C * np.sum(np.logaddexp(0.0, f) - t * f)
+    In them a Hessian with equal row weights is diagonal, which is the scaling of the
+    conjugate gradients. Memory is two n x n matrices, whatever the number of classes."""
+
+    def __init__(self, K):
+        self.K = K
+        value, self.vec = np.linalg.eigh((K + K.T) / 2)
+        self.value = np.maximum(value, 0.0)
+
+    def scale(self, D, c, h):
+        """(I + c * h_l * K)^-1 D, column by column."""
+        return self.vec @ ((self.vec.T @ D) / (1.0 + c * self.value[:, None] * h[None, :]))
+
+
+def _curve(P, U, binary):
+    return P * (1 - P) * U if binary else P * (U - (P * U).sum(axis=1, keepdims=True))
 
-    J = obj(a, b)
-    for _ in range(max_iter):
-        f = K @ a + b
-        s = 1.0 / (1.0 + np.exp(-f))
-        r = s - t
-        g1 = a + C * r
-        g2 = r.sum()
-        if max(np.abs(g1).max(), abs(g2)) < tol:
-            break
-        d = s * (1 - s)
-        M = np.zeros((n + 1, n + 1))
-        M[:n, :n] = np.eye(n) + C * d[:, None] * K
-        M[:n, n] = C * d
-        M[n, :n] = d @ K
-        M[n, n] = d.sum()
-        step = _solve(M, -np.concatenate([g1, [g2]]))
-        da, db = step[:n], step[n]
-        s_ = 1.0
-        while s_ > 1e-12:
-            Jn = obj(a + s_ * da, b + s_ * db)
-            if Jn <= J:
-                break
-            s_ *= 0.5
-        if s_ <= 1e-12:
-            break
-        done = J - Jn <= 1e-13 * max(1.0, abs(J))
-        a, b, J = a + s_ * da, b + s_ * db, Jn
-        if done:
-            break
-    r = 1.0 / (1.0 + np.exp(-(K @ a + b))) - t
-    _converged(max(np.abs(K @ (a + C * r)).max() / max(1.0, np.abs(K).max()), abs(C * r.sum())), C)
-    return a, b
 
+def _parts(F, Y, binary):
+    """Sum of losses, probabilities."""
+    if binary:
+        return float(np.sum(np.logaddexp(0.0, F) - Y * F)), np.exp(-np.logaddexp(0.0, -F))
+    return float(np.sum(_logsumexp(F) - np.sum(F * Y, axis=1))), np.exp(F - _logsumexp(F)[:, None])
 
-def fit_multinomial(K, y, L, C, tol=1e-9, max_iter=200, init=None):
-    n = K.shape[0]
-    Y = np.zeros((n, L))
-    Y[np.arange(n), y] = 1.0
-    A, b = (np.zeros((n, L)), np.zeros(L)) if init is None else (init[0].copy(), init[1].copy())
 
-    def obj(A, b):
-        F = K @ A + b
-        return 0.5 * np.sum(A * (K @ A)) + C * np.sum(_logsumexp(F) - np.sum(F * Y, axis=1))
+def _minimise(basis, Y, C, binary, tol, max_iter, init):
+    """Newton steps on coefficients A (n, l) and intercepts b (l), W = X'A, without ever forming a
+    Hessian: its product with a direction (D, e) is D + C H(K D + e), C sum H(K D + e).
 
-    J = obj(A, b)
-    nL = n * L
+    Gradients and directions are coefficient pairs; products of two of them are tr(D' K D) + e'e,
+    the primal ones, in which the Hessian is symmetric."""
+    K, (n, k) = basis.K, Y.shape
+    A, b = (np.zeros((n, k)), np.zeros(k)) if init is None else (init[0].copy(), init[1].copy())
+    KA = K @ A
+    F = KA + b
+    loss, P = _parts(F, Y, binary)
+    J = 0.5 * float((A * KA).sum()) + C * loss
     for _ in range(max_iter):
-        F = K @ A + b
-        P = np.exp(F - F.max(axis=1, keepdims=True))
-        P /= P.sum(axis=1, keepdims=True)
         R = P - Y
-        g1 = A + C * R
-        g2 = R.sum(axis=0)
-        if max(np.abs(g1).max(), np.abs(g2).max()) < tol:
+        g, ge = A + C * R, C * R.sum(axis=0)
+        if max(np.abs(g).max(), np.abs(ge).max()) < tol * (1.0 + C):
             break
-        H = P[:, :, None] * np.eye(L)[None] - P[:, :, None] * P[:, None, :]      # n x L x L
-        M = np.zeros((nL + L, nL + L))
-        E = C * K[:, :, None, None] * H[:, None, :, :]                               # i, j, c, d
-        M[:nL, :nL] = E.transpose(0, 2, 1, 3).reshape(nL, nL) + np.eye(nL)
-        M[:nL, nL:] = C * H.reshape(nL, L)
-        M[nL:nL + L, :nL] = np.einsum("icd,ij->cjd", H, K).reshape(L, nL)
-        M[nL:nL + L, nL:] = H.sum(axis=0)
-        rhs = -np.concatenate([g1.ravel(), g2])
-        step = _solve(M, rhs)
-        dA, db = step[:nL].reshape(n, L), step[nL:]
-        s_ = 1.0
-        while s_ > 1e-12:
-            Jn = obj(A + s_ * dA, b + s_ * db)
-            if Jn <= J:
+        h = (P * (1 - P)).mean(axis=0)
+        he = C * n * h + 1e-12
+        r, re = -g, -ge
+        Kr = K @ r
+        z, ze = basis.scale(r, C, h), re / he
+        d, de, Kd = z, ze, K @ z
+        rz = rz0 = float((z * Kr).sum() + ze @ re)
+        S, Se, KS = np.zeros_like(A), np.zeros(k), np.zeros_like(A)
+        for _ in range(CG):
+            if not rz > 0:
                 break
-            s_ *= 0.5
-        if s_ <= 1e-12:
+            cur = C * _curve(P, Kd + de, binary)
+            H, He = d + cur, cur.sum(axis=0)
+            KH = K @ H
+            a = rz / float((d * KH).sum() + de @ He)
+            S, Se, KS = S + a * d, Se + a * de, KS + a * Kd
+            r, re, Kr = r - a * H, re - a * He, Kr - a * KH
+            z, ze = basis.scale(r, C, h), re / he
+            rz, last = float((z * Kr).sum() + ze @ re), rz
+            if rz <= 1e-4 * min(1.0, rz0) * rz0:
+                break
+            d, de = z + rz / last * d, ze + rz / last * de
+            Kd = K @ d
+        t = 1.0
+        while True:
+            F = KA + t * KS + b + t * Se
+            loss, Pn = _parts(F, Y, binary)
+            An = A + t * S
+            Jn = 0.5 * float((An * (KA + t * KS)).sum()) + C * loss
+            if Jn <= J or t < 1e-12:
+                break
+            t *= 0.5
+        if t < 1e-12:
             break
-        done = J - Jn <= 1e-13 * max(1.0, abs(J))
-        A, b, J = A + s_ * dA, b + s_ * db, Jn
+        done = J - Jn <= 1e-15 * max(1.0, abs(J))
+        A, b, P, J = An, b + t * Se, Pn, Jn
+        KA = K @ A
         if done:
             break
-    F = K @ A + b
-    P = np.exp(F - F.max(axis=1, keepdims=True))
-    R = P / P.sum(axis=1, keepdims=True) - Y
+    R = P - Y
     _converged(max(np.abs(K @ (A + C * R)).max() / max(1.0, np.abs(K).max()), np.abs(C * R.sum(axis=0)).max()), C)
     return A, b
 
 
+def fit_binary(K, t, C, tol=1e-9, max_iter=STEPS, init=None):
+    """Coefficients (n) and intercept of the sigmoid loss; ``K`` a kernel matrix or its ``Basis``."""
+    basis = K if isinstance(K, Basis) else Basis(K)
+    start = None if init is None else (init[0][:, None], np.array([init[1]]))
+    A, b = _minimise(basis, np.asarray(t, float)[:, None], C, True, tol, max_iter, start)
+    return A[:, 0], float(b[0])
+
+
+def fit_multinomial(K, y, L, C, tol=1e-9, max_iter=STEPS, init=None):
+    """Coefficients (n, L) and intercepts (L) of the softmax loss."""
+    return _minimise(K if isinstance(K, Basis) else Basis(K), np.eye(L)[y], C, False, tol, max_iter, init)
+
+
 def fit_predict(K_tr, y_tr, K_te, C, init=None, return_state=False):
-    """Fit on (K_tr, y_tr), predict rows of K_te (test x train). Returns class labels
-    (and the solver state, to warm-start the next C)."""
+    """Fit on (K_tr or its ``Basis``, y_tr), predict rows of K_te (test x train). Returns class
+    labels (and the solver state, to warm-start the next C)."""
     classes = np.unique(y_tr)
     state = None
     if len(classes) == 1:                # a single class: nothing to separate

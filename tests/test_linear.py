@@ -40,3 +40,30 @@ def test_kernel_fit_equals_spark_ml(spark):
                            maxIter=1000, tol=1e-12, family="binomial").fit(df)
     assert np.allclose(m.coefficients.toArray(), w, atol=1e-4)
     assert m.intercept == pytest.approx(b, abs=1e-4)
+
+
+def test_large_k_with_many_classes_stays_in_memory():
+    """600 rows, 14 classes (a Hessian would have 70 million numbers): stationary in a few matrices."""
+    import tracemalloc
+    rng = np.random.default_rng(1)
+    n, L = 600, 14
+    X = rng.poisson(1.0, (n, 900)).astype(float)
+    y = rng.integers(0, L, n)
+    X[np.arange(n), y] += 5
+    K = X @ X.T
+    tracemalloc.start()
+    A, b = fit_multinomial(K, y, L, 1.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert gradient_norm(K, y, L, 1.0, A, b) < 1e-6 * K.max() and peak < 12 * 8 * n * n
+
+
+def test_grid_of_600_rows_a_replicate(spark):
+    from shotlab.operators.linear import fitted_predictions
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(rng.choice(words[i % 3::3], 6)) + " " + " ".join(rng.choice(words, 2)), i % 3) for i in range(700)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, y int")
+    rows = d.selectExpr("0 as rep", "doc_id", "y")
+    out = fitted_predictions(rows.filter("doc_id < 600"), rows.filter("doc_id >= 600"), d.select("doc_id", "text"), False, 600, cs=[0.1, 1.0], ngc=[1], ngw=[1, 2], rows=700).toPandas()
+    assert len(out) == 4 * 100 and (out.gold_idx == out.pred_idx).mean() > 0.95
