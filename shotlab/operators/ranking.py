@@ -13,6 +13,29 @@ def softmax(scores: DataFrame, by=("rep", "test_id"), col: str = "score", out: s
     return scores.withColumn(out, z / F.sum(z).over(w))
 
 
+def vocab_softmax(logits: DataFrame, candidates: DataFrame, n_vocab: int, rest: float = 0.0, by=("rep", "test_id"), token: str = "token",
+                  col: str = "logit", out: str = "prob") -> DataFrame:
+    """Softmax over a whole vocabulary of ``n_vocab`` tokens, sliced to ``candidates`` and not renormalised.
+
+    ``logits`` has ``(*by, token, logit)`` in long form, tokens of a prompt unique; tokens it does not
+    list have the logit ``rest``. ``candidates`` has ``(*by, token, ...)``, all its columns are kept.
+    Exponentials are summed per (prompt, whole part of the logit), relative to that part: a
+    mergeable sum that neither overflows nor needs the maximum first, one exchange with partial
+    sums before it. A prompt then has one row per distinct whole part. Prompts without a listed
+    token spread evenly; null logits count as unlisted."""
+    by = list(by)
+    known = logits.filter(F.col(col).isNotNull())
+    part = F.floor(F.col(col)).alias("_part")
+    sums = known.groupBy(*by, part).agg(F.sum(F.exp(F.col(col) - F.floor(F.col(col)))).alias("_sum"), F.count("*").alias("_n"))
+    per = sums.groupBy(*by).agg(F.max("_part").alias("_top"), F.sum("_n").alias("_listed"), F.collect_list(F.struct("_part", "_sum")).alias("_parts"))
+    j = candidates.join(known.select(*by, token, F.col(col).alias("_logit")), [*by, token], "left").join(per, by, "left")
+    top = F.greatest(F.coalesce("_top", F.lit(rest)), F.lit(rest)).cast("double")
+    unlisted = (F.lit(n_vocab) - F.coalesce("_listed", F.lit(0))) * F.exp(F.lit(rest) - F.col("_max"))
+    total = F.aggregate(F.coalesce("_parts", F.array().cast("array<struct<_part:bigint,_sum:double>>")), F.lit(0.0), lambda a, x: a + x["_sum"] * F.exp(x["_part"] - F.col("_max")))
+    j = j.withColumn("_max", top).withColumn("_total", total + unlisted)
+    return j.select(*candidates.columns, (F.exp(F.coalesce("_logit", F.lit(rest)) - F.col("_max")) / F.col("_total")).alias(out))
+
+
 def predict_and_rank(scores: DataFrame, gold: DataFrame, score_col: str = "score", n_labels: int | None = None) -> DataFrame:
     """``(rep, test_id, gold_idx, pred_idx, gold_rank)``.
 

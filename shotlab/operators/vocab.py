@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotlab.functions.hashing import hkey
+from shotlab.functions.hashing import hnum
 from shotlab.functions.text import WORD_PATTERN, pieces
 from shotlab.operators.sampling import with_reps
 
@@ -57,35 +59,83 @@ def dense_index(df: DataFrame, by: list[str], order: list, out: str = "idx", kee
             .drop("_mid", "_pid", "_rec", "_first", "_start"))
 
 
-def permutation(vocab: DataFrame, repeats: int, seed: int, keep: list | None = None) -> DataFrame:
-    """Uniform random bijection of the vocabulary per replicate: ``(rep, token, new_token)``.
+#: Rounds of the keyed bijection, and steps back into its range.
+ROUNDS, WALK = 6, 16
+#: Tokens of a text that share one map of images.
+PIECES = 256
 
-    Token at position q in token order maps to the token at position q in
-    key order; both positions come from ``dense_index``.
-    """
-    # Token order is the same in every replicate: index V rows once, not R*V.
-    by_tok = dense_index(vocab.select("token"), [], [F.col("token")], "q", keep)
-    v = with_reps(vocab.select("token"), repeats).withColumn("rep", F.col("rep").cast("int"))
-    by_key = dense_index(v.withColumn("_h", hkey(seed, "permute", "rep", "token")), ["rep"],
-                         [F.col("_h"), F.col("token")], "q", keep).select("rep", "q", F.col("token").alias("new_token"))
-    return by_key.join(by_tok, "q").select("rep", "token", "new_token")
+
+def sides(n: int) -> tuple[int, int]:
+    """(a, b) with a * b >= n and fewer than a places too many."""
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    return a, max(1, -(-n // a))
+
+
+def image_place(place, n: int, seed: int, rep="rep"):
+    """Column: image of ``place`` in 0 .. n - 1 under the replicate's keyed bijection.
+
+    A Feistel network on a x b places (x = l * b + r): rounds add a keyed hash of one part to the
+    other, modulo its size, so each round is a bijection. The few images beyond n are sent on
+    until they fall below it (cycle walking), which leaves a bijection of 0 .. n - 1."""
+    a, b = sides(n)
+
+    def network(x):
+        start = F.struct(F.floor(x / b).cast("long").alias("l"), F.pmod(x, F.lit(b)).cast("long").alias("r"))
+
+        def turn(s, i):
+            left = F.struct(F.pmod(s["l"] + hnum(seed, "permute", rep, i, s["r"]), F.lit(a)).cast("long").alias("l"), s["r"].alias("r"))
+            right = F.struct(s["l"].alias("l"), F.pmod(s["r"] + hnum(seed, "permute", rep, i, s["l"]), F.lit(b)).cast("long").alias("r"))
+            return F.when(i % 2 == 0, left).otherwise(right)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: s["l"] * b + s["r"])
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), network(place.cast("long")), lambda x, _: F.when(x >= n, network(x)).otherwise(x))
+    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("no image within the walk")).cast("long"))
+
+
+def indexed(vocab: DataFrame, keep: list | None = None) -> tuple[DataFrame, int]:
+    """``(token, q)`` with dense places in token order, and the number of tokens (V rows, once for all
+    replicates; persisted, the caller unpersists)."""
+    rows = dense_index(vocab.select("token"), [], [F.col("token")], "q", keep).persist(StorageLevel.MEMORY_AND_DISK)
+    if keep is not None:
+        keep.append(rows)
+    return rows, rows.count()
+
+
+def images(wanted: DataFrame, vocab: DataFrame, n: int, seed: int) -> DataFrame:
+    """``(rep, token, new_token)`` of the wanted ``(rep, token)`` pairs; ``vocab`` and ``n`` as ``indexed``
+    gives them. Two joins by key; nothing is sorted and no row is made for other pairs."""
+    at = wanted.select("rep", "token").join(vocab, "token").withColumn("_to", image_place(F.col("q"), n, seed)).drop("q")
+    return at.join(vocab.select(F.col("q").alias("_to"), F.col("token").alias("new_token")), "_to").select("rep", "token", "new_token")
+
+
+def permutation(vocab: DataFrame, repeats: int, seed: int, keep: list | None = None) -> DataFrame:
+    """Random bijection of the vocabulary per replicate: ``(rep, token, new_token)`` for all of it."""
+    rows, n = indexed(vocab, keep)
+    every = with_reps(rows.select("token"), repeats).withColumn("rep", F.col("rep").cast("int"))
+    return images(every, rows, n, seed)
 
 
 def permute_tokens(df: DataFrame, tokens_col: str, token_map: DataFrame, protected: DataFrame,
                    out: str = "permuted", key=("rep", "test_id")) -> DataFrame:
     """Replace every unprotected token by its image under the replicate's permutation.
 
-    ``df`` has ``(*key, tokens_col ARRAY<STRING>)``; ``protected`` is
-    ``(rep, token)`` (label and template tokens). Only the distinct tokens of
-    a row are joined to the map (shuffle join: the map grows with the
-    vocabulary; a frequent token repeats on the left side only, which a skew
-    join splits); their images come back as one small map per row.
+    ``df`` has ``(*key, tokens_col ARRAY<STRING>)``, keys unique; ``protected`` is ``(rep, token)``
+    (label and template tokens). Texts are cut into runs of ``PIECES`` tokens. The distinct tokens
+    of a run are joined to the map (shuffle join: the map grows with the vocabulary; a
+    frequent token repeats on the left side only, which a skew join splits), and come back
+    as one map for the run: looking a token up scans at most ``PIECES`` entries, so the work is
+    linear in the text.
     """
     key = list(key)
-    ex = df.select(*key, F.explode(F.array_distinct(tokens_col)).alias("token"))
+    last = F.greatest(F.floor((F.size(tokens_col) - 1) / PIECES), F.lit(0)).cast("int")
+    runs = df.select(*key, F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
+        i.alias("i"), F.slice(F.col(tokens_col), i * PIECES + 1, F.lit(PIECES)).alias("t")))).alias("_r")).select(*key, F.col("_r.i").alias("_i"), F.col("_r.t").alias("_t"))
+    ex = runs.select(*key, "_i", F.explode(F.array_distinct("_t")).alias("token"))
     m = token_map.join(protected.select("rep", "token").distinct(), ["rep", "token"], "left_anti")
-    images = (ex.join(m, ["rep", "token"]).groupBy(*key)
-              .agg(F.map_from_entries(F.collect_list(F.struct("token", "new_token"))).alias("_m")))
-    j = df.select(*key, F.col(tokens_col).alias("_t")).join(images, key, "left")
+    maps = (ex.join(m, ["rep", "token"]).groupBy(*key, "_i")
+            .agg(F.map_from_entries(F.collect_list(F.struct("token", "new_token"))).alias("_m")))
+    j = runs.join(maps, [*key, "_i"], "left")
     image = F.transform("_t", lambda t: F.coalesce(F.element_at("_m", t), t))
-    return j.select(*key, F.when(F.col("_m").isNull(), F.col("_t")).otherwise(image).alias(out))
+    j = j.select(*key, "_i", F.when(F.col("_m").isNull(), F.col("_t")).otherwise(image).alias("_p"))
+    return j.groupBy(*key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_p"))), lambda r: r["_p"])).alias(out))

@@ -496,6 +496,56 @@ def q_confusion(spark, sf_dir):
     return confusion(preds)
 
 
+def _sql_class_report():
+    kinds = {"p": "CASE WHEN np > 0 THEN tp / np ELSE 0.0 END", "r": "CASE WHEN ng > 0 THEN tp / ng ELSE 0.0 END", "f": "CASE WHEN np + ng > 0 THEN 2.0 * tp / (np + ng) ELSE 0.0 END"}
+    cols = lambda e: ", ".join(f"round({e[k]}, 6) AS {n}" for k, n in (("p", "precision"), ("r", "recall"), ("f", "f1")))
+    avg, wtd = {k: f"avg({k})" for k in kinds}, {k: f"sum({k} * ng) / sum(ng)" for k in kinds}
+    pooled = {k: v.replace("tp", "sum(tp)").replace("np", "sum(np)").replace("ng", "sum(ng)") for k, v in kinds.items()}
+    tail = "CAST(sum(ng) AS BIGINT) AS support FROM c GROUP BY rep"
+    return (f"{_scored_sql()},\n{S.f1_cte()},\nc AS (SELECT rep, cls_, ng, np, tp, {', '.join(f'{v} AS {k}' for k, v in kinds.items())} FROM f1_c)\n"
+            f"SELECT rep, CAST(cls_ AS VARCHAR) AS row, {cols({k: k for k in kinds})}, CAST(ng AS BIGINT) AS support FROM c\n"
+            f"UNION ALL SELECT rep, 'macro', {cols(avg)}, {tail}\nUNION ALL SELECT rep, 'weighted', {cols(wtd)}, {tail}\nUNION ALL SELECT rep, 'micro', {cols(pooled)}, {tail}")
+
+
+@register("class_report", _sql_class_report)
+def q_class_report(spark, sf_dir):
+    """Precision, recall, F1 and support per class, with macro, weighted and micro rows."""
+    from shotlab.operators.metrics import class_report
+    _, preds, _ = X.overlap_eval(_prep(spark, sf_dir))
+    return class_report(preds).select("rep", "row", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+def _sql_vocab_softmax():
+    word = S.WORD_PATTERN
+    return (f"{S.base_ctes(CHECK)},\n{S.texts_ctes(CHECK)},\n{S.demos_cte(CHECK)},\n{S.prompts_ctes(CHECK)},\n"
+            f"lt AS (SELECT rep, label_idx, regexp_extract(label_word, '{word}') AS token FROM lmap),\n"
+            f"vc AS (SELECT token FROM ({S.vocab_sql()}) UNION SELECT token FROM lt),\n"
+            f"pt AS (SELECT rep, test_id, token, count(*) AS cnt FROM (SELECT rep, test_id, unnest(regexp_extract_all(prompt, '{word}')) AS token FROM prompts) GROUP BY ALL),\n"
+            f"lg AS (SELECT p.rep, p.test_id, v.token, 40 * ln(1 + coalesce(t.cnt, 0)) AS logit FROM prompts p CROSS JOIN vc v LEFT JOIN pt t ON t.rep = p.rep AND t.test_id = p.test_id AND t.token = v.token),\n"
+            f"sm AS (SELECT *, exp(logit - max(logit) OVER w) AS z FROM lg WINDOW w AS (PARTITION BY rep, test_id)),\n"
+            f"st AS (SELECT rep, test_id, sum(z) AS total FROM sm GROUP BY rep, test_id)\n"
+            f"SELECT s.rep, s.test_id, l.label_idx, round(ln(greatest(s.z / t.total, 1e-300)), 6) AS log_prob FROM sm s JOIN lt l ON l.rep = s.rep AND l.token = s.token JOIN st t ON t.rep = s.rep AND t.test_id = s.test_id")
+
+
+@register("vocab_softmax", _sql_vocab_softmax)
+def q_vocab_softmax(spark, sf_dir):
+    """Label probabilities under a softmax over the whole vocabulary, not renormalised over the
+    labels. The logits are a stand-in: 40 ln(1 + occurrences in the prompt), 0 for all other tokens."""
+    from shotlab.functions.text import WORD_PATTERN, tokenize
+    from shotlab.operators.ranking import vocab_softmax
+    from shotlab.operators.vocab import corpus_vocab
+    pr = _prep(spark, sf_dir)
+    labels = pr.lmap.select("rep", "label_idx", F.regexp_extract("label_word", WORD_PATTERN, 0).alias("token"))
+    vocab = corpus_vocab(pr.docs).union(labels.select("token")).distinct().persist()
+    pr.kept.append(vocab)
+    prompts = X.prompts(pr)
+    counts = prompts.select("rep", "test_id", F.explode(tokenize("prompt")).alias("token")).groupBy("rep", "test_id", "token").agg(F.count("*").alias("cnt"))
+    logits = counts.join(vocab, "token", "left_semi").select("rep", "test_id", "token", (40 * F.log(1.0 + F.col("cnt"))).alias("logit"))
+    wanted = pr.sample.filter("split = 'test'").select("rep", F.col("doc_id").alias("test_id")).join(F.broadcast(labels), "rep")
+    out = vocab_softmax(logits, wanted, vocab.count())
+    return out.select("rep", "test_id", "label_idx", F.round(F.log(F.greatest("prob", F.lit(1e-300))), 6).alias("log_prob"))
+
+
 @register("replicate_summary", lambda: (
     f"{_scored_sql()},\n{S.f1_cte()}\nSELECT round(coalesce(avg(macro_f1), 0.0), 6) AS mean_f1, "
     f"CAST(count(*) AS BIGINT) AS n_reps, round((SELECT avg(gold_rank) FROM pr), 6) AS mean_rank, "

@@ -25,7 +25,7 @@ from shotlab.operators.prompts import build_prompts, demo_rows, present
 from shotlab.operators.ranking import predict_and_rank
 from shotlab.operators.sampling import coverage_sample, draw_demos, sample_replicates
 from shotlab.operators.scoring import overlap_scores
-from shotlab.operators.vocab import corpus_vocab, permutation, permute_tokens
+from shotlab.operators.vocab import corpus_vocab, images, indexed, permute_tokens
 from shotlab.sources.labelled import task_rows
 from shotlab.sources.registry import Task, task as get_task, word_lists
 
@@ -261,9 +261,13 @@ def permuted_texts(prep: Prepared, token_map: DataFrame | None = None) -> DataFr
     """
     if token_map is not None or prep._permuted is None:
         p = prep.params
-        m = token_map if token_map is not None else permutation(corpus_vocab(prep.docs, pattern=PIECE_PATTERN), p.repeats, p.seed, keep=prep.kept)
         rows = doc_texts(prep).join(bounded_broadcast(prep.sample, prep.sampled_rows), "doc_id")
         toks = rows.select("rep", "doc_id", pieces("text").alias("tokens"))
+        m = token_map
+        if m is None:
+            # images of the tokens that occur, not of the whole vocabulary in every replicate
+            vocab, n = indexed(corpus_vocab(prep.docs, pattern=PIECE_PATTERN), prep.kept)
+            m = images(toks.select("rep", F.explode(F.array_distinct("tokens")).alias("token")).distinct(), vocab, n, p.seed)
         done = permute_tokens(toks, "tokens", m, protected_tokens(prep), "ptoks", key=("rep", "doc_id"))
         out = prep.keep(prep.sample.join(done.select("rep", "doc_id", F.array_join("ptoks", "").alias("text")), ["rep", "doc_id"]))
         if token_map is not None:

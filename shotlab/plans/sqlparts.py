@@ -10,6 +10,7 @@ from shotlab.config import Params
 from shotlab.functions.hashing import sql_hkey, sql_hnum
 from shotlab.functions.stopwords import ENGLISH
 from shotlab.functions.text import PIECE_PATTERN, WORD_PATTERN, WHITESPACE_RUN
+from shotlab.operators.vocab import ROUNDS, WALK
 from shotlab.sources.labelled import LANGS, LENGTH_EDGES, SPLIT_DIGIT
 from shotlab.sources.registry import task as get_task, word_lists
 
@@ -260,13 +261,18 @@ def features_sql(p: Params, ngc: int, ngw: int, tfidf: bool) -> str:
 
 
 def perm_ctes(p: Params) -> str:
-    h = sql_hkey(p.seed, "permute", "r.rep", "v.token")
-    return (f"pvocab AS ({vocab_sql(PIECE_PATTERN)}),\n"
-            f"vq AS (SELECT r.rep, v.token, row_number() OVER (PARTITION BY r.rep ORDER BY v.token) AS q "
-            f"FROM pvocab v CROSS JOIN reps r),\n"
-            f"vk AS (SELECT r.rep, v.token AS new_token, row_number() OVER (PARTITION BY r.rep ORDER BY {h}, v.token) AS q "
-            f"FROM pvocab v CROSS JOIN reps r),\n"
-            f"perm AS (SELECT vq.rep, vq.token, vk.new_token FROM vq JOIN vk ON vk.rep = vq.rep AND vk.q = vq.q)")
+    """The keyed bijection with its rounds and walk, on the places of all tokens (``pvocab``: token, q)."""
+    def network(x: str, s: str, i: str) -> str:
+        left = f"{{'l': ({s}.l + {sql_hnum(p.seed, 'permute', 'r.rep', i, s + '.r')}) % z.a, 'r': {s}.r}}"
+        right = f"{{'l': {s}.l, 'r': ({s}.r + {sql_hnum(p.seed, 'permute', 'r.rep', i, s + '.l')}) % z.b}}"
+        end = f"list_reduce(range({ROUNDS}), lambda {s}, {i}: CASE WHEN {i} % 2 = 0 THEN {left} ELSE {right} END, {{'l': {x} // z.b, 'r': {x} % z.b}})"
+        return f"(({end}).l * z.b + ({end}).r)"
+
+    walk = f"list_reduce(range({WALK}), lambda x, w: CASE WHEN x >= z.n THEN {network('x', 's2', 'i2')} ELSE x END, {network('v.q', 's1', 'i1')})"
+    return (f"pvocab AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS q FROM ({vocab_sql(PIECE_PATTERN)})),\n"
+            f"z AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT n, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS a FROM (SELECT count(*) AS n FROM pvocab))),\n"
+            f"pq AS (SELECT r.rep, v.token, {walk} AS q FROM pvocab v CROSS JOIN reps r CROSS JOIN z),\n"
+            f"perm AS (SELECT pq.rep, pq.token, v.token AS new_token FROM pq JOIN pvocab v ON v.q = pq.q)")
 
 
 def grid_values() -> str:

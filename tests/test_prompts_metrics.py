@@ -90,3 +90,25 @@ def test_memo_golden(spark):
     lm = _lmap(spark, ["Ne", "por"], ["negative", "positive"])
     rows = spark.createDataFrame([(0, 1, "por", "any")], "rep INT, label_idx INT, label_word STRING, text STRING")
     assert memo_text(rows, lm).first()["text"] == "positive"
+
+
+def test_class_report_by_hand(spark):
+    from shotlab.operators.metrics import class_report
+    rows = [(0, 0, 0), (0, 0, 1), (0, 1, 1), (0, 1, 1), (0, 2, 0), (1, 3, 3)]
+    got = {(r["rep"], r["row"]): tuple(round(x, 6) for x in (r["precision"], r["recall"], r["f1"])) + (r["support"],)
+           for r in class_report(spark.createDataFrame(rows, "rep int, gold_idx int, pred_idx int")).collect()}
+    assert got == {(0, "0"): (.5, .5, .5, 2), (0, "1"): (.666667, 1, .8, 2), (0, "2"): (0, 0, 0, 1), (0, "macro"): (.388889, .5, .433333, 5),
+                   (0, "weighted"): (.466667, .6, .52, 5), (0, "micro"): (.6, .6, .6, 5),
+                   **{(1, r): (1, 1, 1, 1) for r in ("3", "macro", "weighted", "micro")}}
+
+
+def test_vocab_softmax_is_stable_and_not_renormalised(spark):
+    import math
+    from shotlab.operators.ranking import vocab_softmax
+    logits = spark.createDataFrame([(0, 1, "a", 1000.0), (0, 1, "b", 999.5), (0, 1, "c", -5000.0), (0, 2, "a", -3.0), (0, 2, "z", None)], "rep int, test_id long, token string, logit double")
+    cand = spark.createDataFrame([(0, t, w, i) for t in (1, 2, 3) for i, w in enumerate("abz")], "rep int, test_id long, token string, label_idx int")
+    got = {(r["test_id"], r["token"]): r["prob"] for r in vocab_softmax(logits, cand, 50).collect()}
+    s1 = 1 + math.exp(-.5)
+    s2 = math.exp(-3) + 49
+    want = {(1, "a"): 1 / s1, (1, "b"): math.exp(-.5) / s1, (1, "z"): 0.0, (2, "a"): math.exp(-3) / s2, (2, "b"): 1 / s2, (2, "z"): 1 / s2, **{(3, w): 1 / 50 for w in "abz"}}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12, abs_tol=1e-300) for k in want)

@@ -135,3 +135,18 @@ def test_coverage_needs_many_attempts(spark):
         assert {x["attempt"] for x in mine} == {found[r]} and {x["label_idx"] for x in mine} == set(range(6))
     with pytest.raises(ValueError):
         coverage_sample(pool.filter("label_idx < 5"), 6, need, 42)
+
+
+def test_keyed_bijection_of_any_size(spark):
+    """Every place is an image once, for small and odd sizes; replicates differ; no fixed pattern."""
+    from pyspark.sql import functions as F
+    from shotlab.operators.vocab import image_place, sides
+    for n in (1, 2, 3, 5, 10, 97, 1000, 10007):
+        a, b = sides(n)
+        assert n <= a * b < n + a + 1
+        rows = spark.range(n).crossJoin(spark.range(2).select(F.col("id").alias("rep"))).select("rep", "id", image_place(F.col("id"), n, 42).alias("to")).collect()
+        per = [sorted((r["id"], r["to"]) for r in rows if r["rep"] == k) for k in (0, 1)]
+        assert all(sorted(t for _, t in p) == list(range(n)) for p in per)
+        if n > 90:
+            assert per[0] != per[1] and sum(i == t for i, t in per[0]) < 9
+            assert abs(sum((i - (n - 1) / 2) * (t - (n - 1) / 2) for i, t in per[0])) < 4 * n ** 2.5 / 12
