@@ -10,12 +10,13 @@ Layout of a file: magic, blocks, document table, block index, trailer.
 * The index has the byte offset of every block (u64), so ``read_range`` opens only the blocks
   of a range of ids.
 
-Documents are dealt to files by ranges of doc_id (quantiles of that one column), sorted, and
-streamed into files; a file is written under an attempt's name and moved into place.
+Documents are dealt to files by ranges of doc_id, sorted, encoded and streamed into the file by
+one task; a file is written under an attempt's name and moved into place.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 
@@ -27,6 +28,8 @@ from shotlab.llm.tokens import encoder, word_bpe
 
 MAGIC = b"PFORIDS1"
 BLOCK, GROUP, PERCENTILE = 1024, 64, 90
+#: Bytes of text that a file is meant to hold.
+FILE_BYTES = 16 << 20
 HEAD = struct.Struct("<IHBH")
 TAIL = struct.Struct("<QQQQ8s")
 DOC = [("doc_id", "<i8"), ("null", "u1"), ("first", "<u8"), ("n", "<u8")]
@@ -191,61 +194,44 @@ class Reader:
         return out
 
 
-def bounds(docs: DataFrame, id_col: str, files: int) -> list[int]:
-    """``files`` - 1 doc_ids that cut the table into ranges of about equal rows (reads one column)."""
-    if files < 2:
-        return []
-    cut = [i / files for i in range(1, files)]
-    found = docs.agg(F.percentile_approx(id_col, cut, max(10_000, 20 * files)).alias("q")).collect()[0]["q"]
-    return sorted({*(found or [])})
-
-
-def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, docs_per_file: int = 8192, tokenizer: str | None = None) -> DataFrame:
+def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, file_bytes: int = FILE_BYTES, tokenizer: str | None = None) -> DataFrame:
     """Writes all documents' ids in ascending doc_id order; returns the manifest (file, path,
     n_docs, n_tokens, start), ``start`` being the ids in all files before.
 
-    Null texts are empty (only the end id); null ids come first; repeated ids are ordered by
-    their ids' bytes; an empty table writes no file.  Other columns are not read."""
+    Texts are dealt to files by ranges of (doc_id, hash of the text), about ``file_bytes`` of text
+    each, and are encoded and written by the task that receives them: the ids themselves never
+    leave it. Null texts are empty (only the end id); null ids come first; repeated ids are
+    ordered by that hash and may lie in several files; an empty table writes no file.  Other
+    columns are not read."""
     path = tokenizer or word_bpe()
-    cuts = bounds(docs, id_col, -(-docs.count() // docs_per_file))
-
-    def encode(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        enc = encoder(path)
-        kind = "<u2" if max(enc.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-        for b in batches:
-            known = b.column(0).is_valid().to_numpy(zero_copy_only=False)
-            at = np.searchsorted(np.array(cuts, np.int64), b.column(0).fill_null(0).to_numpy(), "left")
-            ids = [np.append(enc.ids(t.as_py()), np.uint32(end_id)).astype(kind).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(known, at, 0), pa.int32()), b.column(0), pa.array(ids, pa.binary()), pa.array([int(kind[2])] * len(ids), pa.int32())], names=["file", "id", "ids", "width"])
+    total = docs.agg(F.sum(F.coalesce(F.octet_length(docs[text_col]), F.lit(0)).cast("long") + 1)).first()[0] or 0
 
     def save(batches):
         import numpy as np
         import pyarrow as pa
 
-        rows = ((f, i, raw, w) for b in batches for f, i, raw, w in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        enc = encoder(path)
+        end = np.array([end_id], np.uint32)
+        rows = ((f, i, t) for b in batches for f, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True))
         row = next(rows, None)
-        while row:
-            now, done = row[0], {}
-
-            def fill(out, now=now, done=done):
-                nonlocal row
-                w = Writer(out)
-                while row and row[0] == now:
-                    w.add(row[1], np.frombuffer(row[2], f"<u{row[3]}"))
-                    row = next(rows, None)
-                w.close()
-                done.update(n_docs=len(w.docs), n_tokens=w.n)
-
-            name = f"{folder}/part-{now:08d}.pfor"
-            commit_file(name, fill)
-            yield pa.RecordBatch.from_pylist([{"file": now, "path": name, **done}], schema=pa.schema([("file", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
-
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(encode, "file int, id long, ids binary, width int")
-    rows = rows.repartition(len(cuts) + 1, "file").sortWithinPartitions("file", "id", "ids")
-    files = written(rows.mapInArrow(save, "file int, path string, n_docs long, n_tokens long"), "manifest")
+        if row is None:
+            return
+        now, done = row[0], {}
+
+        def fill(out):
+            w = Writer(out)
+            for _, i, t in itertools.chain([row], rows):
+                w.add(i, np.append(enc.ids(t.as_py()), end))
+            w.close()
+            done.update(n_docs=len(w.docs), n_tokens=w.n)
+
+        name = f"{folder}/part-{now:08d}.pfor"
+        commit_file(name, fill)
+        yield pa.RecordBatch.from_pylist([{"file": now, "path": name, **done}], schema=pa.schema([("file", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).withColumn("_h", F.xxhash64("text"))
+    rows = rows.repartitionByRange(max(1, -(-int(total) // file_bytes)), "id", "_h").sortWithinPartitions("id", "_h")
+    files = written(rows.select(F.spark_partition_id().alias("file"), "id", "text").mapInArrow(save, "file int, path string, n_docs long, n_tokens long"), "manifest")
     before = F.sum("n_tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
     return files.withColumn("start", F.coalesce(before, F.lit(0).cast("long")))
 

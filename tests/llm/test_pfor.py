@@ -24,15 +24,15 @@ def expected(docs):
 def test_whole_table(spark):
     d = common.table(spark, SF01, "documents")
     docs = sorted(tuple(r) for r in d.select("doc_id", "text").collect())
-    got = sorted(tuple(r) for r in pfor.round_trip(d, docs_per_file=100).collect())
+    got = sorted(tuple(r) for r in pfor.round_trip(d, file_bytes=200_000).collect())
     assert got == expected(docs)
 
 
 def test_edge_cases(spark):
     some = data.rows()
     docs = sorted(((r[0], r[1]) for r in some), key=lambda r: (r[0] is not None, r[0]))
-    for per_file in (3, 1000):
-        got = pfor.round_trip(data.docs(spark, some), docs_per_file=per_file).collect()
+    for per_file in (400, 1 << 20):
+        got = pfor.round_trip(data.docs(spark, some), file_bytes=per_file).collect()
         assert sorted(map(tuple, got), key=lambda r: r[1]) == expected(docs)
     assert pfor.round_trip(data.empty(spark)).count() == 0
 
