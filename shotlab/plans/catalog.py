@@ -636,6 +636,26 @@ def q_linear_fit(spark, sf_dir):
     return linear_fit(lab.filter("split = 'train'"), lab.filter("split = 'test'"), c=1.0)
 
 
+def _sql_linear_fit_check():
+    from shotlab.operators.features import CHAR_CAP, WORD_CAP
+    kept = lambda block, cap: f"(SELECT CAST(least(count(DISTINCT term), {cap}) AS BIGINT) FROM grams WHERE block = '{block}')"
+    return (f"WITH lab AS ({S.lab_sql('ag_news')}),\ntr AS (SELECT doc_id, text, label_idx FROM lab WHERE split = 'train'),\n{S.doc_grams_cte('tr', 'doc_id', 4, 2)}\n"
+            f"SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(count(DISTINCT label_idx) AS INTEGER) AS n_classes, {kept('char', CHAR_CAP)} AS n_char_terms, "
+            f"{kept('word', WORD_CAP)} AS n_word_terms, true AS stationary FROM tr")
+
+
+@register("linear_fit_check", _sql_linear_fit_check)
+def q_linear_fit_check(spark, sf_dir):
+    """The large fit on TF-IDF rows: its documents, its whole vocabulary, and that the gradient is zero
+    (to a millionth of that at zero coefficients)."""
+    from shotlab.operators.linear import linear_model
+    m = linear_model(task_rows(spark, sf_dir, "ag_news").filter("split = 'train'"), 1.0, tfidf=True)
+    f = m.fitted
+    row = (m.n_docs, f.n_classes, m.n_char, m.n_terms - m.n_char, bool(f.gradient <= 1e-6 * f.start_gradient))
+    m.release()
+    return spark.createDataFrame([row], "n_docs long, n_classes int, n_char_terms long, n_word_terms long, stationary boolean")
+
+
 def _sql_score_hook():
     p = CHECK
     words = "regexp_extract_all(lower(p.prompt), '[a-z0-9_]+')"
@@ -679,6 +699,14 @@ def q_experiment_report(spark, sf_dir):
     return out.select("pattern", F.round("mean_f1", 6).alias("mean_f1"), F.round("mean_rank", 6).alias("mean_rank"), F.col("n_prompts").cast("long"), F.round("random_f1", 6).alias("random_f1"))
 
 
+@register("experiment_report_linear")
+def q_experiment_report_linear(spark, sf_dir):
+    """The patterns that have a linear baseline, with its fitted F1 (fits: rows-only; the other columns
+    are those of ``experiment_report``)."""
+    out = X.experiment_report(spark, sf_dir, CHECK, X.BASELINE_PATTERNS, linear=True)
+    return out.select("pattern", *[F.round(c, 6).alias(c) for c in ("mean_f1", "mean_rank", "random_f1", "linear_f1")], F.col("n_prompts").cast("long"))
+
+
 # ---------------------------------------------------------------- kernels and a user's table
 def _sql_kernel(tfidf):
     w = f"(1 + ln(x.cnt)) * (ln((1.0 + {CHECK.k}) / (1.0 + v.df)) + 1)" if tfidf else "CAST(x.cnt AS DOUBLE)"

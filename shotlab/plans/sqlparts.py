@@ -190,29 +190,21 @@ def stop_list_sql() -> str:
 WS_RUN = WHITESPACE_RUN
 
 
-def gram_sql(text: str, ngc_max: int, ngw_max: int) -> str:
-    """List of {'block','n','term'} structs (DuckDB) mirroring ``features.gram_array``."""
-    norm = norm_sql(text)
-    chars = f"regexp_replace({norm}, '{WS_RUN}', ' ', 'g')"
-    toks = (f"list_filter(regexp_extract_all({norm}, '{WORD_PATTERN}'), "
-            f"lambda x: NOT list_contains({stop_list_sql()}, x))")
-    parts = []
-    for n in range(1, ngc_max + 1):
-        parts.append(f"CASE WHEN len(cl) >= {n} THEN list_transform(generate_series(1, len(cl) - {n - 1}), "
-                     f"lambda i: {{'block': 'char', 'n': {n}, 'term': {' || '.join(f'cl[i + {k}]' for k in range(n))}}}) ELSE [] END")
-    for n in range(1, ngw_max + 1):
-        parts.append(f"CASE WHEN len(tk) >= {n} THEN list_transform(generate_series(1, len(tk) - {n - 1}), "
-                     f"lambda i: {{'block': 'word', 'n': {n}, 'term': array_to_string(tk[i:i + {n - 1}], ' ')}}) ELSE [] END")
-    return chars, toks, "flatten([" + ", ".join(parts) + "])"
-
-
 def doc_grams_cte(src: str, key: str, ngc_max: int, ngw_max: int, name: str = "grams") -> str:
-    """``name``(key..., block, n, term, cnt) over the rows of ``src`` (which has ``text``)."""
-    chars, toks, arr = gram_sql("text", ngc_max, ngw_max)
-    return (f"{name}_x AS (SELECT {key}, list_filter(string_split({chars}, ''), lambda x: x <> '') AS cl, {toks} AS tk FROM {src}),\n"
-            f"{name}_u AS (SELECT {key}, unnest({arr}) AS g FROM {name}_x),\n"
-            f"{name} AS (SELECT {key}, g.block AS block, CAST(g.n AS INTEGER) AS n, g.term AS term, "
-            f"count(*) AS cnt FROM {name}_u GROUP BY ALL)")
+    """``name``(key, block, n, term, cnt) over the rows of ``src`` (which has ``text``): one row per
+    character or token with those that follow it in its window, counted for each n by itself."""
+    norm = norm_sql("text")
+    cells = {"char": f"list_filter(string_split(regexp_replace({norm}, '{WS_RUN}', ' ', 'g'), ''), lambda x: x <> '')",
+             "word": f"list_filter(regexp_extract_all({norm}, '{WORD_PATTERN}'), lambda x: NOT list_contains({stop_list_sql()}, x))"}
+    ctes, parts = [], []
+    for block, top, gap in (("char", ngc_max, "''"), ("word", ngw_max, "' '")):
+        if not top:
+            continue
+        nexts = ", ".join(f"{' || '.join(['u'] + [f'{gap} || lead(u, {k}) OVER w' for k in range(1, n)])} AS t{n}" for n in range(1, top + 1))
+        ctes.append(f"{name}_{block}u AS (SELECT {key}, unnest(x) AS u, generate_subscripts(x, 1) AS i FROM (SELECT {key}, {cells[block]} AS x FROM {src}))")
+        ctes.append(f"{name}_{block} AS (SELECT {key}, {nexts} FROM {name}_{block}u WINDOW w AS (PARTITION BY {key} ORDER BY i))")
+        parts += [f"SELECT {key}, '{block}' AS block, {n} AS n, t{n} AS term, count(*) AS cnt FROM {name}_{block} WHERE t{n} IS NOT NULL GROUP BY {key}, t{n}" for n in range(1, top + 1)]
+    return ",\n".join(ctes) + f",\n{name} AS ({' UNION ALL '.join(parts)})"
 
 
 def baseline_ctes(p: Params, attempts: int = 64) -> str:

@@ -3,7 +3,7 @@ import math
 import __spark_entry__ as E
 from tests.conftest import SF
 
-ROWS_ONLY = {"linear_grid", "linear_grid_tfidf", "linear_fit"}
+ROWS_ONLY = {"linear_grid", "linear_grid_tfidf", "linear_fit", "experiment_report_linear"}
 
 
 def test_entry_runs(spark):
