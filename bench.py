@@ -5,15 +5,17 @@ prints ONE JSON line. Every plan is executed in full through the ``noop``
 sink (nothing is collected to the driver). Per query: median of up to
 ``$BENCH_REPEATS`` timed runs (default 3) after one untimed warm-up run. A
 query is not repeated beyond ``$BENCH_QUERY_SEC`` seconds of its own (default
-150); one whose warm-up alone takes longer counts by that run. Each time is
+100); one whose warm-up alone takes longer counts by that run. Each time is
 printed to stderr as soon as it is known, and the JSON line holds how many
-runs each median has.
+runs each median has. After ``$BENCH_TOTAL_SEC`` (default 1650) the line is
+printed with what is finished; the others are listed as unfinished.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import signal
 import statistics
 import sys
 import time
@@ -29,7 +31,8 @@ from shotlab.session import get_spark  # noqa: E402
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
-QUERY_SEC = float(os.environ.get("BENCH_QUERY_SEC", "150"))
+QUERY_SEC = float(os.environ.get("BENCH_QUERY_SEC", "100"))
+TOTAL_SEC = float(os.environ.get("BENCH_TOTAL_SEC", "1650"))
 
 # Reference defaults: k=32 demonstrations, T=256 test rows, R=20 replicates.
 DEFAULT = Params(task="ag_news", k=32, test_num=256, repeats=20)
@@ -85,11 +88,26 @@ QUERIES = {
 }
 
 
+def report(times, runs, unfinished):
+    sf = SF_DIR.rstrip("/").rsplit("sf", 1)[-1]
+    print(json.dumps({"metric": "total_median_wall_seconds", "value": round(sum(times.values()), 3),
+                      "unit": "sec", "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
+                      "cpus": int(CPUS), "repeats": runs, "unfinished": unfinished,
+                      "workload": {"k": DEFAULT.k, "test_num": DEFAULT.test_num, "repeats": DEFAULT.repeats}}), flush=True)
+
+
 def main():
     spark = get_spark(master=f"local[{CPUS}]", app="shotlab-bench")
     only = [a for a in sys.argv[1:] if a in QUERIES]
     names = only or list(QUERIES)
     times, runs = {}, {}
+
+    def out_of_time(*_):
+        report(times, runs, [n for n in names if n not in times])
+        os._exit(0)
+
+    signal.signal(signal.SIGALRM, out_of_time)
+    signal.alarm(int(TOTAL_SEC))
     for n in names:
         ts, warm = [], True
         while len(ts) < REPEATS and (not ts or sum(ts) < QUERY_SEC):
@@ -102,11 +120,8 @@ def main():
             warm = False
         times[n], runs[n] = round(statistics.median(ts), 3), len(ts)
         print(f"{n} {times[n]} s, {runs[n]} runs", file=sys.stderr, flush=True)
-    sf = SF_DIR.rstrip("/").rsplit("sf", 1)[-1]
-    print(json.dumps({"metric": "total_median_wall_seconds", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
-                      "cpus": int(CPUS), "repeats": runs,
-                      "workload": {"k": DEFAULT.k, "test_num": DEFAULT.test_num, "repeats": DEFAULT.repeats}}))
+    signal.alarm(0)
+    report(times, runs, [])
 
 
 if __name__ == "__main__":
