@@ -16,6 +16,7 @@ Results do not depend on the lexicon: it only saves merging.
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import uuid
 
@@ -28,6 +29,10 @@ from shotlab.llm.tokens import SPECIAL, WORD, byte_chars, plain, tokenizer, word
 SUFFIX = "</w>"
 
 
+#: Bytes from which a word is merged with a heap.
+LONG = 64
+
+
 class Vocabulary:
     """Pre-tokenizing, exact merging and decoding for a vocabulary file with word ends."""
 
@@ -69,6 +74,8 @@ class Vocabulary:
         parts = [self.chars[b] for b in word.encode()]
         parts[-1] += SUFFIX
         ranks = self.ranks
+        if len(parts) > LONG:
+            return tuple([self.ids[p] for p in self.merge_long(parts)])
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -80,6 +87,29 @@ class Vocabulary:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return tuple([self.ids[p] for p in parts])
 
+    def merge_long(self, parts: list[str]) -> list[str]:
+        """The same merges in n log n: a heap of (rank, place) over a linked list of the parts. An
+        entry whose parts have changed since is passed over."""
+        ranks, n = self.ranks, len(parts)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(r, i) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if j < 0 or not parts[i] or ranks.get((parts[i], parts[j])) != r:
+                continue
+            parts[i] += parts[j]
+            parts[j] = ""
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for a in (before[i], i):
+                b = after[a] if a >= 0 else -1
+                if b >= 0 and (r := ranks.get((parts[a], parts[b]))) is not None:
+                    heapq.heappush(heap, (r, a))
+        return [p for p in parts if p]
+
     def decode(self, ids) -> str:
         """Token strings joined by a space: the file names no decoder."""
         return " ".join(map(self.strings.__getitem__, ids))

@@ -77,3 +77,20 @@ def test_every_plain_code_point_equals_the_library():
             want = tok.encode(text, add_special_tokens=False).ids
             assert words.ids(text).tolist() == want, (hex(ord(c)), text)
             assert [i for w in voc.segments(text) for i in voc.merge(w)] == want, (hex(ord(c)), text)
+
+
+def test_one_very_long_word_equals_the_library():
+    """100 000 letters without a space, and words around the length from which a heap is used."""
+    import random
+    import time
+
+    from shotlab.llm.bpe import LONG, vocabulary
+    from shotlab.llm.tokens import tokenizer, word_bpe
+
+    rnd = random.Random(3)
+    voc, tok = vocabulary(word_bpe()), tokenizer(word_bpe())
+    words = ["".join(rnd.choices("etaoinshrdlu", k=n)) for n in (LONG - 1, LONG, LONG + 1, 300, 5000)] + ["ab" * 2000, "a" * 3001]
+    for w in words:
+        assert list(voc.merge(w)) == tok.encode(w, add_special_tokens=False).ids
+    long, start = "".join(rnd.choices("etaoinshrdlu", k=100_000)), time.time()
+    assert list(voc.merge(long)) == tok.encode(long, add_special_tokens=False).ids and time.time() - start < 20
