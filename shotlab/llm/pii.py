@@ -1,18 +1,20 @@
 """Personal data: base patterns, and a skip-chain conditional random field over each document.
 
-The base kinds (email, ip, card, phone) are found by pattern.  The field labels the tokens that
-hold a digit or an ``@`` (any other token is fixed to "none"): neighbouring tokens are chain
-edges, and distant tokens that repeat or resemble one another are skip edges, which share a
-potential for equal labels.  Loopy message passing gives each token's label probabilities, so
-a detected mention carries its label to the shortened or reformatted ones elsewhere in the
-document.  A span is added where a token outside all base spans gets a label with ``least``
-probability and skip edges lead from it to a base span of that kind.
+The base kinds (email, ip, card, phone) are found by pattern.  The field labels every token that
+holds a digit or an ``@``, or equals the local part of an email of the text (any other token is
+fixed to "none"); neighbouring groups of digits, as in ``415 555 0199``, are one token.
+Neighbouring tokens are chain edges, and distant tokens that repeat or resemble one another are
+skip edges, which share a potential for equal labels.  Loopy message passing gives each token's
+label probabilities, so a mention carries its label to the shortened or reformatted ones
+elsewhere in the document.  A token outside all base spans is added where its label has ``least``
+probability and skip edges lead to a base span of that kind, or ``alone`` without such backing.
 
 Weights are trained here by pseudo-likelihood on at most ``train_docs`` documents whose tokens
-are labelled by the base kinds; half of the tokens hide that evidence, so shape, context and
-skip edges learn to stand in for it.  Each training text is followed by shortened repeats of
-its mentions (the part before the ``@``, the last digits), labelled like the mention, and by
-repeats of other tokens, labelled "none".
+are labelled by the base kinds.  No feature tells the base label (in a judged text, tokens of base
+spans are observed: their label is fixed), so shape, context and skip edges learn to stand in for
+it.  Each training text is followed by shortened or reformatted
+repeats of its mentions, labelled like the mention, and by broken forms of them, repeats of other
+tokens and common numbers (dates, prices, versions), labelled "none".
 """
 
 from __future__ import annotations
@@ -78,9 +80,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 CUES = {"phone": 4, "tel": 4, "call": 4, "mobile": 4, "fax": 4, "email": 1, "mail": 1, "e-mail": 1, "contact": 1, "ip": 2, "host": 2, "server": 2, "address": 2, "card": 3, "visa": 3, "credit": 3, "payment": 3,
         "version": 0, "license": 0, "licence": 0, "section": 0, "page": 0, "chapter": 0}
-SHAPES = ("bias", "at", "plus", "paren", "dash", "letters", "alldigits", "dots3", "colon", "equals", "quote", "slash", *[f"d{n}" for n in (1, 4, 7, 10, 13, 20)], *[f"cue{k}" for k in range(5)], *[f"base{k}" for k in range(1, 5)])
+SHAPES = ("bias", "at", "plus", "paren", "dash", "letters", "alldigits", "dots3", "colon", "equals", "quote", "slash", "handle", "octet", "luhn", "unluhn", *[f"d{n}" for n in (1, 4, 7, 10, 13, 20)], *[f"cue{k}" for k in range(5)])
 COLUMN = {s: i for i, s in enumerate(SHAPES)}
 CHAIN, EQUAL, SIMILAR = 0, 1, 2
+#: Log-odds of an observed label.
+FIXED = 50.0
 
 
 @dataclass
@@ -105,51 +109,103 @@ def labels_at(spans, marked):
     return out
 
 
+#: Words that hold a digit or an ``@``, and all words.
+SOME = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
+ALL = re.compile(r"\S++")
+#: A group of digits that may be part of a longer number, and what may close the last group.
+GROUP = re.compile(r"[+(]{0,2}[0-9][0-9()-]*+")
+CLOSING = re.compile(r"[.,;:!?]*")
+DIGIT_STEPS = (1, 4, 7, 10, 13, 20)
+
+
+def local_parts(text: str, base) -> frozenset:
+    """Local parts of the emails that are no plain words (they hold a sign or a digit)."""
+    parts = (text[a:b].split("@")[0].lower() for k, a, b in base if k == 0)
+    return frozenset(p for p in parts if len(p) >= 3 and not p.isalpha())
+
+
+def tokens(text: str, locals_: frozenset) -> list[tuple[int, int, bool]]:
+    """(start, end, next to the token before) of the candidate tokens."""
+    found: list[tuple[int, int]] = []
+    run: list[tuple[int, int]] = []
+    digits, open_ = 0, False
+
+    def close():
+        found.extend([(run[0][0], run[-1][1])] if 1 < len(run) and digits <= 19 else run)
+        run.clear()
+
+    for m in (ALL if locals_ else SOME).finditer(text):
+        word, (a, b) = m[0], m.span()
+        if not MAYBE.search(word) and word.strip("\"'([<{.,;:!?)]}>").lower() not in locals_:
+            continue
+        g = GROUP.match(word)
+        n = len(DIGITS.findall(g[0])) if g and g.end() < 16 else 0
+        part = 0 < n <= 7 and CLOSING.fullmatch(word, g.end())
+        if not (part and open_ and word[0] != "+" and a == run[-1][1] + 1 and text[a - 1] == " "):
+            close()
+            digits = 0
+        run.append((a, b))
+        digits += n
+        open_ = bool(part) and g.end() == len(word)
+    close()
+    out, last = [], None
+    for a, b in found:
+        near = last is not None and text[last:a].isspace()
+        last = b
+        word = text[a:b]
+        lead = len(word) - len(word.lstrip("\"'([<{"))
+        kept = word.lstrip("\"'([<{").rstrip("\"'.,;:!?)]}>")
+        out.append((a + lead - (word[lead - 1:lead] == "(" and ")" in kept), a + lead + len(kept), near))
+    return out
+
+
+def shapes(text: str, a: int, b: int) -> list[str]:
+    """Names of the features of the token at ``a`` to ``b``."""
+    word = text[a:b]
+    digits = "".join(DIGITS.findall(word))
+    letters = any(c.isalpha() for c in word)
+    on = ["bias", f"d{max(v for v in DIGIT_STEPS if v <= max(1, len(digits)))}"]
+    on += [s for s, c in (("at", "@"), ("plus", "+"), ("paren", "("), ("dash", "-"), ("colon", ":"), ("equals", "="), ("quote", '"'), ("slash", "/")) if c in word]
+    on += ["letters"] * letters + ["alldigits"] * (len(digits) == len(word)) + ["handle"] * word.startswith("@")
+    if word.count(".") == 3:
+        on += ["dots3"] + ["octet"] * any(not p.isdecimal() or len(p) > 3 or int(p) > 255 for p in word.split("."))
+    if 13 <= len(digits) <= 19 and not letters:
+        on += ["luhn" if luhn(digits) else "unluhn"]
+    before = text[max(0, a - 40):a].split()
+    cue = CUES.get(before[-1].lower().strip(".,:;()")) if before else None
+    return on + [f"cue{cue}"] * (cue is not None)
+
+
+def keys_of(word: str) -> list[tuple]:
+    """(kind, key, edge type): tokens with an equal key are linked."""
+    digits, low = "".join(DIGITS.findall(word)), word.lower()
+    out = [("w", low, EQUAL)] if len(word) >= 3 else []
+    if len(digits) >= 7:
+        out.append(("d", digits[-7:], SIMILAR))
+    if len(digits) >= 9 or len(digits) == 4 == len(word):
+        out.append(("s", digits[-4:], SIMILAR))
+    if len(low.split("@")[0]) >= 3 and "@" in low:
+        out.append(("w", low.split("@")[0], SIMILAR))
+    return out
+
+
 def graph(text: str, base: list[tuple[int, int, int]]) -> Graph | None:
     import numpy as np
 
-    spans, befores, last = [], [], ("", -1)
-    chain = []
-    for m in re.finditer(r"\S+", text):
-        word = m[0]
-        if MAYBE.search(word):
-            if last[1] == len(spans) - 1 and spans and last[0] is None:
-                chain.append(len(spans) - 1)
-            lead = len(word) - len(word.lstrip("\"'([<{"))
-            kept = word.lstrip("\"'([<{").rstrip("\"'.,;:!?)]}>")
-            start = m.start() + lead - (word[lead - 1:lead] == "(" and ")" in kept)
-            spans.append((start, m.start() + lead + len(kept)))
-            befores.append(last[0] or "")
-            last = (None, len(spans) - 1)
-        else:
-            last = (word, -1)
-    if not spans:
+    found = tokens(text, local_parts(text, base))
+    if not found:
         return None
-    n = len(spans)
-    x = np.zeros((n, len(SHAPES)))
+    spans = [(a, b) for a, b, _ in found]
+    x = np.zeros((len(spans), len(SHAPES)), np.uint8)
     label = labels_at(spans, base)
-    keys: dict = {}
-    edges = [(i, i + 1, CHAIN) for i in chain if i + 1 < n]
+    edges = [(i - 1, i, CHAIN) for i, t in enumerate(found) if t[2]]
+    last: dict = {}
     for i, (a, b) in enumerate(spans):
-        word = text[a:b]
-        digits = "".join(DIGITS.findall(word))
-        on = ["bias", f"d{max(v for v in (1, 4, 7, 10, 13, 20) if v <= max(1, len(digits)))}"]
-        on += [s for s, c in (("at", "@"), ("plus", "+"), ("paren", "("), ("dash", "-"), ("colon", ":"), ("equals", "="), ("quote", '"'), ("slash", "/")) if c in word]
-        on += ["letters"] * any(c.isalpha() for c in word) + ["alldigits"] * (len(digits) == len(word)) + ["dots3"] * (word.count(".") == 3)
-        cue = CUES.get(befores[i].lower().strip(".,:;()"))
-        on += [f"cue{cue}"] * (cue is not None)
-        x[i, [COLUMN[s] for s in on]] = 1
-        if label[i]:
-            x[i, COLUMN[f"base{label[i]}"]] = 1
-        mine = [("w", word.lower(), EQUAL)] if len(word) >= 5 else []
-        if len(digits) >= 7:
-            mine += [("d", digits[-7:], SIMILAR)]
-        if "@" in word:
-            mine += [("w", word.lower().split("@")[0], SIMILAR)] if len(word.split("@")[0]) >= 5 else []
-        for kind, key, how in mine:
-            if (kind, key) in keys and keys[kind, key] != i:
-                edges.append((keys[kind, key], i, how))  # to the nearest earlier one: linear in the tokens
-            keys[kind, key] = i
+        x[i, [COLUMN[s] for s in shapes(text, a, b)]] = 1
+        for kind, key, how in keys_of(text[a:b]):
+            if last.get((kind, key), i) != i:
+                edges.append((last[kind, key], i, how))  # to the nearest earlier one: linear in the tokens
+            last[kind, key] = i
     return Graph(spans, x, label, np.array(sorted(set(edges)), np.int64).reshape(-1, 3))
 
 
@@ -172,7 +228,10 @@ def marginals(g: Graph, w: Weights, rounds: int = 30, damp: float = 0.5):
     """Label probabilities of every token by loopy sum-product."""
     import numpy as np
 
-    unary = g.x @ w.unary
+    unary = np.concatenate([g.x[at:at + (1 << 15)] @ w.unary for at in range(0, len(g.x), 1 << 15)])
+    seen = np.flatnonzero(g.base)
+    unary[seen] = -FIXED
+    unary[seen, g.base[seen]] = 0
     e = g.edges
     if not len(e):
         return _softmax(unary)
@@ -209,22 +268,39 @@ def _softmax(a):
     return p / p.sum(axis=1, keepdims=True)
 
 
+#: Common tokens that are no personal data; every training text gets some of them.
+DECOYS = ("2023-01-15", "12/31/1999", "1998", "2024", "12:30", "10:15:59", "19.99", "$25", "1,000,000", "2.0", "v1.2.3", "1.2.3.4567", "10-20", "555", "100%", "3rd", "A4", "978-3-16-148410-0", "000123", "@home", "42", "1024x768", "50 60 70", "1 2 3 4 5", "20230115", "#12")
+
+
+def forms(kind: int, mention: str, i: int) -> tuple[str, str]:
+    """A shortened or reformatted repeat of a mention, and a broken form that is none."""
+    digits = "".join(DIGITS.findall(mention))
+    if kind == 0:
+        local, domain = mention.split("@")
+        return (local, mention)[i % 3 == 2 or local.isalpha()], "@" + domain.split(".")[0]
+    if kind == 1:
+        return mention, "999" + mention[mention.index("."):]
+    if kind == 2:
+        groups = [digits[j:j + 4] for j in range(0, len(digits), 4)]
+        return (digits[-4:], ".".join(groups), "/".join(groups))[i % 3], digits[:-1] + str((int(digits[-1]) + 1) % 10)
+    return (f"{digits[-7:-4]}-{digits[-4:]}", f"({digits[-10:-7]}) {digits[-7:-4]}-{digits[-4:]}", digits[-10:])[i % 3], digits[-4:-1] + "-" + digits[:4]
+
+
 def with_repeats(text: str) -> tuple[str, list[tuple[int, int, int]]]:
     """The text followed by repeats, and the spans of all its mentions."""
     base = base_spans(text)
     out, spans = text + "\n", []
-    for k, a, b in base[:32]:
-        s = text[a:b]
-        short = (s.split("@")[0], s, re.sub("[^0-9]", "", s)[-8:], s.split()[-1])[k]
+    for i, (k, a, b) in enumerate(base[:32]):
+        short, broken = forms(k, text[a:b], i + len(text))
         spans.append((k, len(out) + 4, len(out) + 4 + len(short)))
-        out += "and " + short + " or "
-    other = [m[0] for m in re.finditer(r"\S+", text[:20_000]) if MAYBE.search(m[0]) and not any(s < m.end() and m.start() < e for _, s, e in base)]
-    out += "".join(f"see {w} then " for w in other[:16])
+        out += f"and {short} or then {broken} so "
+    other = [m[0] for m in SOME.finditer(text[:20_000]) if not any(s < m.end() and m.start() < e for _, s, e in base)]
+    out += "".join(f"see {w} then " for w in (*other[:16], *(DECOYS[(len(text) + 7 * j) % len(DECOYS)] for j in range(4))))
     found = base_spans(out)
     return out, found + [s for s in spans if not any(a < s[2] and s[1] < b for _, a, b in found)]
 
 
-def train(texts: list[str], *, steps: int = 300, rate: float = 0.1, ridge: float = 1e-5) -> Weights:
+def train(texts: list[str], *, steps: int = 300, rate: float = 0.1, ridge: float = 1e-4) -> Weights:
     """Pseudo-likelihood training on texts labelled by the base kinds (Adam, fixed order)."""
     import numpy as np
 
@@ -233,7 +309,7 @@ def train(texts: list[str], *, steps: int = 300, rate: float = 0.1, ridge: float
         t, marked = with_repeats(t)
         g = graph(t, base_spans(t))
         if g is not None:
-            xs.append(g.x)
+            xs.append(g.x.astype(float))
             ys.append(labels_at(g.spans, marked))
             es.append(g.edges + np.array([n, n, 0]))
             n += len(g.x)
@@ -241,8 +317,6 @@ def train(texts: list[str], *, steps: int = 300, rate: float = 0.1, ridge: float
     k = len(LABELS)
     if not n:
         return Weights(np.zeros((len(SHAPES), k)), np.zeros((k, k)), np.zeros(3))
-    hidden = np.random.default_rng(0).random(n) < 0.5
-    x[np.ix_(hidden, [COLUMN[f"base{i}"] for i in range(1, 5)])] = 0
     gold = np.eye(k)[y]
     cut = [len(SHAPES) * k, len(SHAPES) * k + k * k]
     theta, m, v = np.zeros(cut[1] + 3), 0.0, 0.0
@@ -270,31 +344,40 @@ def train(texts: list[str], *, steps: int = 300, rate: float = 0.1, ridge: float
     return Weights(theta[:cut[0]].reshape(-1, k), theta[cut[0]:cut[1]].reshape(k, k), theta[cut[1]:])
 
 
-def added_spans(text: str, base: list[tuple[int, int, int]], w: Weights, least: float = 0.9) -> list[tuple[int, int, int]]:
-    """Spans the field adds to the base ones; neighbouring tokens of one kind become one span."""
-    import numpy as np
+def disjoint(spans) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of ``spans``."""
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def added_spans(text: str, base: list[tuple[int, int, int]], w: Weights, least: float = 0.5, alone: float = 0.99) -> list[tuple[int, int, int]]:
+    """Spans the field adds to the base ones, never over one of them."""
+    from bisect import bisect_right
 
     from shotlab.llm.components import forest
 
-    if not base:
-        return []
-    g = graph(text, base)
+    g = graph(text, base) if MAYBE.search(text) else None
     if g is None:
         return []
-    skip = g.edges[g.edges[:, 2] != CHAIN]
-    if not len(skip):
-        return []
     p = marginals(g, w)
-    best, sure = p.argmax(axis=1), p.max(axis=1) >= least
+    best, sure = p.argmax(axis=1), p.max(axis=1)
+    skip = g.edges[g.edges[:, 2] != CHAIN]
     group = forest(len(best), (skip[:, 0], skip[:, 1]))
     backed = {(int(group[i]), int(k)) for i, k in enumerate(g.base) if k}
+    starts, ends = disjoint(base)
     out: list[tuple[int, int, int]] = []
-    for i, (a, b) in enumerate(g.spans):
-        if not g.base[i] and best[i] and sure[i] and (int(group[i]), int(best[i])) in backed and a < b and not any(s < b and a < e for _, s, e in base):
-            if out and out[-1][0] == best[i] - 1 and not text[out[-1][2]:a].strip():
-                out[-1] = (out[-1][0], out[-1][1], b)
-            else:
-                out.append((int(best[i]) - 1, a, b))
+    for i in ((best > 0) & (sure >= least) & (g.base == 0)).nonzero()[0]:
+        a, b = g.spans[i]
+        at = bisect_right(ends, a)
+        free = a < b and (at == len(starts) or starts[at] >= b)
+        if free and sure[i] >= (least if (int(group[i]), int(best[i])) in backed else alone):
+            out.append((int(best[i]) - 1, a, b))
     return out
 
 
@@ -311,7 +394,7 @@ def training_texts(docs: DataFrame, text_col: str, train_docs: int) -> list[str]
     return sorted(r["text"] for r in rows)
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_docs: int = 2000, least: float = 0.9) -> DataFrame:
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_docs: int = 2000, least: float = 0.5, alone: float = 0.99) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for every row.
 
     Counts and hash are of the base spans, ``spans`` of all.  Null and empty texts have none;
@@ -329,7 +412,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tra
             for t in b.column(1):
                 text = t.as_py() or ""
                 base = base_spans(text)
-                more = added_spans(text, base, sent.value, least)
+                more = added_spans(text, base, sent.value, least, alone)
                 rows.append((*[sum(1 for s in base if s[0] == k) for k in range(4)], hashlib.sha256(digest(base).encode()).hexdigest(), digest(sorted(base + more)), len(more)))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[i] for r in rows], kinds[i]) for i in range(7)]], names=names)

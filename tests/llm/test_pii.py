@@ -68,6 +68,57 @@ def test_message_passing_is_exact_on_trees():
     assert np.abs(got - want / want.sum(axis=1, keepdims=True)).max() < 1e-3
 
 
+def test_message_passing_on_loops_is_near_enumeration():
+    rnd = np.random.default_rng(5)
+    for _ in range(20):
+        edges = np.array([[0, 1, 0], [1, 2, 0], [2, 3, 1], [0, 3, 2], [0, 2, 1], [3, 4, 2]])
+        g = pii.Graph([(i, i + 1) for i in range(5)], rnd.normal(size=(5, len(pii.SHAPES))), np.array([0, 0, 0, 0, 2]), edges)
+        w = pii.Weights(rnd.normal(size=(len(pii.SHAPES), 5)) * 0.3, rnd.normal(size=(5, 5)) * 0.3, np.array([0, 0.6, 0.4]))
+        table, unary, want = pii.potentials(w), g.x @ w.unary, np.zeros((5, 5))
+        for y in itertools.product(range(5), repeat=4):
+            y = (*y, 2)  # the last token lies in a base span: its label is fixed
+            p = np.exp(sum(unary[i, y[i]] for i in range(5)) + sum(table[t][y[a], y[b]] for a, b, t in g.edges))
+            for i in range(5):
+                want[i, y[i]] += p
+        got = pii.marginals(g, w, rounds=200)
+        assert np.abs(got - want / want.sum(axis=1, keepdims=True)).max() < 0.05
+
+
+PEOPLE = [f"text {i} ann{i}.x@mail{i}.example.com rang +1 ({200 + i}) 555-{1000 + i} paid 4111 1111 1111 1111 from {i}.2.3.{i} on 2021-03-{10 + i % 18} for {i}.50, code {7 * i}." for i in range(80)]
+
+
+def test_reformatted_and_shortened_mentions():
+    w = pii.train(PEOPLE)
+
+    def added(text):
+        return {(pii.KINDS[k], text[a:b]) for k, a, b in pii.added_spans(text, pii.base_spans(text), w)}
+
+    assert {("phone", "415 555 0199"), ("phone", "(415) 555-0199")} <= added("Call +1 415 555 0199 today. Later dial 415 555 0199 or (415) 555-0199 please.")
+    assert ("card", "4111.1111.1111.1111") in added("Paid with 4111 1111 1111 1111 and again 4111.1111.1111.1111 in 2019.")
+    assert added("Write ann.lee@mail.example.com; ann.lee will answer. Contact info@x.org for info.") == {("email", "ann.lee")}
+    assert added("Order 4155550199 shipped 2023-01-15 at 12:30, 5 of 10, version 2.0.1 and @home price 19.99, 1 2 3 4") == set()
+    assert added("host 300.1.2.3 and 9807915762804490 twice 9807915762804490") == set()
+
+
+def test_repeats_without_a_base_span():
+    """Mentions in a form no pattern knows back one another; one alone is not sure enough."""
+    w = pii.train(PEOPLE)
+    for number, want in (("4111/1111/1111/1111", "card"), ("4111/1111/1111/1112", None), ("(415) 555-0199", "phone")):
+        text = f"given {number} and later {number} there"
+        assert pii.base_spans(text) == []
+        assert [(pii.KINDS[k], text[a:b]) for k, a, b in pii.added_spans(text, [], w)] == [(want, number)] * 2 * bool(want)
+        assert pii.added_spans(f"given {number} there", [], w) == []
+
+
+def test_tokens_and_added_spans():
+    at = lambda t, locals_=frozenset(): [t[a:b] for a, b, _ in pii.tokens(t, locals_)]
+    assert at("a 415 555 0199, 12 +1 (415) 555-0199. b") == ["415 555 0199", "12", "+1 (415) 555-0199"]
+    assert at("1 22 333 4444 55555 666666 7777777") == ["1", "22", "333", "4444", "55555", "666666", "7777777"]
+    assert at("(a1) ann.lee, x", frozenset({"ann.lee"})) == ["a1", "ann.lee"]
+    assert at("") == at("no data") == []
+    assert pii.disjoint([(0, 5, 9), (1, 8, 12), (2, 12, 13), (0, 1, 2)]) == ([1, 5, 12], [2, 12, 13])
+
+
 def test_whole_table_and_edge_cases(spark):
     for d in (common.table(spark, SF01, "documents"), data.docs(spark)):
         rows = {}
@@ -80,5 +131,5 @@ def test_whole_table_and_edge_cases(spark):
         for r in got:
             assert tuple(r)[1:6] in rows[r.doc_id]
             assert len(r.spans.split(",")) - (r.spans == "") == sum(tuple(r)[1:5]) + r.n_added
-        assert sum(r.n_added for r in got) <= 0.05 * sum(sum(tuple(r)[1:5]) for r in got) + 1
+        assert sum(r.n_added for r in got) <= 0.1 * sum(sum(tuple(r)[1:5]) for r in got) + 1  # the tables plant no shortened mentions
     assert pii.find(data.empty(spark)).count() == 0
