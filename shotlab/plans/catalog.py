@@ -17,6 +17,7 @@ from shotlab.operators.prompts import build_prompts
 from shotlab.operators.ranking import predict_and_rank
 from shotlab.plans import experiment as X
 from shotlab.plans import sqlparts as S
+from shotlab.sources.checked import checked_scan
 from shotlab.sources.labelled import read_labelled, task_rows
 from shotlab.sources.registry import custom_task
 
@@ -782,3 +783,34 @@ def q_linear_grid_tfidf(spark, sf_dir):
     pr = _prep(spark, sf_dir)
     grid, _, _ = X.linear_baseline(spark, pr, tfidf=True)
     return grid.select("rep", "c", "solver", "ngc_max", "ngw_max", F.round("f1", 6).alias("f1"))
+
+
+CHECKED_CLASSES = 8
+
+
+def _sql_checked_scan():
+    return f"""WITH r AS (SELECT doc_id, text, CASE WHEN starts_with(source, 'src') THEN substr(source, 4) ELSE source END AS raw FROM documents),
+j AS (SELECT doc_id, raw, CASE WHEN doc_id IS NULL THEN 'no id' WHEN text IS NULL THEN 'no text' WHEN trim(coalesce(raw, '')) = '' THEN 'no label'
+  WHEN NOT coalesce(TRY_CAST(raw AS INTEGER) BETWEEN 0 AND {CHECKED_CLASSES - 1}, false) THEN 'label unknown' END AS reason FROM r)
+SELECT doc_id, raw AS raw_label, reason, CASE WHEN reason IS NULL THEN TRY_CAST(raw AS INTEGER) END AS label_idx FROM j"""
+
+
+@register("checked_scan", _sql_checked_scan)
+def q_checked_scan(spark, sf_dir):
+    """Documents labelled by the number of their source, a task of eight classes: kept rows and rejects."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("label", F.regexp_replace("source", "^src", ""))
+    judged = checked_scan(spark, docs, CHECKED_CLASSES).judged
+    return judged.select("doc_id", "raw_label", "reason", F.when(F.col("reason").isNull(), F.col("label_idx")).alias("label_idx"))
+
+
+def _sql_user_vocab():
+    return r"SELECT DISTINCT token FROM (SELECT unnest(string_split(text, ' ')) AS token FROM documents) WHERE regexp_full_match(token, '[\p{L}\p{N}_]+')"
+
+
+@register("user_vocab", _sql_user_vocab)
+def q_user_vocab(spark, sf_dir):
+    """A user's vocabulary (the words between spaces, punctuation and all) without entries of several tokens or none."""
+    from shotlab.operators.vocab import user_vocab
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return user_vocab(docs.select(F.explode(F.split("text", " ", -1)).alias("token")))
