@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Temporary folders of local sessions without a shared folder, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder of this application below ``spark.checkpoint.dir``.
 
@@ -25,15 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="shotlab-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="shotlab-")
+    return application_dir(spark, base)
+
+
+def application_dir(spark: SparkSession, base: str) -> str:
+    """This application's folder below ``base``, with the scheme of its filesystem unless that is
+    a mounted folder: a path without a scheme lies on Hadoop's default filesystem, which tasks
+    that write files themselves could not tell."""
     root = f"{base.rstrip('/')}/shotlab-{spark.sparkContext.applicationId}"
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(path)
     fs.deleteOnExit(path)
-    return root
+    return root if fs.getScheme() == "file" else fs.makeQualified(path).toString()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
