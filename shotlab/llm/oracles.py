@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from shotlab.llm.quality import CLASSES, COMMON, Limits
 from shotlab.llm.secrets import ACCESS, HEX, WINDOW, Entropy
@@ -65,7 +66,7 @@ def _secrets() -> str:
     e = Entropy()
     assign = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     allowed = " OR ".join(f"regexp_full_match(hit, {_sql(p)})" for p in e.allowed)
-    known = " OR ".join(f"contains(hit, {_sql(k)})" for k in e.known)
+    known = _sql("|".join(re.escape(k) for k in e.known) or "[^\\x00-\\x{10FFFF}]")
 
     def kind(rank, name, pattern, group):
         p = _sql(pattern)
@@ -75,9 +76,18 @@ def _secrets() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 m AS ({kind(0, 'assign', assign, 1)} UNION ALL {kind(1, 'access', ACCESS, 0)} UNION ALL {kind(2, 'hex', HEX, 0)} UNION ALL {kind(3, 'entropy', '[A-Za-z0-9+/_=-]{' + str(WINDOW) + ',}', 0)}),
-s AS (SELECT rid, rank, kind, hit, val, list_sum([length(x) FOR x IN gaps[1:i]]) + coalesce(list_sum(lens[1:i - 1]), 0) AS b, length(hit) AS n FROM m),
+s AS (SELECT rid, rank, kind, hit, val, CAST(list_sum([length(x) FOR x IN gaps[1:i]]) + coalesce(list_sum(lens[1:i - 1]), 0) AS BIGINT) AS b, length(hit) AS n FROM m),
 base AS (SELECT rid, rank, kind, b, b + n AS e FROM s WHERE rank IN (1, 2) OR rank = 0 AND length(val) >= 6),
-cand AS (SELECT s.rid, s.rank, s.kind, s.hit, s.b, s.b + s.n AS e FROM s WHERE s.rank = 3 AND NOT EXISTS (SELECT 1 FROM base x WHERE x.rid = s.rid AND x.b < s.b + s.n AND s.b < x.e) AND NOT ({allowed}) AND NOT ({known})),
+run AS (SELECT row_number() OVER () AS cid, rid, rank, kind, hit, b, b + n AS e FROM s WHERE rank = 3),
+lit AS (SELECT cid, b, unnest(regexp_extract_all(hit, {known}, 0)) AS x, unnest(range(1, len(regexp_extract_all(hit, {known}, 0)) + 1)) AS i,
+  regexp_split_to_array(hit, {known}) AS gaps, [length(y) FOR y IN regexp_extract_all(hit, {known}, 0)] AS lens FROM run),
+cut AS (SELECT r.cid, x.b AS s, x.e AS t FROM run r JOIN base x ON x.rid = r.rid AND x.b < r.e AND r.b < x.e
+  UNION ALL SELECT cid, p AS s, p + length(x) AS t FROM (SELECT *, CAST(b + list_sum([length(y) FOR y IN gaps[1:i]]) + coalesce(list_sum(lens[1:i - 1]), 0) AS BIGINT) AS p FROM lit)
+  UNION ALL SELECT cid, e, e FROM run),
+gap AS (SELECT cid, s, max(t) OVER (PARTITION BY cid ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM cut),
+piece AS (SELECT r.rid, r.rank, r.kind, substring(r.hit, greatest(r.b, coalesce(f, r.b)) - r.b + 1, s - greatest(r.b, coalesce(f, r.b))) AS hit,
+  greatest(r.b, coalesce(f, r.b)) AS b, s AS e FROM gap JOIN run r USING (cid) WHERE s - greatest(r.b, coalesce(f, r.b)) >= {WINDOW}),
+cand AS (SELECT * FROM piece WHERE NOT ({allowed})),
 win AS (SELECT rid, rank, kind, hit, b, e, unnest(range(1, length(hit) - {WINDOW - 2})) AS i FROM cand),
 cnt AS (SELECT rid, rank, kind, hit, b, e, i, ch, count(*) AS n FROM (SELECT *, unnest(string_split(substring(hit, i, {WINDOW}), '')) AS ch FROM win) GROUP BY ALL),
 ent AS (SELECT rid, rank, kind, hit, b, e, round(max(h), 9) AS h FROM (SELECT rid, rank, kind, hit, b, e, i, {math.log2(WINDOW)!r} - sum(n * log2(n)) / {WINDOW} AS h FROM cnt GROUP BY ALL) GROUP BY ALL),
