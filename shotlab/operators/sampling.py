@@ -7,6 +7,9 @@ replacement that is the same on 1 or 1000 executors and in plain SQL.
 
 from __future__ import annotations
 
+import math
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,28 +29,62 @@ def with_reps(df: DataFrame, repeats: int) -> DataFrame:
     return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
 
 
-def sample_k(base: DataFrame, k: int, repeats: int, seed: int, salt: str, id_col: str = "doc_id") -> DataFrame:
+def candidates(base: DataFrame, share: float, repeats: int, seed: int, salt: str, id_col: str = "doc_id") -> DataFrame:
+    """``base`` with ``rep`` for the replicates in which a row's key lies in the lowest ``share``
+    of all keys. A row is hashed once per replicate inside one expression and explodes to the
+    few replicates that may take it."""
+    if share >= 1:
+        return with_reps(base, repeats)
+    below = F.lit(f"{int(share * 16 ** 15):015x}")
+    reps = F.filter(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda r: hkey(seed, salt, r, id_col) < below)
+    return base.withColumn("rep", F.explode(reps))
+
+
+def sample_k(base: DataFrame, k: int, repeats: int, seed: int, salt: str, id_col: str = "doc_id", *,
+             rows: int | None = None, keep: list | None = None) -> DataFrame:
     """Per replicate, the ``k`` rows of ``base`` with the smallest key; adds ``rep`` and ``pos``.
 
-    ``pos`` (0-based) is the draw order. The window is filtered directly on
-    ``row_number() <= k`` so Spark plans a ``WindowGroupLimit`` that keeps at
-    most k rows per replicate of each input partition before the shuffle: one
-    plan for every table size.
+    ``pos`` (0-based) is the draw order. Only keys below a share of the key space are ranked:
+    the share expects some more than k rows a replicate of ``rows`` (counted if not given), and
+    grows fourfold until every replicate has k candidates or all rows (repeated ids share a key,
+    so no share is sure at once). About R*k candidates are ranked instead of R*N rows. They are
+    persisted and appended to ``keep`` for the caller to free; without ``keep`` they are hashed
+    again after the count.
     """
+    if repeats < 1:
+        raise ValueError(f"repeats={repeats}: at least one replicate is needed")
+    n = base.count() if rows is None else rows
+    need, share = min(k, n), (k + 12 * math.sqrt(k) + 60) / max(n, 1)
+    while True:
+        found = candidates(base, share, repeats, seed, salt, id_col)
+        if share >= 1 or not need:
+            break
+        if keep is not None:
+            found = found.persist(StorageLevel.MEMORY_AND_DISK)
+        reps, least = found.groupBy("rep").count().agg(F.count("*"), F.min("count")).first()
+        if reps == repeats and least >= need:
+            if keep is not None:
+                keep.append(found)
+            break
+        if keep is not None:
+            found.unpersist()
+        share *= 4
     w = Window.partitionBy("rep").orderBy(hkey(seed, salt, "rep", id_col), F.col(id_col))
-    return (with_reps(base, repeats).withColumn("_rn", F.row_number().over(w))
+    return (found.withColumn("_rn", F.row_number().over(w))
             .filter(F.col("_rn") <= k)
             .withColumn("pos", (F.col("_rn") - 1).cast("int")).drop("_rn"))
 
 
-def sample_replicates(labelled: DataFrame, test_num: int, repeats: int, seed: int, with_text: bool = False) -> DataFrame:
+def sample_replicates(labelled: DataFrame, test_num: int, repeats: int, seed: int, with_text: bool = False, *,
+                      sizes: dict | None = None, keep: list | None = None) -> DataFrame:
     """Replicate samples: 2T train rows (the demonstration pool) and T test rows.
 
     Output ``(rep, split, pos, doc_id, label_idx[, text])``. Text stays out of
-    the sampling shuffle and is joined back by id only when asked for.
+    the sampling shuffle and is joined back by id only when asked for. ``sizes`` are the
+    splits' row counts, if known; ``keep`` as in ``sample_k``.
     """
     lab = labelled.select("doc_id", "label_idx", "split")
-    parts = [sample_k(lab.filter(F.col("split") == split), k, repeats, seed, "sample")
+    parts = [sample_k(lab.filter(F.col("split") == split), k, repeats, seed, "sample", rows=(sizes or {}).get(split), keep=keep)
              for split, k in (("train", 2 * test_num), ("test", test_num))]
     out = parts[0].unionByName(parts[1]).select("rep", "split", "pos", "doc_id", "label_idx")
     if with_text:

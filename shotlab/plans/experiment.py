@@ -59,8 +59,9 @@ class Prepared:
         return self.params.repeats * 3 * self.params.test_num
 
 
-def check_table(labelled: DataFrame, t: Task, p: Params) -> None:
-    """One pass over the narrow columns: enough rows per split, class ids with a word, unique ids."""
+def check_table(labelled: DataFrame, t: Task, p: Params) -> dict[str, int]:
+    """One pass over the narrow columns: enough rows per split, class ids with a word, unique ids.
+    Returns the splits' row counts."""
     rows = labelled.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"),
                                          F.count(F.when(F.col("label_idx").isNull() | (F.col("label_idx") < 0) | (F.col("label_idx") >= t.n_labels), 1)).alias("bad")).collect()
     sizes = {r["split"]: r for r in rows}
@@ -73,6 +74,7 @@ def check_table(labelled: DataFrame, t: Task, p: Params) -> None:
             raise ValueError(f"{t.key}: {r['bad']} rows of the {r['split']} split have a class id without a label word")
         if r["ids"] != r["n"]:
             raise ValueError(f"{t.key}: doc_id is null or repeated in {r['n'] - r['ids']} rows of the {r['split']} split")
+    return {split: r["n"] for split, r in sizes.items()}
 
 
 def prepare(spark: SparkSession, sf_dir: str | None, p: Params, vocab: DataFrame | None = None, check: bool = True, *,
@@ -92,8 +94,7 @@ def prepare(spark: SparkSession, sf_dir: str | None, p: Params, vocab: DataFrame
         lab, docs = labelled, docs if docs is not None else labelled.select("doc_id", "text")
     else:
         lab, docs = task_rows(spark, sf_dir, p.task), spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    if check and not like:
-        check_table(lab, t, p)
+    sizes = check_table(lab, t, p) if check and not like else None
     kind, _ = word_lists(t, p.pattern)
     if kind == "tokens" and vocab is None:
         vocab = corpus_vocab(docs)
@@ -103,7 +104,7 @@ def prepare(spark: SparkSession, sf_dir: str | None, p: Params, vocab: DataFrame
         lmap = lmap.persist(StorageLevel.MEMORY_AND_DISK)
         kept.append(lmap)
     # R*3T rows read by every later operator; a lost block is drawn again from the same keys
-    drawn = like.drawn if like else sample_replicates(lab, p.test_num, p.repeats, p.seed).persist(StorageLevel.MEMORY_AND_DISK)
+    drawn = like.drawn if like else sample_replicates(lab, p.test_num, p.repeats, p.seed, sizes=sizes, keep=kept).persist(StorageLevel.MEMORY_AND_DISK)
     if not like:
         kept.append(drawn)
     prep = Prepared(p, t, lab, docs, lmap, verbalize(drawn, lmap), drawn, kept)

@@ -150,3 +150,28 @@ def test_keyed_bijection_of_any_size(spark):
         if n > 90:
             assert per[0] != per[1] and sum(i == t for i, t in per[0]) < 9
             assert abs(sum((i - (n - 1) / 2) * (t - (n - 1) / 2) for i, t in per[0])) < 4 * n ** 2.5 / 12
+
+
+def test_sample_by_candidates_equals_a_full_sort(spark):
+    """The k smallest keys by plain sorting, whatever the size, with repeated ids and too few rows too."""
+    import hashlib
+
+    from shotlab.operators.sampling import sample_k
+
+    for ids, k in (([*range(3000)], 7), ([*range(3000)], 1), ([*range(40)], 64), ([5] * 2000 + [*range(1000)], 90), ([7] * 1500, 20), ([], 3), ([*range(500)], 0)):
+        base = spark.createDataFrame([(i,) for i in ids], "doc_id long").repartition(3)
+        want = sorted((r, p, i) for r in range(4) for p, i in enumerate(sorted(ids, key=lambda i: (hashlib.md5(f"9|s|{r}|{i}".encode()).hexdigest(), i))[:k]))  # noqa: B023
+        for keep in (None, []):
+            got = sample_k(base, k, 4, 9, "s", keep=keep)
+            assert sorted((r.rep, r.pos, r.doc_id) for r in got.collect()) == want
+            for df in keep or []:
+                df.unpersist()
+
+
+def test_candidates_are_few(spark):
+    from shotlab.operators.sampling import candidates
+
+    base = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    assert 0 < candidates(base, 0.01, 5, 1, "s").count() < 3000
+    plan = candidates(base, 0.01, 5, 1, "s")._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan
