@@ -38,8 +38,8 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         part, seen, enc = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64), encoder(path)
         for b in batches:
             rows, owner = [], []
-            for i, t in enumerate(b.column(1)):
-                ids = np.append(enc.ids(t.as_py()), np.uint32(END)).astype("<u4")
+            for i, ids in enumerate(enc.each(b.column(1))):
+                ids = np.append(ids, np.uint32(END)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), size)):
                     cut = ids[at:at + size]
                     rows.append((k, at, len(cut), zlib.crc32(cut.tobytes()), int(seen[len(cut)])))

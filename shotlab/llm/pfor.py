@@ -212,7 +212,7 @@ def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
 
         enc = encoder(path)
         end = np.array([end_id], np.uint32)
-        rows = ((f, i, t) for b in batches for f, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True))
+        rows = ((f, i, ids) for b in batches for f, i, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), enc.each(b.column(2)), strict=True))
         row = next(rows, None)
         if row is None:
             return
@@ -220,8 +220,8 @@ def write(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
 
         def fill(out):
             w = Writer(out)
-            for _, i, t in itertools.chain([row], rows):
-                w.add(i, np.append(enc.ids(t.as_py()), end))
+            for _, i, ids in itertools.chain([row], rows):
+                w.add(i, np.append(ids, end))
             w.close()
             done.update(n_docs=len(w.docs), n_tokens=w.n)
 
