@@ -5,12 +5,12 @@ from __future__ import annotations
 from typing import Callable, Iterator
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotlab.functions.text import token_set
 from shotlab.operators.partitioning import sampled_docs
+from shotlab.shared import held
 
 SCORE_SCHEMA = "rep INT, test_id BIGINT, label_idx INT, score DOUBLE"
 
@@ -54,9 +54,7 @@ def overlap_scores(test: DataFrame, demo_docs: DataFrame, lmap: DataFrame, docs:
     ids = (test.select(*keys).unionByName(demo_docs.select(*keys))).distinct()
     sel = sampled_docs(docs, ids, rows) if keys == ["doc_id"] else docs.join(ids, keys, "left_semi")
     # read twice below; ``keep`` collects what the caller unpersists
-    toks = sel.select(*keys, token_set("text").alias("toks")).persist(StorageLevel.MEMORY_AND_DISK)
-    if keep is not None:
-        keep.append(toks)
+    toks = held(sel.select(*keys, token_set("text").alias("toks")), keep)
     # Rows carry whole token arrays: join by shuffle, never broadcast (measured ~3x
     # slower when AQE broadcasts them, and their size grows with document length).
     qt = toks.withColumnRenamed("doc_id", "test_id").withColumnRenamed("toks", "q").hint("merge")
